@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: (module, SQL is there).
 _QUERIES = {
+    "op4_ngram_join": ("ngram_join", False),
     "op7_source_mixing": ("mixing", True),
     "op9_line_dedup": ("line_dedup", False),
 }
