@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from .shared import read_table, ship
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
     at = docs.columns.index(text)
-    schema = docs.schema.add(new[0], "long").add(new[1], "string" if digests else "array<int>").add(new[2], "string")
+    schema = T.StructType(list(docs.schema)).add(new[0], "long").add(new[1], "string" if digests else "array<int>").add(new[2], "string")
     return docs.mapInArrow(lambda b: _encode(b, model, at, digests), schema)
 
 
