@@ -7,8 +7,8 @@ s - T + 1 shortest lists of each set are the only ones that are ever built (as s
 by list), one common short list makes a candidate, and the long lists are probed by binary search in the candidate's
 sorted set until the required overlap is reached or out of reach.
 
-Equal sets are one class. Links are needed as components only, so each round verifies one candidate a class (a star in
-every short list) and later rounds look at the lists alone whose members lie in several components; the last round
+Equal sets are one class. Links are needed as components only, so long lists whose members lie in several components
+first have every member verified against a few of them, and this is repeated while it still joins many; the last round
 verifies all pairs of different components that share a short list. No link between different sets is lost.
 """
 
@@ -18,9 +18,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -31,9 +30,12 @@ WIDTH, PERCENT = 5, 75
 #: Shingles known as frequent, at most (12 bytes each, broadcast); they only set the order of the lists.
 HOT_SHINGLES = 1 << 18
 #: A task reports a shingle as frequent from this many sets among WINDOW shingles.
-HOT_FROM, WINDOW = 4, 2_000_000
+HOT_FROM, WINDOW = 4, 1_500_000
 #: Postings a bucket holds on average.
-BUCKET = 1_000_000
+BUCKET = 500_000
+#: Members from which a list is long; members that a round draws for it; those of them that a class is verified
+#: against; share of the verified classes that a round joins at least, else it is the last one before all pairs.
+LONG_LIST, DRAWN, TRIED, PRODUCTIVE = 64, 8, 2, 0.05
 #: Members of one list in one batch from which they are dealt over other buckets, with one of them in the list's own.
 LOCAL_HOT = 64
 #: Bits of the filter that says which sets a verification reads, at most.
@@ -166,26 +168,19 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def _merge(table: pa.Table, percent: int) -> pa.Table:
-    """The lists of a bucket: a star of candidates for each (kind 0), and the postings of lists with company (kind 1)."""
+def _merge(table: pa.Table) -> pa.Table:
+    """The postings of a bucket's lists that have company; the others can't make a candidate."""
     h, rep, n, rest = _unpack(table.column("blob").to_pylist())
-    order = np.lexsort((textkit.mix(rep.view(np.uint64)), h))
+    order = np.lexsort((rep, h))
     h, rep, n, rest = h[order], rep[order], n[order], rest[order]
     fresh = np.r_[True, (h[1:] != h[:-1]) | (rep[1:] != rep[:-1])]  # one posting of a class on a list
     h, rep, n, rest = h[fresh], rep[fresh], n[fresh], rest[fresh]
-    first = np.r_[True, h[1:] != h[:-1]]
-    lists = np.cumsum(first) - 1
-    company = (np.diff(np.r_[np.flatnonzero(first), len(h)]) > 1)[lists]
-    centre = np.flatnonzero(first)[lists]
-    h, rep, n, rest, centre_rep, centre_n, centre_rest = (x[company] for x in (h, rep, n, rest, rep[centre], n[centre], rest[centre]))
-    fit = (rep != centre_rep) & (np.minimum(rest, centre_rest) >= overlap_needed(n, centre_n, percent))
-    pairs = pd.DataFrame({"x": rep[fit], "y": centre_rep[fit]}).value_counts().reset_index()
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[first, len(h)])
+    company = np.repeat(size > 1, size)
+    h, rep, n, rest = h[company], rep[company], n[company], rest[company]
     by = np.argsort(rep, kind="stable")
-    active = [_pack(h[by], rep[by], n[by], rest[by])] if len(rep) else []
-    return pa.table({
-        "x": pa.array([*pairs["x"].tolist(), *[None] * len(active)], pa.int64()), "y": pa.array([*pairs["y"].tolist(), *[None] * len(active)], pa.int64()),
-        "lists": pa.array([*pairs["count"].tolist(), *[None] * len(active)], pa.int64()), "blob": pa.array([*[None] * len(pairs), *active], pa.binary()),
-    })
+    return pa.table({"blob": pa.array([_pack(h[by], rep[by], n[by], rest[by])] if len(h) else [], pa.binary())})
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +240,7 @@ def _probe_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (x, y) whose sets are linked, as (u, v). The sets are made again from the texts that a bit filter lets pass."""
     spark = docs.sparkSession
+    pairs = cut(pairs.select("x", "y"), "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     size = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 12, np.log2(FILTER_BITS)))
 
@@ -263,10 +259,50 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return both.mapInArrow(lambda b: _probe_pairs(b, percent), "u long, v long")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The candidate of each class that shares most short lists."""
-    total = pairs.groupBy("x", "y").agg(F.sum("lists").alias("lists"))
-    return total.groupBy("x").agg(F.max(F.struct("lists", (-F.col("y")).alias("y"))).alias("best")).select("x", (-F.col("best.y")).alias("y"))
+def _placed(active: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The postings of lists whose members lie in several components, with the component c and the list's length m."""
+    found = None
+    if links is None:
+        placed = active.withColumn("c", F.col("x"))
+    else:
+        found = cut(components(links), "components")
+        placed = active.drop("c", "m").join(found.withColumnRenamed("node", "x"), "x", "left")
+        placed = placed.select("h", "x", "n", "rest", F.coalesce("component", "x").alias("c"))
+    placed = cut(placed, "placed")
+    split = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
+    out = cut(placed.join(cut(split.select("h", "m"), "split"), "h"), "active")
+    drop(placed)
+    return out, found
+
+
+def _star_pairs(active: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Each member of a long list with the best TRIED of the DRAWN members that were drawn for each of its lists."""
+    long = active.where(F.col("m") > LONG_LIST)
+    drawn = long.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c"))).withColumn("draw", F.xxhash64("x2", F.lit(seed)))
+    drawn = cut(drawn.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("draw", "x2"))).where(F.col("r") <= DRAWN).drop("draw", "r"), "centres")
+    near = (F.col("c") != F.col("c2")) & (F.least("rest", "rest2") >= _overlap(percent))
+    pairs = long.join(drawn, "h").where(near).groupBy("x", F.col("x2").alias("y")).agg(F.count("*").alias("lists"))
+    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("lists"), "y"))
+    return pairs.withColumn("r", best).where(F.col("r") <= TRIED).select("x", "y")
+
+
+def _overlap(percent: int):
+    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+
+
+def _all_pairs(active: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that can be linked, by sizes, counts and places on their common short lists.
+
+    The merge must count T - L common short lists at least: the class whose short lists end first has at most L
+    shingles after them. And the first common list leaves both classes as many shingles as the overlap needs.
+    """
+    right = active.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c")))
+    alike = (F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    met = active.join(right, "h").where(alike).groupBy("x", F.col("x2").alias("y")).agg(
+        F.count("*").alias("lists"), F.max(F.least("rest", "rest2")).alias("left"), F.max("n").alias("n"), F.max("n2").alias("n2")
+    )
+    aside = F.ceil(F.greatest("n", "n2") * percent / 100) - 1
+    return met.where((F.col("left") >= _overlap(percent)) & (F.col("lists") >= _overlap(percent) - aside)).select("x", "y")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -282,42 +318,25 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, width))
     sets = cut(docs.mapInArrow(lambda b: _sets(b, hot, width, percent), _SETS), "sets")
     named = sets.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    classes = cut(classes, "classes")
-    postings = classes.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
+    postings = named.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(64, int(postings // BUCKET))
+    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     dealt = classes.select("x", "n", "prefix").mapInArrow(lambda b: _postings(b, buckets), "bucket long, blob binary")
-    merged = cut(dealt.groupBy("bucket").applyInArrow(lambda t: _merge(t, percent), "x long, y long, lists long, blob binary"), "lists")
-
-    links = cut(verify(docs, cut(_best(merged.where("blob is null")), "stars"), width, percent), "links")
-    active = merged.where("blob is not null").select("blob").mapInArrow(_explode, "h long, x long, n int, rest int")
-    seed, before = 0, -1
-    while True:
-        found = cut(components(links), "components")
-        of = F.coalesce("component", "x")
-        placed = active.drop("c").join(found.withColumnRenamed("node", "x"), "x", "left").select("h", "x", "n", "rest", of.alias("c"))
-        placed = cut(placed, "placed")
-        split = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
-        split = cut(split.select("h", "m"), "split")
-        active = cut(placed.join(split.select("h"), "h", "left_semi"), "active")
-        drop(placed)
-        rows, square = split.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") / 2)).first()
-        merges = links.count()
-        if not rows:
-            break
-        fits = F.least("rest", "rest2") >= F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-        if square <= max(100_000, 2 * rows) or merges == before:
-            left, right = active, active.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c")))
-            pairs = left.join(right, "h").where((F.col("c") < F.col("c2")) & fits).select("x", F.col("x2").alias("y")).distinct()
-            more = verify(docs, cut(pairs, "pairs"), width, percent)
-            found = cut(components(links.union(more)), "components")
+    merged = cut(dealt.groupBy("bucket").applyInArrow(_merge, "blob binary"), "lists")
+    active, found = _placed(merged.mapInArrow(_explode, "h long, x long, n int, rest int"), None)
+
+    links, seed, joined = None, 0, 0
+    while not active.where(F.col("m") > LONG_LIST).isEmpty():
+        pairs = cut(_star_pairs(active, seed, percent), "stars")
+        more = verify(docs, pairs, width, percent)
+        links = cut(more if links is None else links.union(more), "links")
+        active, found = _placed(active, links)
+        seed, before, joined = seed + 1, joined, found.agg(F.count("*") - F.count_distinct("component")).first()[0]
+        if joined - before < PRODUCTIVE * pairs.select("x").distinct().count():
             break
-        before, seed = merges, seed + 1
-        centre = F.struct(F.xxhash64("x", F.lit(seed)).alias("r"), F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("c").alias("c2"))
-        centres = cut(active.groupBy("h").agg(F.min(centre).alias("s")).select("h", "s.x2", "s.n2", "s.rest2", "s.c2"), "centres")
-        stars = active.join(centres, "h").where((F.col("c") != F.col("c2")) & fits)
-        stars = _best(stars.select("x", F.col("x2").alias("y"), F.lit(1).alias("lists")))
-        links = cut(links.union(verify(docs, cut(stars, "stars"), width, percent)), "links")
+    pairs = _all_pairs(active, percent)
+    more = verify(docs, pairs, width, percent)
+    found = components(more if links is None else links.union(more))
 
     at = classes.select("d1", "d2", "x").join(found.withColumnRenamed("node", "x"), "x", "left")
     at = cut(at.select("d1", "d2", F.coalesce("component", "x").alias("component_id")), "membership")

@@ -6,9 +6,16 @@ import importlib
 
 #: Query name: (module, SQL is there).
 _QUERIES = {
+    "op1_url_filter": ("url_filter", True),
+    "op2_ann_search": ("nearest", False),
+    "op3_token_output": ("token_files", False),
     "op4_ngram_join": ("ngram_join", False),
+    "op5_quality_rules": ("quality_rules", False),
+    "op6_sentencepiece": ("piece_bpe", False),
     "op7_source_mixing": ("mixing", True),
+    "op8_language_id": ("language_id", False),
     "op9_line_dedup": ("line_dedup", False),
+    "op10_toxicity": ("toxicity", False),
 }
 
 

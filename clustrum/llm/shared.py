@@ -44,8 +44,14 @@ def drop(df: DataFrame) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Rows in an Arrow batch between the JVM and Python, unless the session sets its own: whole texts are long.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once a Spark application, so that their Python finds it anywhere."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once, unless one text alone is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: The bytes that end a word: blank, and tab to carriage return.
 WORD_END = r"[^\x20\x09-\x0D]+"
