@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,10 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     Null ids and labels are left out; a doc_id with several labels counts with the largest.
     """
     label = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     label = label.where("toxic in (0, 1)")
     prior = label.agg(F.avg("toxic")).first()[0]
-    some = label.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LABEL).select("doc_id", "toxic").toPandas()
+    first = [label.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL) for v in (0, 1)]
+    some = first[0].union(first[1]).toPandas()
     if some["toxic"].nunique() < 2:
         return None
     kind = dict(zip(some["doc_id"].tolist(), some["toxic"].tolist(), strict=True))
