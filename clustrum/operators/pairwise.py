@@ -81,18 +81,21 @@ def block_join(queries: DataFrame, fit: DataFrame, block: Block, schema: str, ex
     left = queries.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(max(1, parts)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = fit.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, parts) - 1).cast("long"))))
 
+    # names of its own for the fit side, which may be the queries' table itself
+    right = right.select(F.col("part").alias("fit_part"), F.col("block").alias("fit_block"), *(F.col(c).alias(f"fit_{c}") for c in wanted))
+
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
         ids, x = arrays(a.select(["row_id", "features"]), ["row_id", "features"])
-        own = arrays(b.select(wanted), wanted)
+        own = arrays(b.select([f"fit_{c}" for c in wanted]), wanted)
         return pa.Table.from_batches(list(over(ids, x, own[0], own[1], own[2] if extra else None)))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, schema)
+    return left.groupBy("part", "block").cogroup(right.groupBy("fit_part", "fit_block")).applyInArrow(meet, schema)
 
 
 def _by_rank(cols: list[str]) -> Column:
