@@ -28,7 +28,7 @@ from .shared import read_table, ship
 
 MARK = "▁"
 #: Runs, and pairs of pieces, that a table of a worker holds.
-RUNS, PAIRS = 250_000, 500_000
+RUNS, PAIRS = 700_000, 500_000
 
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -58,7 +58,8 @@ class PieceEncoder:
         self.letters = {c for p in self.id for c in p}
         #: Merged pieces of one score: the pairwise check can't order those merges, so runs with them are merged.
         often = Counter(s for p, s in self.score.items() if len(p) > 1)
-        self.tied = [p for p, s in self.score.items() if len(p) > 1 and often[s] > 1]
+        tied = [p for p, s in self.score.items() if len(p) > 1 and often[s] > 1]
+        self.tied = [p for p in tied if not any(q != p and q in p for q in tied)]
         self.automaton = ahocorasick.Automaton()
         for c in self.letters:
             self.automaton.add_word(c, c)
@@ -164,7 +165,7 @@ class PieceEncoder:
         return tuple(out)
 
     def _by_letters(self, run: str) -> list[str]:
-        if all(map(self.letters.__contains__, run)):
+        if self.letters.issuperset(run):
             return [run]
         out: list[str] = []
         for c in run:
@@ -174,15 +175,17 @@ class PieceEncoder:
                 out.append(c)
         return out
 
-    def _learn(self, run: str) -> tuple[tuple[int, ...], str]:
+    def _learn(self, run: str, key: str | None = None) -> tuple[tuple[int, ...], str]:
+        """The run's ids, remembered under the key: one mark and a word under the word."""
+        key = key or run
         if len(self.runs) >= RUNS:
             self.old, self.runs = self.runs, {}
-        found = self.old.get(run)
+        found = self.old.get(key)
         if found is None:
             ids = self.run_ids(run)
             found = ids, ",".join(map(str, ids))
         if len(run) <= 64:
-            self.runs[run] = found
+            self.runs[key] = found
         return found
 
     def parts(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
@@ -190,9 +193,15 @@ class PieceEncoder:
         if not text:
             return []
         text = self.prefix + text.replace(" ", MARK)
-        runs = _RUN.findall(text) if self.cut_at_marks else [text]
         get, learn = self.runs.get, self._learn
-        return [get(r) or learn(r) for r in runs]
+        if not self.cut_at_marks:
+            return [get(text) or learn(text)]
+        if MARK + MARK in text or text[0] != MARK or text[-1] == MARK:
+            keyed = [(r, r if r[0] == MARK else f"\0{r}") for r in _RUN.findall(text)]
+            return [get(k) or learn(r, k) for r, k in keyed]
+        runs = text.split(MARK)
+        del runs[0]
+        return [get(r) or learn(MARK + r, r) for r in runs]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for ids, _ in self.parts(text) for i in ids]
@@ -236,7 +245,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
     at = docs.columns.index(text)
-    schema = T.StructType(list(docs.schema)).add(new[0], "long").add(new[1], "string" if digests else "array<int>").add(new[2], "string")
+    schema = T.StructType(list(docs.schema)).add(new[0], "long").add(new[1], T.StringType() if digests else T.ArrayType(T.IntegerType())).add(new[2], "string")
     return docs.mapInArrow(lambda b: _encode(b, model, at, digests), schema)
 
 
