@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut, drop, read_table
 from .textkit import WORD_END
@@ -72,7 +73,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     by_text = by_text.withColumn("wide", F.md5("chunk")).select("h", "wide", "first", "n")
     repeated = cut(by_text.where("n > 1").select("h", "wide", "first", "n"), "chunks-repeated")
     if repeated.isEmpty():
-        removed = docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("gone", "array<struct<k:int,h:bigint>>"))
+        gone = T.ArrayType(T.StructType().add("k", T.IntegerType()).add("h", T.LongType()))
+        removed = docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"]]).add("gone", gone))
     else:
         places = docs.select("doc_id", F.explode(F.filter(cutting(docs), lambda c: c["heavy"])).alias("c"))
         places = places.select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("h"), F.md5("c.text").alias("wide"))
