@@ -15,6 +15,8 @@ from .stability import FitPredict
 
 #: Rows whose merge tree is condensed on the driver, at most.
 TREE_ROWS = 2_000_000
+#: Rows whose tree is grown on the driver, at most (a row of distances at a time).
+LOCAL_ROWS = 10_000
 
 
 def dbscan(eps: float, min_samples: int = 5) -> FitPredict:
@@ -35,13 +37,36 @@ def dbscan(eps: float, min_samples: int = 5) -> FitPredict:
     return fit_predict
 
 
-def minimum_spanning_tree(points: DataFrame, min_samples: int) -> DataFrame:
-    """u, v, w: the tree of least mutual reachability by Boruvka rounds; w = max(core u, core v, distance).
+def _prim(ids: np.ndarray, x: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
+    """The same tree of few rows, grown from one row; ties go to the smaller pair of ids here too."""
+    n = len(ids)
+    outside = np.ones(n, bool)
+    weight, low, high = np.full(n, np.inf), np.full(n, -1), np.full(n, -1)
+    at, edges = 0, []
+    for _ in range(n - 1):
+        outside[at] = False
+        d = np.round(np.maximum(np.maximum(distances(x[at : at + 1], x)[0], core), core[at]), 12)
+        a, b = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
+        better = outside & ((d < weight) | ((d == weight) & ((a < low) | ((a == low) & (b < high)))))
+        weight[better], low[better], high[better] = d[better], a[better], b[better]
+        left = np.flatnonzero(outside)
+        at = left[np.lexsort((high[left], low[left], weight[left]))[0]]
+        edges.append((int(low[at]), int(high[at]), float(weight[at])))
+    return edges
+
+
+def minimum_spanning_tree(points: DataFrame, min_samples: int, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """u, v, w: the tree of least mutual reachability; w = max(core u, core v, distance). Few rows are joined on the
+    driver, more by Boruvka rounds, to the same tree.
 
     The core distance is that to the min_samples-th row, itself counted. Each round finds the lightest edge out of every
     component block by block; ties go to the smaller pair of ids, so no cycle can arise.
     """
     core = knn(points, points, min_samples).groupBy("row_id").agg(F.max("dist").alias("core"))
+    if points.count() <= local_rows:
+        got = points.select("row_id", "features").join(core, "row_id").orderBy("row_id").collect()
+        edges = _prim(np.array([r["row_id"] for r in got], np.int64), np.array([r["features"] for r in got], float), np.array([r["core"] for r in got])) if got else []
+        return points.sparkSession.createDataFrame(edges, "u long, v long, w double")
     rows = cut(points.select("row_id", "features").join(core, "row_id").withColumn("component", F.col("row_id")), "reach")
     tree = None
     while rows.select("component").distinct().limit(2).count() > 1:

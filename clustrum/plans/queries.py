@@ -13,6 +13,8 @@ from clustrum.operators.preprocess import STRATEGIES, Preprocessor, Strategy, fi
 from clustrum.operators.schema import ColumnTypes, infer_column_types
 from clustrum.sources import sinks
 
+from . import workflow
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -440,6 +442,26 @@ def scan_k(spark, sf_dir):
     return stability.scan_clusters(lambda k: kmeans.kmeans(k, n_init=1, max_iter=20), points(spark, sf_dir), [2, 3], n_iter=2)
 
 
+@query()
+def density_sweep(spark, sf_dir):
+    return workflow.density_sweep(points(spark, sf_dir), (5,))
+
+
+@query()
+def linkage_scan(spark, sf_dir):
+    return workflow.linkage_scan(points(spark, sf_dir), [2, 3, 4])
+
+
+@query()
+def linkage_pick(spark, sf_dir):
+    return workflow.pick_linkage(linkage_scan(spark, sf_dir))
+
+
+@query()
+def strategy_comparison(spark, sf_dir):
+    return workflow.compare_strategies(customers(spark, sf_dir).drop("c_name"), "c_custkey", 3, 1, ("standard+onehot", "robust+ordinal"))
+
+
 # ---- consensus
 
 

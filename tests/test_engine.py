@@ -10,7 +10,7 @@ from clustrum.functions import profile
 from clustrum.operators import density, dimred, gmm, hierarchical, kmeans, metrics, pairwise, select, spectral, stability
 from clustrum.operators.preprocess import STRATEGIES, Preprocessor, Strategy, fit_yeo_johnson
 from clustrum.operators.schema import ColumnTypes, infer_column_types
-from clustrum.plans import queries as q
+from clustrum.plans import queries as q, workflow
 from clustrum.sources import sinks, tables as sources
 from clustrum.streaming import minibatch
 
@@ -184,6 +184,8 @@ def test_density(spark, blobs):
     small = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "row_id long, features array<double>")
     truth = spark.createDataFrame([(i, i % 3) for i in range(120)], "row_id long, label int")
     assert ari(density.hdbscan(10, 5)(small), truth) > 0.9
+    near, far = (sorted(map(tuple, density.minimum_spanning_tree(small, 5, n).collect())) for n in (1000, 0))
+    assert [e[:2] for e in near] == [e[:2] for e in far] and len(near) == 119
 
 
 def test_hierarchies_and_spectral(blobs):
@@ -291,3 +293,25 @@ def test_labels_do_not_depend_on_row_order(blobs):
     again = points.orderBy(F.desc("row_id")).repartition(7)
     assert as_dict(density.dbscan(1.5)(points)) == as_dict(density.dbscan(1.5)(again))
     assert as_dict(hierarchical.agglomerative(3)(points)) == as_dict(hierarchical.agglomerative(3)(again))
+
+
+def test_workflow(spark, blobs, monkeypatch):
+    points, labels, _, _ = blobs
+    scan = workflow.linkage_scan(points, [2, 3, 4], ("average", "ward"), 200, n_iter=1)
+    assert scan.count() == 6 and workflow.pick_linkage(scan).first()["k"] == 3
+    some = stability.sample_rows(points, 90)
+    sweep = workflow.density_sweep(some, (8,))
+    assert sweep.first()["n_clusters"] == 3 and workflow.pick_cluster_size(sweep, (8,)) == 8
+    clean = workflow.density_labels(some, 8)
+    assert clean.where("label = -1").count() == 0 and ari(clean, labels) > 0.95
+    with pytest.raises(ValueError):
+        workflow.density_labels(some, 8, "drop")
+    spaces = workflow.embed_and_cluster(points, 3, ((2, 10),), 200)
+    assert spaces.count() == 4 and spaces.first()["silhouette"] > 0.4
+    found, score, left_out = workflow.agree(points, [labels, labels.withColumn("label", (F.col("label") + 1) % 3)])
+    assert ari(found, labels) == 1.0 and score.first()["silhouette"] > 0.5 and left_out.count() == 2
+    best = workflow.compare_strategies(spark.createDataFrame(mixed()), "Id", 2, 1, ("standard+onehot", "robust+freq"))
+    assert best.count() == 2
+    assert workflow.final_selection(q.runs(spark))[1].count() == 1
+    curves = workflow.bic_curves(points, [2, 3], ("diag",), 1)
+    assert select.pick_bic(curves).first()["k"] == 3
