@@ -35,11 +35,16 @@ HOT_FROM, WINDOW = 4, 1_500_000
 BUCKET = 500_000
 #: Members from which a list is long; members that a round draws for it; those of them that a class is verified
 #: against; share of the verified classes that a round joins at least, else it is the last one before all pairs.
-LONG_LIST, DRAWN, TRIED, PRODUCTIVE = 64, 8, 2, 0.05
+LONG_LIST, DRAWN, TRIED, PRODUCTIVE = 64, 16, 8, 0.02
+#: Classes in a block whose pairs one task counts against another block's.
+GROUP_BLOCK = 2000
 #: Members of one list in one batch from which they are dealt over other buckets, with one of them in the list's own.
 LOCAL_HOT = 64
 #: Bits of the filter that says which sets a verification reads, at most.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
+
+#: Beyond counting, a shingle is known by the upper 48 bits of its hash: two that differ meet once in 10**14 pairs.
+SHORT = 6
 
 _SETS = "doc_id long, n long, d1 long, d2 long, prefix binary"
 
@@ -54,6 +59,19 @@ def overlap_needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in the same order."""
+    return (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def _long(raw, n: int | None = None, at: int = 0) -> np.ndarray:
+    """The hashes that _short() wrote, as numbers."""
+    n = (len(raw) - at) // SHORT if n is None else n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(raw, np.uint8, n * SHORT, at).reshape(n, SHORT)
+    return out.view("<u8")[:, 0]
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     window, size, seen = [], 0, set()
 
@@ -104,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch], hot, width: int, percent: int) -> I
                     met = keys[at] == s
                     if met.any():
                         order = s[np.argsort(np.where(met, counts[at], 0), kind="stable")]
-                prefix = order[: len(s) - needed(len(s), percent) + 1].tobytes()
+                prefix = _short(order[: len(s) - needed(len(s), percent) + 1])
             out.append((row, len(s), digest, prefix))
         two = np.frombuffer(b"".join(x[2] for x in out), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
@@ -115,7 +133,7 @@ def _sets(batches: Iterator[pa.RecordBatch], hot, width: int, percent: int) -> I
 
 def _pack(h: np.ndarray, rep: np.ndarray, n: np.ndarray, rest: np.ndarray) -> bytes:
     """Postings in the order of rep: list, class, size of the set, shingles from this one on."""
-    raw = b"".join((h.tobytes(), np.diff(rep, prepend=np.int64(0)).tobytes(), n.astype(np.int32).tobytes(), rest.astype(np.int32).tobytes()))
+    raw = b"".join((_short(h << np.uint64(16)), np.diff(rep, prepend=np.int64(0)).tobytes(), n.astype(np.int32).tobytes(), rest.astype(np.int32).tobytes()))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -123,8 +141,9 @@ def _unpack(blobs) -> tuple[np.ndarray, ...]:
     parts = []
     for blob in blobs:
         size = int.from_bytes(blob[:8], "little")
-        raw, m = pa.decompress(blob[8:], size, "zstd", asbytes=True), size // 24
-        parts.append((np.frombuffer(raw, np.uint64, m), np.cumsum(np.frombuffer(raw, np.int64, m, 8 * m)), np.frombuffer(raw, np.int32, m, 16 * m), np.frombuffer(raw, np.int32, m, 20 * m)))
+        raw, m = pa.decompress(blob[8:], size, "zstd", asbytes=True), size // (SHORT + 16)
+        at = SHORT * m
+        parts.append((_long(raw, m), np.cumsum(np.frombuffer(raw, np.int64, m, at)), np.frombuffer(raw, np.int32, m, at + 8 * m), np.frombuffer(raw, np.int32, m, at + 12 * m)))
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
@@ -133,7 +152,7 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         rep, size = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         order = np.argsort(rep, kind="stable")
         prefixes = batch.column(2).to_pylist()
-        lists = [np.frombuffer(prefixes[i], np.uint64) for i in order]
+        lists = [_long(prefixes[i]) for i in order]
         count = np.array([len(x) for x in lists])
         if not count.sum():
             continue
@@ -207,7 +226,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], wanted, size: int, width: in
             some = batch.take(pa.array(rows))
             for a in range(0, len(rows), 500):
                 part = some.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for _, s in textkit.shingle_rows(part.column(1), width)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_short(s) for _, s in textkit.shingle_rows(part.column(1), width)], pa.binary())], ["id", "shingles"])
 
 
 def probe(a: np.ndarray, b: np.ndarray, required: int) -> bool:
@@ -229,7 +248,7 @@ def _probe_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     for batch in batches:
         keep = []
         for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            a, b = _long(p.as_buffer()), _long(q.as_buffer())
             if len(a) and len(b) and probe(a, b, overlap_needed(len(a), len(b), percent)):
                 keep.append(i)
         if keep:
@@ -242,7 +261,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     spark = docs.sparkSession
     pairs = cut(pairs.select("x", "y"), "pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    size = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, ids.count()))), 12, np.log2(FILTER_BITS)))
+    size = 1 << int(np.clip(np.ceil(np.log2(64 * max(1, ids.count()))), 12, np.log2(FILTER_BITS)))
 
     def bit_rows(batches):
         for batch in batches:
@@ -291,18 +310,61 @@ def _overlap(percent: int):
 
 
 def _all_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that can be linked, by sizes, counts and places on their common short lists.
+    """All pairs of different components that can be linked, by sizes and by how many short lists they share.
 
     The merge must count T - L common short lists at least: the class whose short lists end first has at most L
     shingles after them. And the first common list leaves both classes as many shingles as the overlap needs.
+    Pairs on a long list are counted in blocks, the others by a join on lists of LONG_LIST members at most.
     """
-    right = active.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c")))
+    some = active.where(F.col("m") <= LONG_LIST)
+    right = some.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c")))
     alike = (F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    met = active.join(right, "h").where(alike).groupBy("x", F.col("x2").alias("y")).agg(
+    met = some.join(right, "h").where(alike).groupBy("x", F.col("x2").alias("y")).agg(
         F.count("*").alias("lists"), F.max(F.least("rest", "rest2")).alias("left"), F.max("n").alias("n"), F.max("n2").alias("n2")
     )
     aside = F.ceil(F.greatest("n", "n2") * percent / 100) - 1
-    return met.where((F.col("left") >= _overlap(percent)) & (F.col("lists") >= _overlap(percent) - aside)).select("x", "y")
+    few = met.where((F.col("left") >= _overlap(percent)) & (F.col("lists") >= _overlap(percent) - aside)).select("x", "y")
+    long = cut(active.where(F.col("m") > LONG_LIST).select("h", "x").distinct(), "long")
+    return few if long.isEmpty() else few.union(_block_pairs(active, long, percent))
+
+
+def _block_pairs(active: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """The pairs among classes that long lists connect: a group of them is cut into blocks, and each two blocks' common
+    short lists are counted in a task, which returns the pairs that can be linked only."""
+    stars = long.join(long.groupBy("h").agg(F.min("x").alias("v")), "h").select(F.col("x").alias("u"), "v").distinct()
+    groups = cut(components(stars), "groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    members = groups.join(sizes, "component").select(F.col("node").alias("x"), F.col("component").alias("g"), "blocks")
+    rows = active.groupBy("x").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.collect_set("h").alias("lists")).join(members, "x")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "x", "n", "c", "lists")
+    return rows.groupBy("g", "p", "q").applyInArrow(lambda t: _count_block(t, percent), "x long, y long")
+
+
+def _count_block(table: pa.Table, percent: int) -> pa.Table:
+    i, x, n, c = (table.column(k).to_numpy() for k in ("i", "x", "n", "c"))
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    lists = table.column("lists").combine_chunks()
+    row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+    h = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(h, kind="stable")
+    row, starts = row[order], np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    a_rows, b_rows = np.flatnonzero(i == p), np.flatnonzero(i == q)
+    at = np.full((2, len(x)), -1)
+    at[0, a_rows], at[1, b_rows] = np.arange(len(a_rows)), np.arange(len(b_rows))
+    shared = np.zeros((len(a_rows), len(b_rows)), np.int32)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+        if e - s > 1:
+            left, right = at[0, row[s:e]], at[1, row[s:e]]
+            left, right = left[left >= 0], right[right >= 0]
+            if len(left) and len(right):
+                shared[np.ix_(left, right)] += 1
+    ai, bi = np.nonzero(shared)
+    u, v = a_rows[ai], b_rows[bi]
+    small, big = np.minimum(n[u], n[v]).astype(np.int64), np.maximum(n[u], n[v]).astype(np.int64)
+    ok = (c[u] != c[v]) & (100 * small >= percent * big) & (shared[ai, bi] >= overlap_needed(small, big, percent) - needed(big, percent) + 1)
+    ok &= (p != q) | (x[u] < x[v])
+    return pa.table({"x": pa.array(x[u[ok]], pa.int64()), "y": pa.array(x[v[ok]], pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -318,7 +380,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, width))
     sets = cut(docs.mapInArrow(lambda b: _sets(b, hot, width, percent), _SETS), "sets")
     named = sets.where("n > 0 and doc_id is not null")
-    postings = named.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
+    postings = named.agg(F.sum(F.length("prefix")) / SHORT).first()[0] or 0
     buckets = max(64, int(postings // BUCKET))
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     dealt = classes.select("x", "n", "prefix").mapInArrow(lambda b: _postings(b, buckets), "bucket long, blob binary")
@@ -326,15 +388,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     active, found = _placed(merged.mapInArrow(_explode, "h long, x long, n int, rest int"), None)
 
     links, seed, joined = None, 0, 0
-    while not active.where(F.col("m") > LONG_LIST).isEmpty():
+    while on_long := active.where(F.col("m") > LONG_LIST).select("x").distinct().count():
         pairs = cut(_star_pairs(active, seed, percent), "stars")
         more = verify(docs, pairs, width, percent)
         links = cut(more if links is None else links.union(more), "links")
         active, found = _placed(active, links)
         seed, before, joined = seed + 1, joined, found.agg(F.count("*") - F.count_distinct("component")).first()[0]
-        if joined - before < PRODUCTIVE * pairs.select("x").distinct().count():
+        if joined - before < PRODUCTIVE * on_long:
             break
-    pairs = _all_pairs(active, percent)
+    pairs = _all_pairs(active, percent).distinct()
     more = verify(docs, pairs, width, percent)
     found = components(more if links is None else links.union(more))
 
