@@ -16,6 +16,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .shared import read_table, ship
 
 MARK = "▁"
 #: Runs, and pairs of pieces, that a table of a worker holds.
-RUNS, PAIRS = 700_000, 500_000
+RUNS, PAIRS = 350_000, 500_000
 
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -71,8 +72,9 @@ class PieceEncoder:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         #: Runs of late, and those before them: what is met again moves up, the rest goes when the first table is full.
-        self.runs: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.shown = [str(i) for i in range(len(model.pieces))]
         self.decoder = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def _ids(self, token: str) -> list[int]:
@@ -175,21 +177,20 @@ class PieceEncoder:
                 out.append(c)
         return out
 
-    def _learn(self, run: str, key: str | None = None) -> tuple[tuple[int, ...], str]:
+    def _learn(self, run: str, key: str | None = None) -> tuple[int, ...]:
         """The run's ids, remembered under the key: one mark and a word under the word."""
         key = key or run
         if len(self.runs) >= RUNS:
             self.old, self.runs = self.runs, {}
         found = self.old.get(key)
         if found is None:
-            ids = self.run_ids(run)
-            found = ids, ",".join(map(str, ids))
+            found = self.run_ids(run)
         if len(run) <= 64:
             self.runs[key] = found
         return found
 
-    def parts(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
-        """For each run of the text its ids, and the same as text."""
+    def parts(self, text: str | None) -> list[tuple[int, ...]]:
+        """The ids of each run of the text."""
         if not text:
             return []
         text = self.prefix + text.replace(" ", MARK)
@@ -204,7 +205,7 @@ class PieceEncoder:
         return [get(r) or learn(MARK + r, r) for r in runs]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.parts(text) for i in ids]
+        return list(chain.from_iterable(self.parts(text)))
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -221,11 +222,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, digests: bool
             batch = whole.slice(a, 256)
             ids, shown, decoded = [], [], []
             for text in batch.column(at).to_pylist():
-                parts = coder.parts(text)
-                ids.append([i for own, _ in parts for i in own])
+                ids.append(coder.encode(text))
                 decoded.append(coder.decoder.decode(ids[-1]))
                 if digests:
-                    shown.append(hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest())
+                    shown.append(hashlib.sha256(",".join(map(coder.shown.__getitem__, ids[-1])).encode()).hexdigest())
             n = pa.array([len(x) for x in ids], pa.int64())
             if digests:
                 new = [n, pa.array(shown), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]

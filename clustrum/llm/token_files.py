@@ -43,9 +43,17 @@ LEAST_SAVED = 0.02
 #: Bits of the hash table that finds a round's pairs.
 TABLE = 18
 #: Pieces of text whose ids a worker remembers, in each of two tables.
-CHUNKS = 400_000
+CHUNKS = 700_000
 
+#: Fixed value: what byte-level vocabularies write for a blank.
+BLANK = "Ġ"
+
+#: The last letter of the Latin blocks, up to which Python and the library agree on what a letter is.
+LAST_LATIN = "\u024f"
+
+#: White space before a blank: there the blank starts no piece.
 _AWKWARD = re.compile(r"\s ")
+_ASCII_AWKWARD = tuple(f"{c} " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f")
 _CODERS: dict[str, _Coder] = {}
 
 
@@ -64,15 +72,25 @@ class _Coder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if self.vocabulary < 1 << 16 else np.uint32
+        #: Whether a token's text starts with a blank.
+        self.blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith(BLANK) for i in range(self.vocabulary)])
+        self.model = self.tokenizer.model
+        self.raw = [np.array(i, self.dtype).tobytes() for i in range(self.vocabulary)]
+        # byte-level vocabularies write the bytes that can't be shown as the code points from 256 on
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.written = {b: 256 + i for i, b in enumerate(hidden)}
+        self.signs = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,;:!?"}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """The text cut before blanks; all but the first piece are without theirs, which are marked by the caller."""
+        """The text cut before blanks; all but the first piece are without theirs, and the first one starts with NUL."""
         parts = text.split(" ")
-        if not _AWKWARD.search(text) and not text.startswith(" "):
-            return [f"\x00{parts[0]}", *parts[1:]]
+        if not (text.startswith(" ") or (any(map(text.__contains__, _ASCII_AWKWARD)) if text.isascii() else _AWKWARD.search(text))):
+            parts[0] = "\x00" + parts[0]
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if out[-1] and not out[-1][-1].isspace():
@@ -81,27 +99,63 @@ class _Coder:
                 out[-1] += " " + p
         return [p[1:] if p.startswith(" ") and not p.startswith(" \x00") else f"\x00{p}" for p in out]
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a blank and a word of Latin letters, perhaps with one sign after it: the pre-tokenizer makes the word
+        and the sign one part each, which the library's model encodes; None for other pieces."""
+        tail = b""
+        if not piece.isalpha():
+            tail = self.signs.get(piece[-1:])
+            piece = piece[:-1]
+            if tail is None or not piece.isalpha():
+                return None
+        if max(piece) > LAST_LATIN:
+            return None
+        text = "Ġ" + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(self.written)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(text)]) + tail
+
+    def _ask(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces from the library: plain words by its model; others that end in no white space as one text, in
+        which a token that starts with a blank starts the next piece, since no piece has another blank; the rest one by one."""
+        found = {p: ids for p in pieces if (ids := self._word(p)) is not None}
+        plain = [p for p in pieces if p not in found and p and not p[0].isspace() and p[0] != "\x00" and not p[-1].isspace()]
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, self.dtype)
+            starts = np.flatnonzero(self.blank[ids])
+            if len(starts) == len(part) and not starts[0]:
+                raw, size = ids.tobytes(), ids.itemsize
+                ends = [*(starts[1:] * size).tolist(), len(raw)]
+                found.update(zip(part, map(raw.__getitem__, map(slice, (starts * size).tolist(), ends)), strict=True))
+        rest = [p for p in pieces if p not in found]
+        got = self.tokenizer.encode_batch([p[1:] if p.startswith("\x00") else " " + p for p in rest], add_special_tokens=False)
+        found.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(rest, got, strict=True))
+        return [found[p] for p in pieces]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
         # a piece that starts with NUL would be taken for a first one: such texts are encoded whole
         whole = {i for i, t in enumerate(texts) if t and " \x00" in t}
+        cut = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        get = self.new.get
+        ids = [list(map(get, ps)) for ps in cut]
+        missing = [(i, j) for i, own in enumerate(ids) if None in own for j, v in enumerate(own) if v is None]
+        if missing:
+            unknown, old = dict.fromkeys(cut[i][j] for i, j in missing), self.old
+            if len(self.new) + len(unknown) > CHUNKS:
+                self.old, self.new = self.new, {}
+            asked = []
+            for p in unknown:
+                if (known := old.get(p)) is not None:
+                    unknown[p] = known
+                else:
+                    asked.append(p)
+            unknown.update(zip(asked, self._ask(asked), strict=True))
+            self.new.update(unknown)
+            for i, j in missing:
+                ids[i][j] = unknown[cut[i][j]]
+        out = list(map(b"".join, ids))
         for i in whole:
-            cut[i] = []
-        missing = set().union(*cut) - self.new.keys()
-        if len(self.new) + len(missing) > CHUNKS:
-            self.old, self.new = self.new, {}
-            missing = set().union(*cut)
-        asked = []
-        for p in missing:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
-            else:
-                asked.append(p)
-        got = self.tokenizer.encode_batch([p[1:] if p.startswith("\x00") else " " + p for p in asked], add_special_tokens=False)
-        for p, e in zip(asked, got, strict=True):
-            self.new[p] = np.array(e.ids, self.dtype).tobytes()
-        find = self.new.__getitem__
-        return [np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes() if i in whole else b"".join(map(find, ps)) for i, ps in enumerate(cut)]
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
 
 
 def _coder(path: str) -> _Coder:
@@ -140,10 +194,14 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int =
         at = table[own]
         none = np.int32(2**31 - 1)
         place = np.where((pairs[at] == key) & open_, at, none)
-        better = np.empty(len(place), bool)
-        better[0], better[1:] = True, place[1:] < place[:-1]
-        better[:-1] &= place[:-1] <= place[1:]
-        chosen = np.flatnonzero(better & (place != none))
+        # a run of equal places (one id over and over) goes before worse neighbours, at every second place
+        begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        best = np.r_[none, place[begin], none]
+        first = (best[1:-1] != none) & ((best[1:-1] < best[:-2]) | (best[:-2] == none)) & ((best[1:-1] < best[2:]) | (best[2:] == none))
+        sizes = np.diff(np.r_[begin, len(place)])
+        begin, sizes = begin[first], sizes[first]
+        halves = (sizes + 1) // 2
+        chosen = np.repeat(begin, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))
         used = np.bincount(at[chosen], minlength=len(pairs))
         worth = used >= min(min_count, 4)
         if not worth.any():
