@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import read_table, ship
+from .shared import hash_place, read_table, sample_bound, ship, worker_tables
 from .textkit import blocks
 
 #: Labelled documents that a model is fitted on: at most so many in all and for each language, by the hash of the id.
@@ -101,12 +101,14 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15)
 def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
     """A model from (doc_id, text, lang) where `train` holds and lang isn't null; None if no text has a letter."""
     labelled = docs.where(train & F.col("lang").isNotNull())
-    top = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    top = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not top:
         return None
     quota = max(8, min(PER_LANGUAGE, SAMPLE // len(top)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where(F.col("lang").isin(top)).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota)
+    order = Window.partitionBy("lang").orderBy(hash_place("doc_id"), "doc_id")
+    bound = F.create_map(*(F.lit(x) for lang, n in sorted(top.items()) for x in (lang, sample_bound(quota, n))))
+    few = labelled.where(hash_place("doc_id") < F.try_element_at(bound, F.col("lang"))).select("lang", "doc_id")
+    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota)
     chosen = sorted({r["doc_id"] for r in ids.select("doc_id").collect() if r["doc_id"] is not None})
     rows = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "text").mapInArrow(_sample_rows, "lang string, tf binary").toPandas()
     if rows.empty:
@@ -134,6 +136,7 @@ def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.RecordBatch]:
+    worker_tables("language")
     model: Model | None = shared.value
     for whole in batches:
         for a in range(0, whole.num_rows, 500):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, read_table, ship
+from .shared import cut, first_by_hash, read_table, ship
 
 #: Vectors that the index is fitted on, at most, by the hash of the id; sample queries that set how many lists are probed.
 SAMPLE, TRIALS = 10_000, 400
@@ -92,7 +92,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 3) -> Index | None:
     """An index for (vec_id, embedding); None if no vector takes part."""
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     n = usable.count()
-    rows = usable.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    rows = first_by_hash(usable.select("vec_id", "embedding"), "vec_id", SAMPLE, n).toArrow()
     if not rows.num_rows:
         return None
     own, x = matrix(rows.column("embedding"))

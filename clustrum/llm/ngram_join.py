@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .shared import cut, drop, read_table, ship
+from .shared import cut, drop, read_table, ship, worker_tables
 
 WIDTH, PERCENT = 5, 75
 #: Shingles known as frequent, at most (12 bytes each, broadcast); they only set the order of the lists.
 HOT_SHINGLES = 1 << 18
 #: A task reports a shingle as frequent from this many sets among WINDOW shingles.
-HOT_FROM, WINDOW = 4, 1_500_000
+HOT_FROM, WINDOW = 4, 1_000_000
 #: Postings a bucket holds on average.
 BUCKET = 500_000
 #: Members from which a list is long; members that a round draws for it; those of them that a class is verified
@@ -73,6 +73,7 @@ def _long(raw, n: int | None = None, at: int = 0) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    worker_tables("shingles")
     window, size, seen = [], 0, set()
 
     def flush():
@@ -105,6 +106,7 @@ def frequent_shingles(docs: DataFrame, width: int, most: int = HOT_SHINGLES) ->
 
 
 def _sets(batches: Iterator[pa.RecordBatch], hot, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    worker_tables("shingles")
     keys, counts = hot.value
     seen: set[bytes] = set()
     for batch in batches:

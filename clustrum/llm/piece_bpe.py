@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from .shared import read_table, ship
+from .shared import read_table, ship, worker_tables
 
 MARK = "▁"
 #: Runs, and pairs of pieces, that a table of a worker holds.
-RUNS, PAIRS = 350_000, 500_000
+RUNS, PAIRS = 250_000, 300_000
 
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
@@ -210,9 +209,10 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process and model."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    kept = worker_tables("pieces")
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, digests: bool) -> Iterator[pa.RecordBatch]:

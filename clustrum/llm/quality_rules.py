@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import first_by_hash, read_table
 from .textkit import WORD_END
 
 #: Labelled documents that a list is learned from, at most: those of the smallest id hashes.
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     kinds there are no rules, so all that the base filter keeps is kept.
     """
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
+    some = first_by_hash(label, "doc_id", sample, label.count()).toPandas()
     if some["quality"].nunique() < 2:
         return []
     quality = dict(zip(some["doc_id"].tolist(), some["quality"].tolist(), strict=True))

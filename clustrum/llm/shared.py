@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -64,5 +65,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_TABLES: dict[str, dict] = {}
+
+
+def worker_tables(operator: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; the tables of other operators are given up, since
+    Spark hands the same workers from stage to stage."""
+    for other in [k for k in _TABLES if k != operator]:
+        del _TABLES[other]
+    return _TABLES.setdefault(operator, {})
+
+
+def hash_place(key: str) -> Column:
+    """A number below 2**30 that puts keys in a random order, the same in every run."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30))
+
+
+def sample_bound(limit: int, total: int) -> int:
+    """The place below which the first `limit` of `total` keys are for sure but for a chance of less than 10**-9: so few
+    rows are left that sorting them needs no task with all rows."""
+    return -(-(1 << 30) * min(total, 2 * limit + 200) // max(total, 1))
+
+
+def first_by_hash(df: DataFrame, key: str, limit: int, total: int) -> DataFrame:
+    """At most `limit` of the df's `total` rows, those whose keys come first in the random order."""
+    return df.where(hash_place(key) < sample_bound(limit, total)).orderBy(hash_place(key), key).limit(limit)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, scratch_root, ship
+from .shared import read_table, scratch_root, ship, worker_tables
 
 MAGIC, VERSION = b"REPAIRID", 1
 #: Ids after which a shard is closed.
@@ -54,7 +54,6 @@ LAST_LATIN = "\u024f"
 #: White space before a blank: there the blank starts no piece.
 _AWKWARD = re.compile(r"\s ")
 _ASCII_AWKWARD = tuple(f"{c} " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f")
-_CODERS: dict[str, _Coder] = {}
 
 
 class _Coder:
@@ -159,9 +158,10 @@ class _Coder:
 
 
 def _coder(path: str) -> _Coder:
-    if path not in _CODERS:
-        _CODERS[path] = _Coder(path)
-    return _CODERS[path]
+    kept = worker_tables("ids")
+    if path not in kept:
+        kept[path] = _Coder(path)
+    return kept[path]
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT, most: int = ROUND_PAIRS, least: float = LEAST_SAVED):
@@ -169,14 +169,18 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int =
     room = (1 << 16) - vocabulary if ids.dtype == np.uint16 else (1 << 31) - vocabulary
     wide = np.uint32 if ids.dtype == np.uint16 else np.uint64
     shift = wide(16 if ids.dtype == np.uint16 else 32)
-    seq, stop = ids, np.zeros(len(ids), bool)
-    stop[ends[ends > 0] - 1] = True
+    seq = ids
+    filled = np.diff(ends, prepend=0) > 0
+    stops = ends[filled] - 1  # places of the documents' last symbols
     rules: list[np.ndarray] = []
     made = 0
     while len(seq) > 1 and made < room:
         key = (seq[:-1].astype(wide) << shift) | seq[1:]
-        open_ = ~stop[:-1]
-        ordered = np.sort(key[open_])
+        closed = stops[stops < len(key)]
+        ordered = key.copy()
+        ordered[closed] = np.iinfo(wide).max  # pairs over the end of a document sort last and are left out
+        ordered.sort()
+        ordered = ordered[: len(key) - len(closed)]
         if not len(ordered):
             break
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
@@ -193,7 +197,8 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int =
         own = (key if wide is np.uint32 else (key ^ (key >> wide(29))).astype(np.uint32)) * np.uint32(2654435769) >> np.uint32(32 - TABLE)
         at = table[own]
         none = np.int32(2**31 - 1)
-        place = np.where((pairs[at] == key) & open_, at, none)
+        place = np.where(pairs[at] == key, at, none)
+        place[closed] = none
         # a run of equal places (one id over and over) goes before worse neighbours, at every second place
         begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         best = np.r_[none, place[begin], none]
@@ -210,10 +215,10 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int =
         symbol = np.cumsum(worth) - 1 + vocabulary + made
         seq = seq.copy()
         seq[chosen] = symbol[at[chosen]].astype(seq.dtype)
-        stop[chosen] |= stop[chosen + 1]
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
-        seq, stop = seq[keep], stop[keep]
+        seq = seq[keep]
+        stops = stops - np.searchsorted(chosen + 1, stops, "right")
         saved, whole = len(chosen), len(seq) + len(chosen)
         new = pairs[worth]
         rules.append(np.stack((new >> shift, new & wide((1 << int(shift)) - 1)), 1).astype(np.uint32))
@@ -221,7 +226,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int =
         if saved < least * whole:
             break
     symbol_ends = np.zeros(len(ends), np.int64)
-    symbol_ends[np.diff(ends, prepend=0) > 0] = np.flatnonzero(stop) + 1
+    symbol_ends[filled] = stops + 1
     return seq, np.maximum.accumulate(symbol_ends) if len(ends) else symbol_ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -289,7 +294,8 @@ class Shard:
         size = self.size[symbols]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.arange(total) + np.repeat(self.begin[symbols] - (ends - size), size)]
+        narrow = np.int32 if total + len(self.pool) < 2**31 else np.int64
+        return self.pool[np.arange(total, dtype=narrow) + np.repeat((self.begin[symbols] - (ends - size)).astype(narrow), size)]
 
     def document(self, place: int) -> np.ndarray:
         return self.expand(self.symbols[(self.symbol_ends[place - 1] if place else 0) : self.symbol_ends[place]])
@@ -303,8 +309,9 @@ class Shard:
         before = int(ends[a - 1]) if a else 0
         return self.expand(self.symbols[a:b])[start - before : stop - before]
 
-    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(self, dtype: str | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
         ids = self.expand(self.symbols)
+        ids = ids if dtype is None else ids.astype(dtype)
         begin = 0
         for doc, end in zip(self.doc_ids, self.token_ends.tolist(), strict=True):
             yield doc, ids[begin:end]
@@ -358,8 +365,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, seq, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             out = []
-            for doc, ids in Shard(payload).documents():
-                out.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            for doc, ids in Shard(payload).documents("<u4"):
+                out.append((doc, len(ids), zlib.crc32(ids)))
             sizes = np.array([x[1] for x in out], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(out), pa.int32()), pa.array([seq] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int64()),

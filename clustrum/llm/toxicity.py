@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import read_table, ship
+from .shared import first_by_hash, read_table, ship, worker_tables
 
 #: Labelled documents of either label that a model is fitted on, at most, by the hash of the id.
 PER_LABEL = 3000
@@ -280,8 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     """
     label = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     label = label.where("toxic in (0, 1)")
-    prior = label.agg(F.avg("toxic")).first()[0]
-    first = [label.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL) for v in (0, 1)]
+    n, toxic = label.agg(F.count("*"), F.sum("toxic")).first()
+    prior = (toxic or 0) / max(n, 1)
+    first = [first_by_hash(label.where(F.col("toxic") == v), "doc_id", PER_LABEL, m) for v, m in ((0, n - (toxic or 0)), (1, toxic or 0))]
     some = first[0].union(first[1]).toPandas()
     if some["toxic"].nunique() < 2:
         return None
@@ -291,19 +292,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     return fit_texts(rows["text"].tolist(), rows["doc_id"].map(kind).to_numpy() == 1, prior)
 
 
-_SCORERS: dict[tuple[str, ...], Scorer] = {}
-
-
 def _score(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
-    if model and model.landmarks not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.landmarks] = Scorer(model.landmarks, model.own)
+    scorers = worker_tables("toxicity")
+    if model and model.landmarks not in scorers:
+        scorers.clear()
+        scorers[model.landmarks] = Scorer(model.landmarks, model.own)
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
             batch = whole.slice(a, 500)
             if model:
-                score = model.score(_SCORERS[model.landmarks].texts(batch.column(at).to_pylist()))
+                score = model.score(scorers[model.landmarks].texts(batch.column(at).to_pylist()))
             else:
                 score = np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [str(i) for i in range(len(batch.columns) + 1)])
