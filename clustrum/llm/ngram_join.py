@@ -262,7 +262,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     """The (x, y) whose sets are linked, as (u, v). The sets are made again from the texts that a bit filter lets pass."""
     spark = docs.sparkSession
     pairs = cut(pairs.select("x", "y"), "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     size = 1 << int(np.clip(np.ceil(np.log2(64 * max(1, ids.count()))), 12, np.log2(FILTER_BITS)))
 
     def bit_rows(batches):
@@ -280,15 +280,11 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return both.mapInArrow(lambda b: _probe_pairs(b, percent), "u long, v long")
 
 
-def _placed(active: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """The postings of lists whose members lie in several components, with the component c and the list's length m."""
-    found = None
-    if links is None:
-        placed = active.withColumn("c", F.col("x"))
-    else:
-        found = cut(components(links), "components")
-        placed = active.drop("c", "m").join(found.withColumnRenamed("node", "x"), "x", "left")
-        placed = placed.select("h", "x", "n", "rest", F.coalesce("component", "x").alias("c"))
+def _placed(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings (h, x, n, rest) of lists whose members lie in several components of the links, with the component c
+    and the list's length m; and the components."""
+    found = cut(components(links), "components")
+    placed = postings.join(found.withColumnRenamed("node", "x"), "x", "left").select("h", "x", "n", "rest", F.coalesce("component", "x").alias("c"))
     placed = cut(placed, "placed")
     split = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
     out = cut(placed.join(cut(split.select("h", "m"), "split"), "h"), "active")
@@ -387,20 +383,22 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     dealt = classes.select("x", "n", "prefix").mapInArrow(lambda b: _postings(b, buckets), "bucket long, blob binary")
     merged = cut(dealt.groupBy("bucket").applyInArrow(_merge, "blob binary"), "lists")
-    active, found = _placed(merged.mapInArrow(_explode, "h long, x long, n int, rest int"), None)
-
-    links, seed, joined = None, 0, 0
-    while on_long := active.where(F.col("m") > LONG_LIST).select("x").distinct().count():
-        pairs = cut(_star_pairs(active, seed, percent), "stars")
-        more = verify(docs, pairs, width, percent)
-        links = cut(more if links is None else links.union(more), "links")
-        active, found = _placed(active, links)
-        seed, before, joined = seed + 1, joined, found.agg(F.count("*") - F.count_distinct("component")).first()[0]
-        if joined - before < PRODUCTIVE * on_long:
+    postings = merged.mapInArrow(_explode, "h long, x long, n int, rest int")
+    long = postings.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > LONG_LIST).select("h")
+    long = cut(postings.join(long, "h", "left_semi"), "long")
+    links = spark.createDataFrame([], "u long, v long")
+    seed, joined = 0, 0
+    while not long.isEmpty():
+        active, found = _placed(long, links)
+        before, joined = joined, found.agg(F.count("*") - F.count_distinct("component")).first()[0]
+        on_long = active.select("x").distinct().count()
+        if not on_long or (seed and joined - before < PRODUCTIVE * on_long):
             break
-    pairs = _all_pairs(active, percent).distinct()
-    more = verify(docs, pairs, width, percent)
-    found = components(more if links is None else links.union(more))
+        links = cut(links.union(verify(docs, _star_pairs(active, seed, percent), width, percent)), "links")
+        seed += 1
+    active, found = _placed(postings, links)
+    links = links.union(verify(docs, _all_pairs(active, percent).distinct(), width, percent))
+    found = components(links)
 
     at = classes.select("d1", "d2", "x").join(found.withColumnRenamed("node", "x"), "x", "left")
     at = cut(at.select("d1", "d2", F.coalesce("component", "x").alias("component_id")), "membership")
