@@ -1,12 +1,16 @@
-"""Line dedup by content-defined chunks of lines: a chunk that stood earlier in the corpus is removed."""
+"""Line dedup by content-defined chunks of lines: a chunk that stood earlier in the corpus is removed.
+
+Cuts may fall inside a passage and its edges may share a chunk with other lines, so passages of MIN_WORDS words or more
+are also compared by windows: the fewest whole lines with that many words from each line on, and up to each line. Every
+line of a repeated passage is in such a window that lies in the passage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import cut, drop, read_table
+from .shared import cut, read_table
 from .textkit import WORD_END
 
 #: A chunk is compared with the corpus if it has this many lines, or this many words.
@@ -46,7 +50,7 @@ def chunks(text: Column, min_lines: int, min_words: int, divisor: int) -> Column
             n_words = F.aggregate(own, F.lit(0), lambda s, x: s + x["w"])
             n_lines = stop - begin + 1
             return F.struct(
-                k.alias("k"), F.array_join(F.transform(own, lambda x: x["l"]), "\n").alias("text"), n_lines.alias("n_lines"), n_words.alias("n_words"),
+                k.alias("k"), begin.alias("b"), F.array_join(F.transform(own, lambda x: x["l"]), "\n").alias("text"), n_lines.alias("n_lines"), n_words.alias("n_words"),
                 ((n_words > 0) & ((n_lines >= min_lines) | (n_words >= min_words))).alias("heavy"),
             )
 
@@ -56,51 +60,86 @@ def chunks(text: Column, min_lines: int, min_words: int, divisor: int) -> Column
     return let(line, build)
 
 
+def windows(text: Column, min_words: int) -> Column:
+    """The text's windows of two or more lines: array of struct(b, e, d), first and last line and a SHA-256 digest.
+
+    A window has the fewest lines with min_words words from a line on, or up to it; lines without words begin and end
+    none. The line of each word is listed, so that a window's other end is a look-up: time and memory follow the words.
+    """
+
+    def build(lines: Column) -> Column:
+        owner = F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, x["w"])))
+
+        def ends(owner: Column) -> Column:
+            n = F.size(owner)
+            firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda t: (t == 0) | (F.get(owner, t) != F.get(owner, t - 1)))
+            # a line's first word opens the window from it on, and the word before it closes the window up to the line before
+            onward = F.transform(firsts, lambda t: F.struct(F.get(owner, t).alias("b"), F.get(owner, t + (min_words - 1)).alias("e")))
+            upto = F.transform(F.concat(firsts, F.array(n)), lambda t: F.struct(F.get(owner, t - min_words).alias("b"), F.get(owner, t - 1).alias("e")))
+            both = F.array_distinct(F.filter(F.concat(onward, upto), lambda s: s["b"] < s["e"]))
+            return F.when(n >= min_words, both)
+
+        def digest(s: Column) -> Column:
+            own = F.slice(lines, s["b"] + 1, s["e"] - s["b"] + 1)
+            return F.unhex(F.sha2(F.array_join(F.transform(own, lambda x: x["d"]), ""), 256))
+
+        return F.transform(let(owner, ends), lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), digest(s).alias("d")))
+
+    line = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.sha2(x, 256).alias("d"), F.regexp_count(x, F.lit(WORD_END)).alias("w")))
+    return let(line, build)
+
+
+def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """_gone_id, _t, b, e: windows that stood earlier in the corpus, at a place that they don't overlap."""
+    some = docs.where(F.instr("text", "\n") > 0).select(F.col("doc_id").alias("_gone_id"), F.xxhash64("text").alias("_t"), F.explode(windows(F.col("text"), min_words)).alias("s"))
+    spans = cut(some.select("_gone_id", "_t", "s.b", "s.e", "s.d"), "windows")
+    first = spans.groupBy("d").agg(F.min(F.struct("_gone_id", "_t", "b")).alias("first"), F.count("*").alias("n"))
+    first = cut(first.where("n > 1").select("d", "first"), "windows-repeated")
+    here = F.col("first._gone_id").eqNullSafe(F.col("_gone_id")) & (F.col("first._t") == F.col("_t")) & (F.col("b") <= F.col("first.b") + F.col("e") - F.col("b"))
+    return spans.join(first, "d").where(~here).select("_gone_id", "_t", "b", "e")
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, divisor: int = DIVISOR) -> DataFrame:
     """docs with the text that remains, and _n_lines, _removed_lines, _removed_words.
 
     Of equal chunks (byte for byte) the one of the smallest (doc_id, place) stays. The chunk texts themselves are
-    grouped, so bytes decide what is repeated; afterwards a repeated text is named by its hash and its MD5 digest.
+    grouped, so bytes decide what is repeated; afterwards a repeated text is named by its hash and its MD5 digest. Of
+    equal windows, by their SHA-256 digests, the one of the smallest (doc_id, place) and those that overlap it stay.
     A null text stays null, an empty text empty; rows with a null doc_id stay whole and come first; rows that repeat
     doc_id and text are one document and keep the same lines; an empty table gives an empty result; other columns are
     kept. Texts of any length are cut whole.
     """
     doc_type = docs.schema["doc_id"].dataType
-    cutting = lambda d: chunks(d["text"], min_lines, min_words, divisor)
-    found = docs.select("doc_id", F.explode(F.filter(cutting(docs), lambda c: c["heavy"])).alias("c"))
-    found = found.select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
+    heavy = F.explode(F.filter(chunks(F.col("text"), min_lines, min_words, divisor), lambda c: c["heavy"])).alias("c")
+    found = docs.select("doc_id", heavy).select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
     by_text = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
     by_text = by_text.withColumn("wide", F.md5("chunk")).select("h", "wide", "first", "n")
     repeated = cut(by_text.where("n > 1").select("h", "wide", "first", "n"), "chunks-repeated")
-    if repeated.isEmpty():
-        gone = T.ArrayType(T.StructType().add("k", T.IntegerType()).add("h", T.LongType()))
-        removed = docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"]]).add("gone", gone))
-    else:
-        places = docs.select("doc_id", F.explode(F.filter(cutting(docs), lambda c: c["heavy"])).alias("c"))
-        places = places.select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("h"), F.md5("c.text").alias("wide"))
-        again = places.join(repeated.select("h", "wide", "first"), ["h", "wide"])
-        again = again.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k"))))
-        removed = again.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("k").cast("int").alias("k"), "h")).alias("gone"))
-    removed = removed.withColumnRenamed("doc_id", "_gone_id").withColumnRenamed("gone", "_gone")
-    joined = docs.join(removed, docs["doc_id"] == F.col("_gone_id"), "left").drop("_gone_id")
-
-    def apply(cs: Column) -> Column:
-        kept = F.filter(cs, lambda c: ~F.array_contains(F.col("_gone"), F.struct(c["k"].cast("int").alias("k"), F.xxhash64(c["text"]).alias("h"))))
-        return F.struct(
-            F.array_join(F.transform(kept, lambda c: c["text"]), "\n").alias("text"),
-            (F.aggregate(cs, F.lit(0), lambda s, c: s + c["n_lines"]) - F.aggregate(kept, F.lit(0), lambda s, c: s + c["n_lines"])).alias("lines"),
-            (F.aggregate(cs, F.lit(0), lambda s, c: s + c["n_words"]) - F.aggregate(kept, F.lit(0), lambda s, c: s + c["n_words"])).alias("words"),
-        )
-
-    joined = joined.withColumn("_new", F.when(F.col("_gone").isNotNull(), let(cutting(joined), apply)))
+    again = repeated_windows(docs, min_words)
+    if not repeated.isEmpty():
+        places = docs.select("doc_id", F.xxhash64("text").alias("_t"), heavy)
+        places = places.select("doc_id", "_t", "c.k", "c.b", (F.col("c.b") + F.col("c.n_lines") - 1).alias("e"), F.xxhash64("c.text").alias("h"), F.md5("c.text").alias("wide"))
+        places = places.join(repeated.select("h", "wide", "first"), ["h", "wide"])
+        places = places.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k"))))
+        again = again.union(places.select("doc_id", "_t", "b", "e"))
+    removed = again.groupBy("_gone_id", "_t").agg(F.collect_set(F.struct("b", "e")).alias("_gone"))
+    joined = docs.join(removed, (docs["doc_id"] == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left").drop("_gone_id", "_t")
+
+    def remaining(lines: Column) -> Column:
+        gone = F.flatten(F.transform("_gone", lambda s: F.sequence(s["b"], s["e"])))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+
+    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), let(F.split("text", "\n", -1), remaining)))
+    joined = joined.withColumn("_new", F.array_join("_kept", "\n"))
+    n_lines, n_words = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), lambda c: F.regexp_count(c, F.lit(WORD_END))
     return joined.withColumns(
         {
-            "_n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"),
-            "_removed_lines": F.coalesce(F.col("_new.lines"), F.lit(0)).cast("long"),
-            "_removed_words": F.coalesce(F.col("_new.words"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_new.text")),
+            "_n_lines": n_lines.cast("long"),
+            "_removed_lines": F.when(F.col("_gone").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long"),
+            "_removed_words": F.when(F.col("_gone").isNull(), 0).otherwise(n_words(F.col("text")) - n_words(F.col("_new"))).cast("long"),
+            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_new")),
         }
-    ).withColumn("doc_id", F.col("doc_id").cast(doc_type)).drop("_gone", "_new")
+    ).withColumn("doc_id", F.col("doc_id").cast(doc_type)).drop("_gone", "_kept", "_new")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

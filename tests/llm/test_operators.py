@@ -146,6 +146,32 @@ def test_line_dedup_against_definition(spark):
     assert got == want and got != dict(enumerate(texts))
 
 
+def test_line_dedup_passages_of_short_lines(spark):
+    """A repeated passage of 50 words or more goes whole, however it is broken into lines and whatever stands around it."""
+    rng = random.Random(9)
+    texts, own = [], []
+    for p in range(40):
+        sizes = [(30, 25), (20, 20, 20), (49, 1, 10), (1, 49), (12, 12, 12, 12, 12), (49, 49, 3), (10, 60, 5), (17, 0, 17, 17)][p % 8]
+        passage = "\n".join(" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in sizes)
+        for _ in range(2):
+            before, after = (["x" + str(rng.randrange(10**9))] * rng.randint(1, 3) for _ in range(2))
+            texts.append("\n".join([*before, passage, *after]))
+            own.append("\n".join([*before, *after]))
+    short = "\n".join(f"lone{i} " * 5 for i in range(3))
+    texts += [short + "\nunlike", "other\n" + short]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    for i in range(80):
+        assert out[i]["text"] == (own[i] if i % 2 else texts[i])
+    assert out[1]["_removed_lines"] == 2 and out[1]["_removed_words"] == 55
+    # a line that repeats keeps one window of itself
+    many = line_dedup.dedup_lines(docs(spark, ["\n".join(f"start{i} own{i}" for i in range(2)) + "\n" + "\n".join(["ten " * 10] * 3)])).collect()
+    assert many[0]["text"].count("ten") >= 10
+    # without a repeat nothing goes; rows that repeat doc_id and text are alike
+    assert all(r["_removed_lines"] == 0 for r in line_dedup.dedup_lines(docs(spark, texts[:80:2])).collect())
+    same = line_dedup.dedup_lines(docs(spark, [texts[0], texts[1], texts[1]], [1, 2, 2])).collect()
+    assert [r["text"] for r in sorted(same, key=lambda r: r["doc_id"])] == [texts[0], own[1], own[1]]
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
     wide = " ".join(["word"] * 60)
