@@ -15,8 +15,6 @@ from .shared import read_table
 
 #: Intervals are cut at multiples of this many seconds, so that one key's captures meet few intervals at a time.
 BUCKET_S = 90 * 86_400
-#: Labels of a host's name and segments of a path that keys are made of, at most; longer list keys never match.
-MAX_LABELS, MAX_SEGMENTS = 8, 4
 
 
 def host_of(url: Column) -> Column:
@@ -32,20 +30,29 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def keys_of(url: Column) -> Column:
-    """All list keys that a URL falls under: each suffix of its host, alone and with each directory of its path."""
+def keys_of(url: Column, n_labels: int, n_folders: int) -> Column:
+    """The list keys that a URL falls under: each suffix of its host, alone and with each directory of its path, of at
+    most n_labels labels and n_folders folders. With the list's own extent() no key of the list is left out."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), n - (MAX_LABELS - 1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), n - (n_labels - 1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     parts = F.split(path, "/", -1)
     inner = F.size(parts) - 2
-    deep = F.least(F.lit(MAX_SEGMENTS), inner)
+    deep = F.least(F.lit(n_folders), inner)
     folders = F.when(deep >= 1, F.transform(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i + 1), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     both = F.flatten(F.transform(suffixes, lambda s: F.concat(F.array(s), F.transform(folders, lambda f: F.concat(s, f)))))
     return F.when(host.isNotNull(), F.array_distinct(both))
 
 
+def extent(events: DataFrame) -> tuple[int, int]:
+    """The most labels of a host and the most folders among the keys that the list blocks at any time."""
+    n_labels = F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1))
+    n_folders = F.size(F.split("key", "/", -1)) - 2
+    most = events.where("key is not null and action = 'block'").agg(F.max(n_labels), F.max(n_folders)).first()
+    return max(1, most[0] or 0), max(0, most[1] or 0)
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(key, kind, since, until) during which a key is blocked; until is null for those that hold still.
 
@@ -68,7 +75,8 @@ def url_filter(captures: DataFrame, events: DataFrame, bucket_s: int = BUCKET_S)
     empty tables give no row or no block. Columns of captures that have one of the new names are replaced.
 
     Intervals and captures meet by key and time bucket, an equi-join that Spark can split where a host is hot; an open
-    interval is cut at the last fetch time. Each (capture, key) meets one interval at most.
+    interval is cut at the last fetch time. Each (capture, key) meets one interval at most. Keys of a URL are made up to
+    the labels and folders of the longest key in the list, so every entry is looked up, however long.
     """
     new = ["blocked", "block_key", "block_kind", "block_since"]
     captures = captures.select(*[c for c in captures.columns if c not in new])
@@ -84,7 +92,7 @@ def url_filter(captures: DataFrame, events: DataFrame, bucket_s: int = BUCKET_S)
 
     # one row a distinct (url, time): repeated captures are looked up once, and the answer is joined back by them
     asked = captures.select("url", F.col("fetched_at").cast("timestamp_ntz").alias("at")).where("url is not null and at is not null").distinct()
-    asked = asked.withColumn("key", F.explode(keys_of(F.col("url")))).withColumn("bucket", bucket(F.col("at")))
+    asked = asked.withColumn("key", F.explode(keys_of(F.col("url"), *extent(events)))).withColumn("bucket", bucket(F.col("at")))
     on = (F.col("key") == F.col("_key")) & (F.col("bucket") == F.col("_bucket")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     best = F.min(F.struct((-F.length("key")).alias("n"), F.col("key"), F.col("kind"), F.col("since")))
     hits = asked.join(spans, on).groupBy("url", "at").agg(best.alias("_hit")).select(F.col("url").alias("_url"), F.col("at").alias("_at"), "_hit")

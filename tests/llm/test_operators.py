@@ -428,6 +428,23 @@ def test_url_filter(spark):
     assert url_filter.url_filter(captures.limit(0), events).count() == 0
 
 
+def test_url_filter_long_keys(spark):
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    host, folders = "a.b.c.d.e.f.g.bad.org", "deep.org/1/2/3/4/5/"
+    schema = "key string, at timestamp_ntz, action string, kind string"
+    events = spark.createDataFrame([(host, day(1), "block", "spam"), (folders, day(1), "block", "ads"), (f"{host}/x/", day(5), "block", "more")], schema)
+    urls = {
+        f"http://{host}/": host, f"http://z.{host}/x/y": f"{host}/x/", "http://b.c.d.e.f.g.bad.org/": None, "http://bad.org/x/": None,
+        "http://deep.org/1/2/3/4/5/page": folders, "http://www.deep.org/1/2/3/4/5/6/7/": folders, "http://deep.org/1/2/3/4/5": None, "http://deep.org/2/3/4/5/": None,
+    }
+    captures = spark.createDataFrame([(u, day(9)) for u in urls], "url string, fetched_at timestamp_ntz")
+    assert {r["url"]: r["block_key"] for r in url_filter.url_filter(captures, events).collect()} == urls
+    # a page on a host of nine labels that the query's own list blocks
+    pages = spark.createDataFrame([(i, f"http://h{i}.b.c.d.e.f.g.long.org/") for i in range(300)], "page_id long, url string")
+    out = url_filter.url_filter(url_filter.page_captures(pages), url_filter.page_events(pages)).where("blocked and block_key like 'h%'")
+    assert out.count() > 0
+
+
 def test_registered_sql(spark, tables):
     import duckdb
 
