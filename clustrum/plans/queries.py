@@ -517,14 +517,14 @@ def pca_projection(spark, sf_dir):
 
 @query()
 def umap_layout(spark, sf_dir):
-    return dimred.umap(points(spark, sf_dir), 2, 15, epochs=50)
+    return dimred.umap_all(points(spark, sf_dir), 2, 15, epochs=50)
 
 
 @query()
 def embedding_clusters(spark, sf_dir):
     """Each embedding clustered and scored in its own space."""
     p = points(spark, sf_dir)
-    spaces = {"pca_2": dimred.as_points(dimred.fit_pca(p).transform(p, 2)), "umap_d2_nn15": dimred.as_points(dimred.umap(p, 2, 15, epochs=50))}
+    spaces = {"pca_2": dimred.as_points(dimred.fit_pca(p).transform(p, 2)), "umap_d2_nn15": dimred.as_points(dimred.umap_all(p, 2, 15, epochs=50))}
     out = None
     for space, rows in spaces.items():
         rows = rows.persist()

@@ -246,6 +246,34 @@ def test_reduction(blobs):
     assert metrics.internal_metrics(layout, labels).first()["silhouette"] > 0.4
 
 
+def test_layout_of_all_rows(spark, blobs):
+    points, labels, x, _ = blobs
+    whole = dimred.as_points(dimred.umap_all(points, 2, 10, epochs=60, max_rows=200))
+    assert whole.count() == whole.select("row_id").distinct().count() == len(x)
+    assert metrics.internal_metrics(whole, labels).first()["silhouette"] > 0.4
+    fitted = {r["row_id"]: r["z"] for r in dimred.umap(points, 2, 10, epochs=60, max_rows=200).collect()}
+    placed = {r["row_id"]: r["features"] for r in whole.collect()}
+    features = {r["row_id"]: np.array(r["features"]) for r in points.collect()}
+    other = min(set(placed) - set(fitted))
+    near = sorted((np.linalg.norm(features[other] - features[i]), i) for i in fitted)[:10]
+    want = sum(np.array(fitted[i]) / d for d, i in near) / sum(1 / d for d, _ in near)
+    assert all(placed[i] == z for i, z in fitted.items()) and np.allclose(placed[other], want)
+    # a row that equals a laid-out one, with an id that the sample puts last, stands where that one stands
+    last, one = max(range(10**6, 10**6 + 1000), key=lambda i: (i * 2654435761 + 42 * 40503) % 2**32), min(fitted)
+    twin = points.select("row_id", "features").union(spark.createDataFrame([(last, features[one].tolist())], "row_id long, features array<double>"))
+    both = {r["row_id"]: r["z"] for r in dimred.umap_all(twin, 2, 10, epochs=60, max_rows=200).collect()}
+    assert len(both) == len(x) + 1 and np.allclose(both[last], fitted[one], atol=1e-4)
+
+
+def test_layout_query_returns_all_rows(spark, blobs, monkeypatch):
+    points, _, x, _ = blobs
+    monkeypatch.setattr(q, "points", lambda *_: points)
+    for f in vars(dimred).values():
+        if dimred.LAYOUT_ROWS in (getattr(f, "__defaults__", None) or ()):
+            monkeypatch.setattr(f, "__defaults__", tuple(200 if v == dimred.LAYOUT_ROWS else v for v in f.__defaults__))
+    assert q.QUERIES["umap_layout"](spark, "").count() == len(x)
+
+
 def test_ranking(spark):
     ranked = select.rank_candidates(q.runs(spark))
     first = [r["notebook"][:2] for r in ranked.limit(6).collect()]
