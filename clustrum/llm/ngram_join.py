@@ -111,10 +111,12 @@ def _sets(batches: Iterator[pa.RecordBatch], hot, width: int, percent: int) -> I
     seen: set[bytes] = set()
     for batch in batches:
         ids, out = batch.column(0), []
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
         for row, s in textkit.shingle_rows(batch.column(1), width):
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             prefix = None
-            if len(s) and digest not in seen:
+            # rows without doc_id are dropped later, so a prefix made there would be lost to the class
+            if named[row] and len(s) and digest not in seen:
                 seen.add(digest)
                 if len(seen) > 200_000:
                     seen.clear()

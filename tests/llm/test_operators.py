@@ -88,6 +88,13 @@ def test_ngram_join_edges(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_ngram_join_text_first_met_without_id(spark):
+    t = "one two three four five six seven"
+    rows = docs(spark, [t, t, t + " eight", "q"], [None, 4, 5, 6]).coalesce(1)
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(rows).collect())
+    assert got == Counter([(None, None), (4, 4), (5, 4), (6, 6)])
+
+
 def test_components_both_ways(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(40)]
