@@ -1,21 +1,29 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, and the components of its links.
 
-A set of s shingles that is similar enough to another one shares at least T = ceil(0.75 s) of them. DivideSkip sets
-aside the L longest inverted lists of a query and merges the others: a text that stands on fewer than T - L of the
-merged lists is out, and the lists aside are only probed for those that are left. Here L = T - 1 throughout, so the
-s - T + 1 shortest lists of each set are the only ones that are ever built (as sorted postings in hash buckets, merged
-by list), one common short list makes a candidate, and the long lists are probed by binary search in the candidate's
-sorted set until the required overlap is reached or out of reach.
-
-Equal sets are one class. Links are needed as components only, so long lists whose members lie in several components
-first have every member verified against a few of them, and this is repeated while it still joins many; the last round
-verifies all pairs of different components that share a short list. No link between different sets is lost.
+A set of s shingles that is similar enough to another one shares at least T = ceil(0.75 s) of them. The inverted lists
+are made in hash buckets, which tell each class of equal sets which of its shingles stand in another class too, and in
+how many. Two linked classes both have their rarest common shingle among their s - T + 1 rarest ones (Chaudhuri et al.
+2006), so classes that share none of those can't be linked, nor can a class of which fewer than T shingles stand
+anywhere else. What is left falls into groups that are connected by such rare shingles. Each group, or block of a large
+group, has its inverted index in one task, and every class is searched in it by DivideSkip (Li, Lu and Lu 2008): the L
+longest of its lists are set aside, L = T / (MU log2 M + 1) for a longest list of M; the short ones are merged by a
+heap, which skips to the first id that can still stand on T - L of them; and the long ones are probed by binary search
+for the ids that do, until the required overlap is reached or out of reach.
+
+Links are needed as components only. So a class that is linked with an earlier one isn't put in the index at first,
+and afterwards the classes outside a group's largest component are searched among all of the group. A group too large
+for one task is cut into blocks that share a few of its classes, and the classes left outside its largest component
+visit all blocks. No link between different components is lost.
+
+Shingles are known by 64 bits of a hash: two different ones of a pair of sets of 500 meet once in 10**13 pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +35,23 @@ from .components import components
 from .shared import cut, drop, read_table, ship, worker_tables
 
 WIDTH, PERCENT = 5, 75
-#: Shingles known as frequent, at most (12 bytes each, broadcast); they only set the order of the lists.
+#: Shingles known as frequent beforehand, at most (12 bytes each, broadcast). They come last in the order of rarity and
+#: get no list in the buckets, so no bucket holds a list of a large share of all classes.
 HOT_SHINGLES = 1 << 18
 #: A task reports a shingle as frequent from this many sets among WINDOW shingles.
 HOT_FROM, WINDOW = 4, 1_000_000
-#: Postings a bucket holds on average.
-BUCKET = 500_000
-#: Members from which a list is long; members that a round draws for it; those of them that a class is verified
-#: against; share of the verified classes that a round joins at least, else it is the last one before all pairs.
-LONG_LIST, DRAWN, TRIED, PRODUCTIVE = 64, 16, 8, 0.02
-#: Classes in a block whose pairs one task counts against another block's.
-GROUP_BLOCK = 2000
-#: Members of one list in one batch from which they are dealt over other buckets, with one of them in the list's own.
+#: Postings that a task deals to the buckets at once; postings of a list bucket and of a class bucket on average.
+CHUNK, BUCKET, CLASS_BUCKET = 2_000_000, 1_000_000, 4_000_000
+#: Shingles of a search task on average; search tasks, at least; classes of a large group that all its blocks hold.
+BLOCK, BLOCKS, HUBS = 500_000, 32, 8
+#: Members of one rare list in one batch from which they are dealt over other buckets, with one of them in the list's own.
 LOCAL_HOT = 64
-#: Bits of the filter that says which sets a verification reads, at most.
-FILTER_BITS = 1 << 27
+#: The weight of a probe against a step of the merge in the choice of L.
+MU = 0.1
 
-#: Beyond counting, a shingle is known by the upper 48 bits of its hash: two that differ meet once in 10**14 pairs.
-SHORT = 6
-
-_SETS = "doc_id long, n long, d1 long, d2 long, prefix binary"
+_SCANNED = "doc_id long, n long, d1 long, d2 long, h long, c long"
+_DEALT = "key long, kind int, blob binary"
+_ACTIVE = "x long, n long, w long, central double, rare binary, shingles binary"
 
 
 def needed(n, percent: int):
@@ -59,316 +64,453 @@ def overlap_needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _short(h: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, in the same order."""
-    return (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their types and lengths; bytes of like weight stand together and are compressed."""
+    parts = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little")]
+    parts += [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _long(raw, n: int | None = None, at: int = 0) -> np.ndarray:
-    """The hashes that _short() wrote, as numbers."""
-    n = (len(raw) - at) // SHORT if n is None else n
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :SHORT] = np.frombuffer(raw, np.uint8, n * SHORT, at).reshape(n, SHORT)
-    return out.view("<u8")[:, 0]
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    at, out = 1 + 12 * raw[0], []
+    for i in range(raw[0]):
+        head = raw[1 + 12 * i : 13 + 12 * i]
+        dtype, n = np.dtype(head[:4].decode().strip()), int.from_bytes(head[4:], "little")
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += n * dtype.itemsize
+    return out
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    worker_tables("shingles")
-    window, size, seen = [], 0, set()
+def _joined(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
 
-    def flush():
-        keys, counts = np.unique(np.concatenate(window), return_counts=True)
-        many = counts >= HOT_FROM
-        return pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
 
-    for batch in batches:
-        for _, s in textkit.shingle_rows(batch.column(0), width):
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            window.append(s)
-            size += len(s)
-            if size >= WINDOW:
-                yield flush()
-                window, size, seen = [], 0, set()
-    if window:
-        yield flush()
+def _rank(count: np.ndarray) -> np.ndarray:
+    """0, 1, .. within runs of these lengths."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def frequent_shingles(docs: DataFrame, width: int, most: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that stand in many sets, and how many; only the order of lists depends on them."""
-    found = docs.select("text").mapInArrow(lambda b: _frequent(b, width), "h long, n long")
-    top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toPandas()
-    keys = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], top["n"].to_numpy(np.int64)[order].astype(np.int32)
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(sorted_keys)])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], hot, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    worker_tables("shingles")
-    keys, counts = hot.value
-    seen: set[bytes] = set()
-    for batch in batches:
-        ids, out = batch.column(0), []
-        named = ids.is_valid().to_numpy(zero_copy_only=False)
-        for row, s in textkit.shingle_rows(batch.column(1), width):
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            prefix = None
-            # rows without doc_id are dropped later, so a prefix made there would be lost to the class
-            if named[row] and len(s) and digest not in seen:
-                seen.add(digest)
-                if len(seen) > 200_000:
-                    seen.clear()
-                order = s
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    met = keys[at] == s
-                    if met.any():
-                        order = s[np.argsort(np.where(met, counts[at], 0), kind="stable")]
-                prefix = _short(order[: len(s) - needed(len(s), percent) + 1])
-            out.append((row, len(s), digest, prefix))
-        two = np.frombuffer(b"".join(x[2] for x in out), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([x[1] for x in out], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([x[3] for x in out], pa.binary())],
-            ["doc_id", "n", "d1", "d2", "prefix"],
-        )
-
-
-def _pack(h: np.ndarray, rep: np.ndarray, n: np.ndarray, rest: np.ndarray) -> bytes:
-    """Postings in the order of rep: list, class, size of the set, shingles from this one on."""
-    raw = b"".join((_short(h << np.uint64(16)), np.diff(rep, prepend=np.int64(0)).tobytes(), n.astype(np.int32).tobytes(), rest.astype(np.int32).tobytes()))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+def _digest(s: np.ndarray, seed: int) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(2, "little")).digest()
 
 
-def _unpack(blobs) -> tuple[np.ndarray, ...]:
-    parts = []
-    for blob in blobs:
-        size = int.from_bytes(blob[:8], "little")
-        raw, m = pa.decompress(blob[8:], size, "zstd", asbytes=True), size // (SHORT + 16)
-        at = SHORT * m
-        parts.append((_long(raw, m), np.cumsum(np.frombuffer(raw, np.int64, m, at)), np.frombuffer(raw, np.int32, m, at + 8 * m), np.frombuffer(raw, np.int32, m, at + 12 * m)))
-    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+def _scanned(batches: Iterator[pa.RecordBatch], width: int, seed: int, window_size: int, hot_from: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text, with the size and the digest of its set, and one for each shingle that is frequent in a window."""
+    worker_tables("shingles")
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "n", "d1", "d2", "h", "c")])
+    window, size, seen = [], 0, set()
 
+    def rows(names, arrays):
+        given = dict(zip(names, arrays, strict=True))
+        n = len(arrays[0])
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, pa.int64())) for f in schema], schema=schema)
 
-def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rep, size = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        order = np.argsort(rep, kind="stable")
-        prefixes = batch.column(2).to_pylist()
-        lists = [_long(prefixes[i]) for i in order]
-        count = np.array([len(x) for x in lists])
-        if not count.sum():
-            continue
-        h = np.concatenate(lists)
-        rep, size = np.repeat(rep[order], count), np.repeat(size[order], count)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-        rest = size - place
-        salt = np.zeros(len(h), np.uint64)
-        by = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
-        lengths = np.diff(np.r_[starts, len(h)])
-        extra = []
-        for a, m in zip(starts[lengths >= LOCAL_HOT].tolist(), lengths[lengths >= LOCAL_HOT].tolist(), strict=True):
-            members = by[a : a + m]
-            centre = members[np.argmin(textkit.mix(rep[members].view(np.uint64)))]
-            salt[members] = textkit.mix(rep[members[:1]].view(np.uint64)) | np.uint64(1)
-            extra.append(centre)
-        if extra:
-            more = np.array(extra)
-            h, rep, size, rest, salt = (np.concatenate((x, x[more])) for x in (h, rep, size, rest, salt))
-            salt[-len(more) :] = 0
-            again = np.argsort(rep, kind="stable")
-            h, rep, size, rest, salt = (x[again] for x in (h, rep, size, rest, salt))
-        bucket = (textkit.mix(h ^ salt) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
-        names, blobs = [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = order[a:b]
-            names.append(int(bucket[own[0]]))
-            blobs.append(_pack(h[own], rep[own], size[own], rest[own]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """The postings of a bucket's lists that have company; the others can't make a candidate."""
-    h, rep, n, rest = _unpack(table.column("blob").to_pylist())
-    order = np.lexsort((rep, h))
-    h, rep, n, rest = h[order], rep[order], n[order], rest[order]
-    fresh = np.r_[True, (h[1:] != h[:-1]) | (rep[1:] != rep[:-1])]  # one posting of a class on a list
-    h, rep, n, rest = h[fresh], rep[fresh], n[fresh], rest[fresh]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[first, len(h)])
-    company = np.repeat(size > 1, size)
-    h, rep, n, rest = h[company], rep[company], n[company], rest[company]
-    by = np.argsort(rep, kind="stable")
-    return pa.table({"blob": pa.array([_pack(h[by], rep[by], n[by], rest[by])] if len(h) else [], pa.binary())})
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            h, rep, n, rest = _unpack([blob])
-            for a in range(0, len(h), 100_000):
-                b = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[b].view(np.int64)), pa.array(rep[b]), pa.array(n[b]), pa.array(rest[b])], ["h", "x", "n", "rest"])
+    def frequent():
+        keys, counts = np.unique(np.concatenate(window), return_counts=True)
+        many = counts >= hot_from
+        return rows(("h", "c"), (pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))))
 
+    for batch in batches:
+        out = []
+        for _, s in textkit.shingle_rows(batch.column(1), width):
+            digest = _digest(s, seed)
+            out.append((len(s), digest))
+            if len(s) and digest not in seen:
+                seen.add(digest)
+                window.append(s)
+                size += len(s)
+            if size >= window_size:
+                yield frequent()
+                window, size, seen = [], 0, set()
+        two = np.frombuffer(b"".join(x[1] for x in out), np.int64).reshape(-1, 2)
+        yield rows(("doc_id", "n", "d1", "d2"), (batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])))
+    if window:
+        yield frequent()
 
-def _bits(ids: np.ndarray, size: int) -> np.ndarray:
-    return (textkit.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
 
+def _deal(batches: Iterator[pa.RecordBatch], hot, width: int, seed: int, buckets: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Lists: the shingles of each class that aren't frequent, with the class; records: its size and its frequent ones."""
+    worker_tables("shingles")
+    keys, counts = hot.value
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], wanted, size: int, width: int) -> Iterator[pa.RecordBatch]:
-    words = wanted.value
+    def flush():
+        n = np.array([len(s) for s in sets])
+        h, x = np.concatenate(sets), np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)[:, 0].copy()
+        row = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        n_hot, places = np.zeros(len(n), np.int32), np.zeros(0, np.int32)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            met = keys[at] == h
+            places, owner = at[met].astype(np.int32), row[met]
+            places = places[np.lexsort((places, counts[places], owner))]
+            n_hot = np.bincount(owner, minlength=len(n)).astype(np.int32)
+            h, row = h[~met], row[~met]
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        # the buckets are ranges of the hash, so a bucket's postings are a run of the sorted ones
+        edges = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
+        edges = np.r_[0, edges, len(h)]
+        out = [(0, 1, _pack(x, n.astype(np.int32), n_hot, places))]
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[b], edges[b + 1])
+            members, local = np.unique(row[own], return_inverse=True)
+            small = np.uint16 if len(members) < 1 << 16 else np.uint32
+            out.append((b, 0, _pack(np.diff(h[own], prepend=np.uint64(0)), local.astype(small), x[members])))
+        out[0] = (int(textkit.mix(x[:1].view(np.uint64))[0] % np.uint64(buckets)), *out[0][1:])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["key", "kind", "blob"])
+
+    sets, names, size, seen = [], [], 0, set()
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        bit = _bits(ids, size)
-        rows = np.flatnonzero((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
-        if len(rows):
-            some = batch.take(pa.array(rows))
-            for a in range(0, len(rows), 500):
-                part = some.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_short(s) for _, s in textkit.shingle_rows(part.column(1), width)], pa.binary())], ["id", "shingles"])
-
-
-def probe(a: np.ndarray, b: np.ndarray, required: int) -> bool:
-    """Whether the sorted sets share that many: halves of the shorter one are probed in the longer one until it is sure."""
-    if len(a) > len(b):
-        a, b = b, a
-    found, left, step = 0, len(a), max(64, len(a) // 4)
-    for i in range(0, len(a), step):
-        part = a[i : i + step]
-        at = np.minimum(np.searchsorted(b, part), len(b) - 1)
-        found += int((b[at] == part).sum())
-        left -= len(part)
-        if found >= required or found + left < required:
-            break
-    return found >= required
-
-
-def _probe_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            a, b = _long(p.as_buffer()), _long(q.as_buffer())
-            if len(a) and len(b) and probe(a, b, overlap_needed(len(a), len(b), percent)):
-                keep.append(i)
-        if keep:
-            some = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["u", "v"])
-
-
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (x, y) whose sets are linked, as (u, v). The sets are made again from the texts that a bit filter lets pass."""
-    spark = docs.sparkSession
-    pairs = cut(pairs.select("x", "y"), "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    size = 1 << int(np.clip(np.ceil(np.log2(64 * max(1, ids.count()))), 12, np.log2(FILTER_BITS)))
-
-    def bit_rows(batches):
-        for batch in batches:
-            bit = _bits(batch.column(0).to_numpy(zero_copy_only=False), size)
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
-
-    filled = ids.mapInArrow(bit_rows, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(size >> 6, np.uint64)
-    words[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
-    wanted = spark.sparkContext.broadcast(words)
-    sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _wanted_sets(b, wanted, size, width), "id long, shingles binary")
-    one = pairs.select("x", "y").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("a")), "x")
-    both = one.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("b")), "y").select("x", "y", "a", "b")
-    return both.mapInArrow(lambda b: _probe_pairs(b, percent), "u long, v long")
-
-
-def _placed(active: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """The postings of lists whose members lie in several components, with the component c and the list's length m."""
-    found = None
-    if links is None:
-        placed = active.withColumn("c", F.col("x"))
-    else:
-        found = cut(components(links), "components")
-        placed = active.drop("c", "m").join(found.withColumnRenamed("node", "x"), "x", "left")
-        placed = placed.select("h", "x", "n", "rest", F.coalesce("component", "x").alias("c"))
-    placed = cut(placed, "placed")
-    split = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high")
-    out = cut(placed.join(cut(split.select("h", "m"), "split"), "h"), "active")
-    drop(placed)
-    return out, found
-
-
-def _star_pairs(active: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each member of a long list with the best TRIED of the DRAWN members that were drawn for each of its lists."""
-    long = active.where(F.col("m") > LONG_LIST)
-    drawn = long.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c"))).withColumn("draw", F.xxhash64("x2", F.lit(seed)))
-    drawn = cut(drawn.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("draw", "x2"))).where(F.col("r") <= DRAWN).drop("draw", "r"), "centres")
-    near = (F.col("c") != F.col("c2")) & (F.least("rest", "rest2") >= _overlap(percent))
-    pairs = long.join(drawn, "h").where(near).groupBy("x", F.col("x2").alias("y")).agg(F.count("*").alias("lists"))
-    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("lists"), "y"))
-    return pairs.withColumn("r", best).where(F.col("r") <= TRIED).select("x", "y")
-
-
-def _overlap(percent: int):
-    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-
+        for _, s in textkit.shingle_rows(batch.column(1), width):
+            digest = _digest(s, seed)
+            if not len(s) or digest in seen:
+                continue
+            seen.add(digest)
+            sets.append(s)
+            names.append(digest)
+            size += len(s)
+            if size >= chunk:
+                yield flush()
+                sets, names, size, seen = [], [], 0, set()
+    if sets:
+        yield flush()
 
-def _all_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that can be linked, by sizes and by how many short lists they share.
 
-    The merge must count T - L common short lists at least: the class whose short lists end first has at most L
-    shingles after them. And the first common list leaves both classes as many shingles as the overlap needs.
-    Pairs on a long list are counted in blocks, the others by a join on lists of LONG_LIST members at most.
-    """
-    some = active.where(F.col("m") <= LONG_LIST)
-    right = some.select("h", *(F.col(k).alias(f"{k}2") for k in ("x", "n", "rest", "c")))
-    alike = (F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    met = some.join(right, "h").where(alike).groupBy("x", F.col("x2").alias("y")).agg(
-        F.count("*").alias("lists"), F.max(F.least("rest", "rest2")).alias("left"), F.max("n").alias("n"), F.max("n2").alias("n2")
-    )
-    aside = F.ceil(F.greatest("n", "n2") * percent / 100) - 1
-    few = met.where((F.col("left") >= _overlap(percent)) & (F.col("lists") >= _overlap(percent) - aside)).select("x", "y")
-    long = cut(active.where(F.col("m") > LONG_LIST).select("h", "x").distinct(), "long")
-    return few if long.isEmpty() else few.union(_block_pairs(active, long, percent))
-
-
-def _block_pairs(active: DataFrame, long: DataFrame, percent: int) -> DataFrame:
-    """The pairs among classes that long lists connect: a group of them is cut into blocks, and each two blocks' common
-    short lists are counted in a task, which returns the pairs that can be linked only."""
-    stars = long.join(long.groupBy("h").agg(F.min("x").alias("v")), "h").select(F.col("x").alias("u"), "v").distinct()
-    groups = cut(components(stars), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").select(F.col("node").alias("x"), F.col("component").alias("g"), "blocks")
-    rows = active.groupBy("x").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.collect_set("h").alias("lists")).join(members, "x")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("g", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "x", "n", "c", "lists")
-    return rows.groupBy("g", "p", "q").applyInArrow(lambda t: _count_block(t, percent), "x long, y long")
-
-
-def _count_block(table: pa.Table, percent: int) -> pa.Table:
-    i, x, n, c = (table.column(k).to_numpy() for k in ("i", "x", "n", "c"))
-    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-    lists = table.column("lists").combine_chunks()
-    row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
-    h = lists.flatten().to_numpy(zero_copy_only=False)
+def _by_key(key: np.ndarray, kind: int, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
+    order = np.argsort(key, kind="stable")
+    starts, lengths = _runs(key[order])
+    return [(int(key[order[a]]), kind, _pack(*(v[order[a : a + m]] for v in arrays))) for a, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def _class_key(x: np.ndarray, n: int) -> np.ndarray:
+    return (textkit.mix(x.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _count_lists(table: pa.Table, class_buckets: int) -> pa.Table:
+    """The postings of a bucket that stand on lists of two or more classes, with the lists' lengths, for the classes' buckets."""
+    kind, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
+    out = []
+    for i in np.flatnonzero(kind == 1).tolist():
+        x, n, n_hot, places = _unpack(blobs[i])
+        key = _class_key(x, class_buckets)
+        owner = np.repeat(key, n_hot)
+        for k in np.unique(key).tolist():
+            own = key == k
+            out.append((k, 1, _pack(x[own], n[own], n_hot[own], places[owner == k])))
+    lists = [_unpack(blobs[i]) for i in np.flatnonzero(kind == 0).tolist()]
+    if lists:
+        h = np.concatenate([np.cumsum(d) for d, _, _ in lists])
+        x = np.concatenate([members[local] for _, local, members in lists])
+        order = np.argsort(h, kind="stable")
+        h, x = h[order], x[order]
+        alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
+        h, x = h[~alone], x[~alone]
+        order = np.lexsort((x, h))
+        h, x = h[order], x[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])] if len(h) else np.zeros(0, bool)  # one posting of a class on a list
+        h, x = h[fresh], x[fresh]
+        _, length = _runs(h)
+        length = np.repeat(length, length)
+        h, x, length = h[length > 1], x[length > 1], length[length > 1].astype(np.uint32)
+        order = np.argsort(x, kind="stable")
+        h, x, length = h[order], x[order], length[order]
+        starts, count = _runs(x)
+        key, names = _class_key(x[starts], class_buckets), x[starts]
+        whole = np.repeat(key, count)
+        order = np.argsort(whole, kind="stable")
+        h, length = h[order], length[order]
+        order = np.argsort(key, kind="stable")
+        key, names, count = key[order], names[order], count[order].astype(np.int32)
+        ends = np.cumsum(count)
+        begin = 0
+        for a, m in zip(*(v.tolist() for v in _runs(key)), strict=True):
+            end = int(ends[a + m - 1])
+            out.append((int(key[a]), 0, _pack(names[a : a + m], count[a : a + m], h[begin:end], length[begin:end])))
+            begin = end
+    return pa.table({"key": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _candidates(table: pa.Table, hot, percent: int) -> pa.Table:
+    """The classes of a bucket that can be linked: their shared shingles, and which of them are among their rarest."""
+    worker_tables("shingles")
+    keys, counts = hot.value
+    kind, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
+    x, n, n_hot, places = _joined([blobs[i] for i in np.flatnonzero(kind == 1).tolist()])
+    owner = np.repeat(np.arange(len(x)), n_hot)
+    names, first = np.unique(x, return_index=True)  # a class is met once in each of several tasks
+    at_first = np.zeros(len(x), bool)
+    at_first[first] = True
+    hot_class, places = np.searchsorted(names, x[owner[at_first[owner]]]), places[at_first[owner]]
+    n, n_hot = n[first].astype(np.int64), n_hot[first].astype(np.int64)
+    replies = [blobs[i] for i in np.flatnonzero(kind == 0).tolist()]
+    rx, count, h, length = _joined(replies) if replies else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    cls = np.searchsorted(names, np.repeat(rx, count))
+    shared = np.bincount(cls, minlength=len(names)) + n_hot
+    able = shared >= needed(n, percent)
+    h, length, cls = h[able[cls]], length[able[cls]].astype(np.int64), cls[able[cls]]
+    places, hot_class = places[able[hot_class]], hot_class[able[hot_class]]
+    # frequent shingles come last, whatever their number
+    h, length, cls = np.r_[h, keys[places]], np.r_[length, counts[places].astype(np.int64) + (1 << 40)], np.r_[cls, hot_class]
+    order = np.lexsort((h, length, cls))
+    h, length, cls = h[order], length[order], cls[order]
+    starts, size = _runs(cls)
+    owners = cls[starts]
+    alone = n[owners] - size
+    rare = _rank(size) < np.repeat(n[owners] - needed(n[owners], percent) + 1 - alone, size)
+    worth = np.add.reduceat((length & ((1 << 40) - 1)).astype(np.float64), starts) / n[owners] if len(starts) else np.zeros(0)
+    out = {k: [] for k in ("x", "n", "w", "central", "rare", "shingles")}
+    for i, (a, m) in enumerate(zip(starts.tolist(), size.tolist(), strict=True)):
+        own = h[a : a + m]
+        some = own[rare[a : a + m]]
+        if len(some):
+            c = owners[i]
+            for k, v in zip(out, (int(names[c]), int(n[c]), m, float(worth[i]), some.tobytes(), own.tobytes()), strict=True):
+                out[k].append(v)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+
+
+def _rare_lists(batches: Iterator[pa.RecordBatch], buckets: int, local_hot: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of the classes, dealt by shingle. Of many members of one list in a batch one stands for all."""
+    for batch in batches:
+        x, lists = batch.column(0).to_numpy(zero_copy_only=False), [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+        if not len(x):
+            continue
+        h, x = np.concatenate(lists), np.repeat(x, [len(v) for v in lists])
+        order = np.argsort(h, kind="stable")
+        h, x = h[order], x[order]
+        starts, length = _runs(h)
+        salt, extra = np.zeros(len(h), np.uint64), []
+        for a, m in zip(starts[length >= local_hot].tolist(), length[length >= local_hot].tolist(), strict=True):
+            salt[a : a + m] = textkit.mix(x[a : a + 1].view(np.uint64)) | np.uint64(1)
+            extra.append(a)
+        h = np.r_[h ^ salt, h[extra]] if extra else h
+        x = np.r_[x, x[extra]] if extra else x
+        out = _by_key((textkit.mix(h) % np.uint64(buckets)).astype(np.int64), 0, h, x)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["key", "kind", "blob"])
+
+
+def _connected(table: pa.Table) -> pa.Table:
+    """The classes of a bucket's lists, each with the smallest one that the lists connect it with."""
+    h, x = _joined(table.column("blob").to_pylist())
+    names, at = np.unique(x, return_inverse=True)
     order = np.argsort(h, kind="stable")
-    row, starts = row[order], np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-    a_rows, b_rows = np.flatnonzero(i == p), np.flatnonzero(i == q)
-    at = np.full((2, len(x)), -1)
-    at[0, a_rows], at[1, b_rows] = np.arange(len(a_rows)), np.arange(len(b_rows))
-    shared = np.zeros((len(a_rows), len(b_rows)), np.int32)
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
-        if e - s > 1:
-            left, right = at[0, row[s:e]], at[1, row[s:e]]
-            left, right = left[left >= 0], right[right >= 0]
-            if len(left) and len(right):
-                shared[np.ix_(left, right)] += 1
-    ai, bi = np.nonzero(shared)
-    u, v = a_rows[ai], b_rows[bi]
-    small, big = np.minimum(n[u], n[v]).astype(np.int64), np.maximum(n[u], n[v]).astype(np.int64)
-    ok = (c[u] != c[v]) & (100 * small >= percent * big) & (shared[ai, bi] >= overlap_needed(small, big, percent) - needed(big, percent) + 1)
-    ok &= (p != q) | (x[u] < x[v])
-    return pa.table({"x": pa.array(x[u[ok]], pa.int64()), "y": pa.array(x[v[ok]], pa.int64())})
+    starts, length = _runs(h[order])
+    at = at[order]
+    head = np.repeat(at[starts], length)
+    low = np.arange(len(names))
+    while not np.array_equal(low[head], low[at]):
+        a, b = low[head], low[at]
+        least = np.minimum(a, b)
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        while not np.array_equal(low, after := low[low]):
+            low = after
+    moved = low != np.arange(len(names))
+    return pa.table({"u": pa.array(names[low[moved]], pa.int64()), "v": pa.array(names[moved], pa.int64())})
+
+
+def divide_skip(lists: list[list[int]], least: int, required, skip) -> Iterator[int]:
+    """The ids that stand on enough of the sorted lists: on required(id) of them, which is `least` or more.
+
+    Ids for which skip(id) holds when they turn up are left out.
+    """
+    if len(lists) < least:
+        return
+    lists = sorted(lists, key=len)
+    aside = min(least - 1, int(least / (MU * np.log2(len(lists[-1])) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    enough = least - aside
+    heap = [x[0] << 32 | i for i, x in enumerate(short)]  # the id, and the list that it stands on
+    heapify(heap)
+    at = [0] * len(short)
+    while len(heap) >= enough:
+        top, popped = heap[0] >> 32, []
+        while heap and heap[0] >> 32 == top:
+            popped.append(heappop(heap) & 0xFFFFFFFF)
+        if len(popped) >= enough:
+            if not skip(top):
+                found, left, want = len(popped), len(long), required(top)
+                for x in long:
+                    if found >= want or found + left < want:
+                        break
+                    left -= 1
+                    k = bisect_left(x, top)
+                    found += k < len(x) and x[k] == top
+                if found >= want:
+                    yield top
+            onward = top + 1
+        else:
+            while heap and len(popped) < enough - 1:
+                popped.append(heappop(heap) & 0xFFFFFFFF)
+            if not heap:
+                return
+            onward = heap[0] >> 32
+        for i in popped:
+            x = short[i]
+            k = at[i] = bisect_left(x, onward, at[i])
+            if k < len(x):
+                heappush(heap, x[k] << 32 | i)
+
+
+class _Block:
+    """The classes of one search task with their inverted lists, in the order in which they are searched."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent = percent
+        role, central, names = table.column("role").to_numpy(), table.column("central").to_numpy(), table.column("x").to_numpy()
+        order = np.lexsort((names, -central, role != 1))
+        self.names, self.role = names[order], role[order]
+        self.n, self.group = table.column("n").to_numpy()[order].tolist(), table.column("g").to_numpy()[order]
+        blobs = table.column("shingles").to_pylist()
+        sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
+        size = np.array([len(s) for s in sets])
+        _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum(size)
+        self.terms = [t[count[t] > 1].tolist() for t in np.split(term, ends[:-1])]
+        self.lists: list[list[int]] = [[] for _ in range(len(count))]
+        _, first, same = np.unique(table.column("known").to_numpy()[order], return_index=True, return_inverse=True)
+        self.parent = first[same].tolist()
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+
+    def add(self, i: int) -> None:
+        for t in self.terms[i]:
+            self.lists[t].append(i)
+
+    def search(self, i: int) -> bool:
+        """Link i with what the index holds; whether anything was found."""
+        least, n, found = needed(self.n[i], self.percent), self.n[i], False
+        lists = [x for t in self.terms[i] if (x := self.lists[t])]
+
+        def skip(j: int) -> bool:
+            m = self.n[j]
+            return self.root(i) == self.root(j) or 100 * min(n, m) < self.percent * max(n, m)
+
+        for j in divide_skip(lists, least, lambda j: overlap_needed(n, self.n[j], self.percent), skip):
+            self.links.append((int(self.names[i]), int(self.names[j])))
+            self.join(i, j)
+            found = True
+        return found
+
+    def table(self) -> pa.Table:
+        return pa.table({"u": pa.array([u for u, _ in self.links], pa.int64()), "v": pa.array([v for _, v in self.links], pa.int64())})
+
+
+def _search(table: pa.Table, percent: int) -> pa.Table:
+    """Links within a task's groups that connect all that are linked; in a block of a larger group, those of the first pass.
+
+    Roles: 0 member, 1 member that all blocks of its group hold.
+    """
+    block = _Block(table, percent)
+    kept = []
+    for i in range(len(block.names)):
+        if not block.search(i):
+            block.add(i)
+            kept.append(i)
+    if not table.column("divided")[0].as_py():
+        dropped = np.ones(len(block.names), bool)
+        dropped[kept] = False
+        order = np.argsort(block.group, kind="stable")
+        for a, m in zip(*(v.tolist() for v in _runs(block.group[order])), strict=True):
+            own = np.sort(order[a : a + m])
+            roots = np.array([block.root(i) for i in own.tolist()])
+            values, count = np.unique(roots, return_counts=True)
+            if len(values) == 1 or not dropped[own].any():
+                continue
+            for t in {t for i in own.tolist() for t in block.terms[i]}:
+                block.lists[t] = []
+            for i in own.tolist():
+                block.add(i)
+            for i in own[roots != values[count.argmax()]].tolist():
+                block.search(i)
+    return block.table()
+
+
+def _visit(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the visitors (role 2) with a block's members, but for those within a component that is known."""
+    block = _Block(table, percent)
+    for i in np.flatnonzero(block.role != 2).tolist():
+        block.add(i)
+    for i in np.flatnonzero(block.role == 2).tolist():
+        block.search(i)
+    return block.table()
+
+
+def _links(active: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect the linked classes of each of the groups (node, component)."""
+    placed = cut(groups.select(F.col("node").alias("x"), F.col("component").alias("g")).join(active.select("x", "w"), "x"), "placed")
+    total = placed.agg(F.sum("w")).first()[0] or 0
+    tasks = max(BLOCKS, int(total // BLOCK))
+    sizes = placed.groupBy("g").agg(F.ceil(F.sum("w") / max(1, int(total // tasks))).cast("long").alias("blocks"))
+    cuts = F.col("blocks") > 1
+    home = placed.join(sizes, "g").select(
+        "x", "g", "blocks", cuts.alias("divided"), F.when(cuts, F.col("g")).otherwise(F.lit(0)).alias("a"),
+        F.when(cuts, F.pmod(F.xxhash64("x"), "blocks")).otherwise(F.pmod(F.xxhash64("g"), F.lit(tasks))).alias("b"),
+    )
+    home = cut(home, "home")
+    drop(placed)
+    large = home.where("divided")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b")
+    hubs = large.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("x"), "x"))).where(F.col("r") <= HUBS)
+
+    def rows(place: DataFrame) -> DataFrame:
+        return active.select("x", "n", "central", "shingles").join(place, "x")
+
+    first = home.select("x", "g", "divided", "a", "b", F.lit(0).alias("role"), F.col("x").alias("known"))
+    first = first.union(hubs.select("x", "g", "divided", "a", everywhere, F.lit(1), F.col("x")))
+    links = cut(rows(first).groupBy("divided", "a", "b").applyInArrow(lambda t: _search(t, percent), "u long, v long"), "links")
+    if large.isEmpty():
+        return links
+    state = large.join(components(links).withColumnRenamed("node", "x"), "x", "left").withColumn("known", F.coalesce("component", "x")).drop("component")
+    state = cut(state, "state")
+    most = state.groupBy("g", "known").count().groupBy("g").agg(F.max(F.struct("count", "known"))["known"].alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    state = state.join(most, "g")
+    second = state.select("x", "g", "divided", "a", "b", F.lit(0).alias("role"), "known")
+    second = second.union(state.where("known <> most").select("x", "g", "divided", "a", everywhere, F.lit(2), "known"))
+    return links.union(rows(second).groupBy("divided", "a", "b").applyInArrow(lambda t: _visit(t, percent), "u long, v long"))
+
+
+def _scan(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of _scanned(), the classes (d1, doc, n), and the seed of digests of which 64 bits name each class."""
+    for seed in range(1 << 16):
+        scanned = cut(docs.mapInArrow(lambda b: _scanned(b, width, seed, WINDOW, HOT_FROM), _SCANNED), "sets")
+        classes = scanned.where("n > 0 and doc_id is not null").groupBy("d1")
+        classes = cut(classes.agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.min("d2").alias("low"), F.max("d2").alias("high")), "classes")
+        if classes.where("low <> high").isEmpty():
+            return scanned, classes, seed
+        drop(scanned)
+        drop(classes)
+    raise RuntimeError("the classes can't be named by 64 bits")
+
+
+def frequent_shingles(scanned: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that stand in many sets, and how many; only the order of lists depends on them."""
+    top = scanned.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(most).toPandas()
+    keys = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top["c"].to_numpy(np.int64)[order].astype(np.int32)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -381,32 +523,24 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = spark.sparkContext.broadcast(frequent_shingles(docs, width))
-    sets = cut(docs.mapInArrow(lambda b: _sets(b, hot, width, percent), _SETS), "sets")
-    named = sets.where("n > 0 and doc_id is not null")
-    postings = named.agg(F.sum(F.length("prefix")) / SHORT).first()[0] or 0
-    buckets = max(64, int(postings // BUCKET))
-    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("x"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    dealt = classes.select("x", "n", "prefix").mapInArrow(lambda b: _postings(b, buckets), "bucket long, blob binary")
-    merged = cut(dealt.groupBy("bucket").applyInArrow(_merge, "blob binary"), "lists")
-    active, found = _placed(merged.mapInArrow(_explode, "h long, x long, n int, rest int"), None)
-
-    links, seed, joined = None, 0, 0
-    while on_long := active.where(F.col("m") > LONG_LIST).select("x").distinct().count():
-        pairs = cut(_star_pairs(active, seed, percent), "stars")
-        more = verify(docs, pairs, width, percent)
-        links = cut(more if links is None else links.union(more), "links")
-        active, found = _placed(active, links)
-        seed, before, joined = seed + 1, joined, found.agg(F.count("*") - F.count_distinct("component")).first()[0]
-        if joined - before < PRODUCTIVE * on_long:
-            break
-    pairs = _all_pairs(active, percent).distinct()
-    more = verify(docs, pairs, width, percent)
-    found = components(more if links is None else links.union(more))
-
-    at = classes.select("d1", "d2", "x").join(found.withColumnRenamed("node", "x"), "x", "left")
-    at = cut(at.select("d1", "d2", F.coalesce("component", "x").alias("component_id")), "membership")
-    out = sets.select("doc_id", "n", "d1", "d2").join(at, ["d1", "d2"], "left")
+    scanned, classes, seed = _scan(docs, width)
+    hot = spark.sparkContext.broadcast(frequent_shingles(scanned))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets, class_buckets = max(64, int(total // BUCKET)), max(32, int(total // CLASS_BUCKET))
+    dealt = docs.mapInArrow(lambda b: _deal(b, hot, width, seed, buckets, CHUNK), _DEALT)
+    shared = dealt.groupBy("key").applyInArrow(lambda t: _count_lists(t, class_buckets), _DEALT)
+    active = cut(shared.groupBy("key").applyInArrow(lambda t: _candidates(t, hot, percent), _ACTIVE), "active")
+    rare = active.agg(F.sum(F.length("rare")) / 8).first()[0] or 0
+    rare_buckets = max(32, int(rare // BUCKET))
+    lists = active.select("x", "rare").mapInArrow(lambda b: _rare_lists(b, rare_buckets, LOCAL_HOT), _DEALT)
+    groups = cut(components(lists.groupBy("key").applyInArrow(_connected, "u long, v long")), "groups")
+    found = cut(components(_links(active, groups, percent)), "components")
+
+    low = found.join(classes.select(F.col("d1").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    low = found.join(low, "component").select(F.col("node").alias("d1"), "component_id")
+    at = cut(classes.join(low, "d1", "left").select("d1", F.coalesce("component_id", "doc").alias("component_id")), "membership")
+    # a row of no text may have any digest, but its set is empty
+    out = scanned.where("n is not null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1")).join(at, "d1", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -69,16 +69,45 @@ def near_copies(seed, n_groups=12, group=9):
     return out
 
 
-@pytest.mark.parametrize("long_list", [64, 2])
-def test_ngram_join_against_brute_force(spark, monkeypatch, long_list):
-    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
-    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 5)
-    texts = [*near_copies(1), "", " \n", "one two", "ONE  two", "one two three", "a b c d e", "a b c d e"]
+@pytest.mark.parametrize(("block", "hot_from"), [(500_000, 4), (300, 4), (60, 2), (300, 10**6)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, block, hot_from):
+    """Whole groups, groups over a few blocks and over many, with and without frequent shingles known beforehand."""
+    for name, value in (("BLOCK", block), ("BLOCKS", 1), ("HUBS", 1 if block == 60 else 3), ("HOT_FROM", hot_from), ("CHUNK", 900), ("WINDOW", 900), ("LOCAL_HOT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = [*near_copies(1), *near_copies(5, 2, 60), "", " \n", "one two", "ONE  two", "one two three", "a b c d e", "a b c d e"]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
     assert got == brute_components(rows)
 
 
+def test_ngram_join_near_the_limit(spark, monkeypatch):
+    """Chains of texts that are linked with the next ones only, and pairs at the very limit."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    monkeypatch.setattr(ngram_join, "BLOCKS", 1)
+    rng = random.Random(2)
+    texts = []
+    for _ in range(6):
+        w = [f"c{rng.randrange(10**6)}" for _ in range(60)]
+        for step in range(25):
+            texts.append(" ".join(w))
+            at = rng.randrange(60)
+            w = [*w[:at], f"n{rng.randrange(10**6)}", *w[at + rng.randint(0, 2) :]]
+        texts += [" ".join(w[i:]) for i in range(1, 18)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_divide_skip_against_counting():
+    rng = random.Random(3)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randint(1, 25))) for _ in range(rng.randint(1, 30))]
+        least, out = rng.randint(1, 12), {rng.randrange(40)}
+        count = Counter(i for x in lists for i in x)
+        got = list(ngram_join.divide_skip(lists, least, lambda j: least + j % 3, out.__contains__))
+        assert got == sorted(j for j, c in count.items() if c >= least + j % 3 and j not in out)
+
+
 def test_ngram_join_edges(spark):
     out = ngram_join.jaccard_components(docs(spark, ["x y", None, "x y", "x y", "q"], [5, 3, None, 4, 4])).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == Counter([(5, 1, 4), (3, 0, 3), (None, 1, None), (4, 1, 4), (4, 1, 4)])
