@@ -5,13 +5,12 @@ Gao and Long (2023) abandons a candidate whose partial distance is too large for
 partial > threshold * (d / D) * (1 + EPSILON / sqrt(d))**2. Lists are scanned in column blocks of COLUMNS coordinates;
 only candidates that passed are read further. Survivors are scored in double precision on the original vectors.
 
-The rotation, the list centres, how many lists are probed and each query's first threshold come from a bounded sample;
-every vector is put in a list, and lists are scanned in blocks of vectors and of queries.
+The rotation, the list centres, how many lists are probed and each query's threshold come from a bounded sample; every
+vector is put in a list, and lists are scanned in blocks of vectors and of queries. Only what a scan finds is returned.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +24,9 @@ from .shared import cut, first_by_hash, read_table, ship
 #: Vectors that the index is fitted on, at most, by the hash of the id; sample queries that set how many lists are probed.
 SAMPLE, TRIALS = 10_000, 400
 #: Share of those queries' true neighbours that the probed lists hold; lists, at most.
-COVER, LISTS = 0.97, 1024
-#: Tables of fewer vectors are probed whole.
-PROBE_ALL = 2000
+COVER, LISTS = 0.985, 1024
 #: Coordinates read at a time, and the test's width in standard deviations.
-COLUMNS, EPSILON = 16, 2.5
+COLUMNS, EPSILON = 16, 3.0
 #: Vectors and queries of a list that one task scans at once.
 BLOCK_VECTORS, BLOCK_QUERIES, CHUNK = 8192, 4096, 1024
 
@@ -41,26 +38,25 @@ class Index:
     centres: np.ndarray
     probes: int
     ids: np.ndarray
-    #: The sample's original vectors.
+    #: The sample's vectors.
     vectors: np.ndarray
 
 
-def matrix(column: pa.Array, dimensions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, vectors in double precision) of the vectors that take part: no nulls, no non-finite, not all 0."""
+def matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors in double precision) of the vectors of this length that take part: no nulls, no non-finite, not all
+    0. Each is scaled by a power of 2, which changes no cosine and lets no square over- or underflow."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-    if dimensions is None:
-        dimensions = Counter(sizes[sizes > 0].tolist()).most_common(1)[0][0] if (sizes > 0).any() else 0
-    rows = np.flatnonzero(sizes == dimensions) if dimensions else np.zeros(0, np.int64)
+    rows = np.flatnonzero(sizes == dimensions)
     if not len(rows):
         return rows, np.zeros((0, dimensions))
     flat = column.take(pa.array(rows)).flatten()
     x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(rows), dimensions)
     good = np.isfinite(x).all(1) & (x != 0).any(1)
-    norm = np.sqrt((x * x).sum(1))
-    good &= np.isfinite(norm) & (norm > 0)
-    return rows[good], np.ascontiguousarray(x[good])
+    rows, x = rows[good], x[good]
+    _, power = np.frexp(np.abs(x).max(1)) if len(x) else (None, np.zeros(0, np.int64))
+    return rows, np.ldexp(x, -power[:, None])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,14 +84,10 @@ def _list_order(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres * centres).sum(1) - 2 * x @ centres.T
 
 
-def fit(vectors: DataFrame, k: int, seed: int = 3) -> Index | None:
-    """An index for (vec_id, embedding); None if no vector takes part."""
-    usable = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    n = usable.count()
-    rows = first_by_hash(usable.select("vec_id", "embedding"), "vec_id", SAMPLE, n).toArrow()
-    if not rows.num_rows:
-        return None
-    own, x = matrix(rows.column("embedding"))
+def fit(vectors: DataFrame, n: int, dimensions: int, k: int, seed: int = 3) -> Index | None:
+    """An index for the n rows (vec_id, embedding), vectors of one length; None if no vector takes part."""
+    rows = first_by_hash(vectors.select("vec_id", "embedding"), "vec_id", SAMPLE, n).toArrow()
+    own, x = matrix(rows.column("embedding"), dimensions)
     ids = rows.column("vec_id").to_numpy()[own].astype(np.int64)
     ids, first = np.unique(ids, return_index=True)
     x = x[first]
@@ -108,11 +100,11 @@ def fit(vectors: DataFrame, k: int, seed: int = 3) -> Index | None:
     z = unit(x) @ rotation
     centres = _kmeans(z, int(np.clip(np.sqrt(n), 1, LISTS)), rng)
     probes = len(centres)
-    if n >= PROBE_ALL:
+    if len(z) > k:
         trial = rng.choice(len(z), min(TRIALS, len(z)), replace=False)
         near = z[trial] @ z.T
         near[np.arange(len(trial)), trial] = -np.inf
-        true = np.argpartition(-near, k, 1)[:, :k]
+        true = np.argsort(-near, 1, kind="stable")[:, :k]
         home = np.concatenate([_list_order(z[a : a + 4096], centres).argmin(1) for a in range(0, len(z), 4096)])
         place = np.argsort(np.argsort(_list_order(z[trial], centres), 1), 1)
         probes = int(np.quantile(np.take_along_axis(place, home[true], 1), COVER, method="higher")) + 1
@@ -132,7 +124,7 @@ def _assign(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def _plan(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
-    """For each query the lists to probe, its best sample vectors, and the threshold that those set."""
+    """For each query the lists to probe, and the squared distance of its k-th nearest sample vector."""
     index: Index = shared.value
     sample = unit(index.vectors)
     for batch in batches:
@@ -143,22 +135,14 @@ def _plan(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Reco
             lists = np.argsort(_list_order(unit(part) @ index.rotation, index.centres), 1, kind="stable")[:, : index.probes]
             near = unit(part) @ sample.T
             near[ids[:, None] == index.ids[None, :]] = -np.inf
-            m = min(k, near.shape[1])
-            best = np.argpartition(-near, m - 1, 1)[:, :m]
-            out = []
-            for i, (q, js) in enumerate(zip(ids.tolist(), best, strict=True)):
-                js = js[np.isfinite(near[i, js])]
-                scores = cosine(np.repeat(part[i : i + 1], len(js), 0), index.vectors[js]) if len(js) else np.zeros(0)
-                reach = 2 - 2 * float(scores.min()) if len(js) == k else float("inf")
-                out.append({"query_id": q, "vector": part[i].tobytes(), "reach": reach, "lists": lists[i].tolist(), "seeds": [{"vec_id": j, "score": s} for j, s in zip(index.ids[js].tolist(), scores.tolist(), strict=True)]})
-            yield pa.RecordBatch.from_pylist(out, _PLAN_ARROW)
+            kth = -np.partition(-near, k - 1, 1)[:, k - 1] if near.shape[1] >= k else np.full(len(part), -np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in part], pa.binary()), pa.array(2 - 2 * kth), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))],
+                ["query_id", "vector", "reach", "lists"],
+            )
 
 
-_PLAN = "query_id long, vector binary, reach double, lists array<int>, seeds array<struct<vec_id: long, score: double>>"
-_PLAN_ARROW = pa.schema([
-    ("query_id", pa.int64()), ("vector", pa.binary()), ("reach", pa.float64()), ("lists", pa.list_(pa.int32())),
-    ("seeds", pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))),
-])
+_PLAN = "query_id long, vector binary, reach double, lists array<int>"
 
 
 def scan(q: np.ndarray, reach: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,22 +199,41 @@ def _scan(left: pa.Table, right: pa.Table, shared, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
+_NEAREST = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) found for each of queries (the same).
 
     Nearest first, ties to the smaller vec_id; fewer if there are fewer. A row's own id is never its candidate. Rows
-    without id, and vectors that are null, empty, all 0, or hold a null or non-finite component, or have another length
-    than most of the sample, take no part. Of candidates that repeat an id the nearest counts; of queries the smallest
-    vector. No vectors, or no queries, give an empty result.
+    without id, and vectors that are null, empty, all 0, or hold a null or non-finite component, take no part. Vectors of
+    different lengths have no cosine, so each length is searched by itself. Of candidates that repeat an id the nearest
+    counts; of queries the smallest vector. No vectors, or no queries, give an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
-    typed = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+    typed = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
     vectors, queries = typed(vectors), typed(queries)
-    index = fit(vectors, k)
+    lengths = vectors.groupBy(F.size("embedding").alias("d")).count().join(queries.select(F.size("embedding").alias("d")).distinct(), "d").collect()
+    one = lambda df, d: df.where(F.size("embedding") == d)
+    parts = [_search_length(one(vectors, r["d"]), one(queries, r["d"]), r["count"], r["d"], k) for r in sorted(lengths)]
+    parts = [p for p in parts if p is not None]
+    if not parts:
+        return spark.createDataFrame([], _NEAREST)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(vectors: DataFrame, queries: DataFrame, n: int, dimensions: int, k: int) -> DataFrame | None:
+    """query_id, vec_id, score of what the scans of each block found, for vectors of one length."""
+    index = fit(vectors, n, dimensions, k)
     if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)
+        return None
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
     once = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     plan = cut(once.mapInArrow(lambda b: _plan(b, shared, k), _PLAN), "queries")
     placed = cut(vectors.mapInArrow(lambda b: _assign(b, shared), "list int, vec_id long, vector binary"), "lists")
@@ -245,11 +248,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     key = ["list", "block", "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _scan(a, b, shared, k), "query_id long, vec_id long, score double")
-    seeds = plan.select("query_id", F.explode("seeds").alias("s")).select("query_id", "s.vec_id", "s.score")
-    best = found.union(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _scan(a, b, shared, k), "query_id long, vec_id long, score double")
 
 
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
