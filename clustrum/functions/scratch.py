@@ -15,6 +15,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="clustrum-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/clustrum/{name}-{uuid.uuid4().hex}"
