@@ -16,8 +16,8 @@ from .textkit import blocks
 
 #: Labelled documents that a model is fitted on: at most so many in all and for each language, by the hash of the id.
 SAMPLE, PER_LANGUAGE = 8000, 400
-#: Languages, at most (the most frequent ones in the labels); centroids for each.
-LANGUAGES, CENTROIDS = 256, 4
+#: Languages, at most (the most frequent ones in the labels), so that each has eight documents of the sample; centroids for each.
+LANGUAGES, CENTROIDS = SAMPLE // 8, 4
 #: Hashed n-grams of 2 and 3 bytes.
 DIMENSIONS, ORDERS = 4096, (2, 3)
 #: A text is rejected whose cosine is below this share of what nearly all (99 %) of the language's sample reach.
@@ -79,7 +79,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(a, 500)
             for row, tf in counts(batch.column(1).to_pylist()):
                 part = batch.slice(row, len(tf))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], ["lang", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], ["doc_id", "lang", "tf"])
 
 
 def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
@@ -99,8 +99,9 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15)
 
 
 def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
-    """A model from (doc_id, text, lang) where `train` holds and lang isn't null; None if no text has a letter."""
-    labelled = docs.where(train & F.col("lang").isNotNull())
+    """A model from (doc_id, text, lang) where `train` holds and lang isn't null; None if no text has a letter. Rows
+    without doc_id aren't drawn; a doc_id that repeats counts once."""
+    labelled = docs.where(train & F.col("lang").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     top = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not top:
         return None
@@ -109,8 +110,10 @@ def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
     bound = F.create_map(*(F.lit(x) for lang, n in sorted(top.items()) for x in (lang, sample_bound(quota, n))))
     few = labelled.where(hash_place("doc_id") < F.try_element_at(bound, F.col("lang"))).select("lang", "doc_id")
     ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota)
-    chosen = sorted({r["doc_id"] for r in ids.select("doc_id").collect() if r["doc_id"] is not None})
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "text").mapInArrow(_sample_rows, "lang string, tf binary").toPandas()
+    chosen = ids.select("doc_id").where("doc_id is not null").distinct()
+    own = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_rows, "doc_id long, lang string, tf binary")
+    # one row an id comes to the driver, however often it repeats
+    rows = own.groupBy("doc_id").agg(F.min(F.struct("lang", "tf")).alias("s")).select("s.lang", "s.tf").toPandas()
     if rows.empty:
         return None
     tf = np.stack([np.frombuffer(x, np.uint16) for x in rows["tf"]])

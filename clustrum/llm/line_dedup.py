@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read_table
+from .shared import cut, read_table, spare
 from .textkit import WORD_END
 
 #: A chunk is compared with the corpus if it has this many lines, or this many words.
@@ -19,6 +19,10 @@ MIN_LINES, MIN_WORDS = 2, 50
 DIVISOR = 2
 
 
+#: The columns that dedup_lines() adds.
+NEW = ("_n_lines", "_removed_lines", "_removed_words")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -106,40 +110,42 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     grouped, so bytes decide what is repeated; afterwards a repeated text is named by its hash and its MD5 digest. Of
     equal windows, by their SHA-256 digests, the one of the smallest (doc_id, place) and those that overlap it stay.
     A null text stays null, an empty text empty; rows with a null doc_id stay whole and come first; rows that repeat
-    doc_id and text are one document and keep the same lines; an empty table gives an empty result; other columns are
-    kept. Texts of any length are cut whole.
+    doc_id and text are one document and keep the same lines; an empty table gives an empty result; columns of docs that
+    have one of the new names are replaced, others are kept, whatever they are called. Texts of any length are cut whole.
     """
-    doc_type = docs.schema["doc_id"].dataType
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in NEW])
+    gone, gone_id, digest, kept, new = spare([*docs.columns, *NEW], "_gone", "_gone_id", "_t", "_kept", "_new")
+    narrow = docs.select("doc_id", "text")
     heavy = F.explode(F.filter(chunks(F.col("text"), min_lines, min_words, divisor), lambda c: c["heavy"])).alias("c")
-    found = docs.select("doc_id", heavy).select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
+    found = narrow.select("doc_id", heavy).select("doc_id", F.col("c.k").alias("k"), F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
     by_text = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
     by_text = by_text.withColumn("wide", F.md5("chunk")).select("h", "wide", "first", "n")
     repeated = cut(by_text.where("n > 1").select("h", "wide", "first", "n"), "chunks-repeated")
-    again = repeated_windows(docs, min_words)
+    again = repeated_windows(narrow, min_words)
     if not repeated.isEmpty():
-        places = docs.select("doc_id", F.xxhash64("text").alias("_t"), heavy)
+        places = narrow.select("doc_id", F.xxhash64("text").alias("_t"), heavy)
         places = places.select("doc_id", "_t", "c.k", "c.b", (F.col("c.b") + F.col("c.n_lines") - 1).alias("e"), F.xxhash64("c.text").alias("h"), F.md5("c.text").alias("wide"))
         places = places.join(repeated.select("h", "wide", "first"), ["h", "wide"])
         places = places.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k"))))
         again = again.union(places.select("doc_id", "_t", "b", "e"))
-    removed = again.groupBy("_gone_id", "_t").agg(F.collect_set(F.struct("b", "e")).alias("_gone"))
-    joined = docs.join(removed, (docs["doc_id"] == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left").drop("_gone_id", "_t")
+    removed = again.groupBy(F.col("_gone_id").alias(gone_id), F.col("_t").alias(digest)).agg(F.collect_set(F.struct("b", "e")).alias(gone))
+    joined = docs.join(removed, (docs["doc_id"] == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(digest)), "left").drop(gone_id, digest)
 
     def remaining(lines: Column) -> Column:
-        gone = F.flatten(F.transform("_gone", lambda s: F.sequence(s["b"], s["e"])))
-        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+        out = F.flatten(F.transform(gone, lambda s: F.sequence(s["b"], s["e"])))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda i: F.get(lines, i))
 
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), let(F.split("text", "\n", -1), remaining)))
-    joined = joined.withColumn("_new", F.array_join("_kept", "\n"))
+    joined = joined.withColumn(kept, F.when(F.col(gone).isNotNull(), let(F.split("text", "\n", -1), remaining)))
+    joined = joined.withColumn(new, F.array_join(kept, "\n"))
     n_lines, n_words = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), lambda c: F.regexp_count(c, F.lit(WORD_END))
     return joined.withColumns(
         {
             "_n_lines": n_lines.cast("long"),
-            "_removed_lines": F.when(F.col("_gone").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long"),
-            "_removed_words": F.when(F.col("_gone").isNull(), 0).otherwise(n_words(F.col("text")) - n_words(F.col("_new"))).cast("long"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_new")),
+            "_removed_lines": F.when(F.col(gone).isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long"),
+            "_removed_words": F.when(F.col(gone).isNull(), 0).otherwise(n_words(F.col("text")) - n_words(F.col(new))).cast("long"),
+            "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(new)),
         }
-    ).withColumn("doc_id", F.col("doc_id").cast(doc_type)).drop("_gone", "_kept", "_new")
+    ).drop(gone, kept, new)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, read_table
+from .shared import cut, read_table, spare
 from .textkit import WORD_END
 
 #: Rows of the source table up to which it is broadcast; a larger one is joined by a shuffle that splits hot keys.
@@ -18,7 +18,7 @@ def word_count(text: Column) -> Column:
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) from 52 bits of the MD5 digest of the key and the seed: the same in every engine and run."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"|{seed}")))
+    digest = F.md5(F.concat(key, F.lit(f"|{seed}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -43,29 +43,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
+#: The columns that mix_plan() adds.
+PLAN = ("_size", "_source_size", "_target", "_copies")
+
+
+def _draw_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with what each row draws by: its doc_id; a row without one, or with one that others have too, also draws by
+    its text and its place in the input, else equal rows would all be taken or none."""
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(f"{name}_id")), "mix-repeated")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    if again.isEmpty():
+        return docs.withColumn(name, key)
+    if again.count() <= BROADCAST_SOURCES:
+        again = F.broadcast(again)
+    here = F.concat(key, F.lit("|"), F.md5(F.coalesce("text", F.lit(""))), F.lit("|"), F.col(f"{name}_at").cast("string"))
+    told = docs.withColumn(f"{name}_at", F.monotonically_increasing_id()).join(again.withColumn(f"{name}_met", F.lit(True)), F.col("doc_id").eqNullSafe(F.col(f"{name}_id")), "left")
+    return told.withColumn(name, F.when(F.col(f"{name}_met"), here).otherwise(key)).drop(f"{name}_at", f"{name}_id", f"{name}_met")
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7) -> DataFrame:
     """docs with _size, _source_size, _target and _copies.
 
     A source whose words number S and whose target is T has the rate T / S (0 if S is 0). Each document gets
     floor(rate) copies and one more with probability rate - floor(rate), drawn from a hash of doc_id and seed.
-    A null or empty text has size 0; a null source is a source of its own; rows that repeat a doc_id draw alike;
-    an empty table gives an empty result; other columns are kept, whatever they are called.
+    A null or empty text has size 0; a null source is a source of its own; rows without a doc_id, or that repeat one,
+    draw by their text and place in the input too, so a rerun over the same files agrees; an empty table gives an empty
+    result; columns of docs that have one of the new names are replaced, others are kept whatever they are called.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = cut(source_targets(sized.select("source", F.col("_size").alias("size")), weights, max_repeats), "mix-targets")
-    targets = targets.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in PLAN])
+    of, key = spare([*docs.columns, *PLAN], "_of", "_drawn_by")
+    sized = _draw_key(docs, key).withColumn("_size", word_count(F.col("text")))
+    targets = cut(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeats), "mix-targets")
+    targets = targets.select(F.col("source").alias(of), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    extra = uniform(F.col("doc_id"), seed) < rate - F.floor(rate)
-    return out.withColumn("_copies", F.floor(rate).cast("long") + extra.cast("long"))
+    extra = uniform(F.col(key), seed) < rate - F.floor(rate)
+    return out.withColumn("_copies", F.floor(rate).cast("long") + extra.cast("long")).drop(key)
 
 
 def emit(plan: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, without the plan's columns."""
-    kept = [c for c in plan.columns if c not in ("_size", "_source_size", "_target", "_copies")]
-    taken = plan.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    kept = [c for c in plan.columns if c not in PLAN]
+    (copy,) = spare(plan.columns, "_copy")
+    taken = plan.where(F.col("_copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return taken.select(*kept)
 
 

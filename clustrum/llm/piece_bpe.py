@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from .shared import read_table, ship, worker_tables
+from .shared import FileBytes, read_table, ship, worker_model
 
 MARK = "▁"
 #: Runs, and pairs of pieces, that a table of a worker holds.
@@ -37,10 +37,9 @@ _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class PieceEncoder:
     """The ids of a SentencePiece model of merge type without normalisation rules, user-defined or unused pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model.ParseFromString(raw)
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
         rules = model.normalizer_spec
         plain = not rules.precompiled_charsmap and not rules.remove_extra_whitespaces and rules.escape_whitespaces
@@ -74,7 +73,7 @@ class PieceEncoder:
         self.runs: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.shown = [str(i) for i in range(len(model.pieces))]
-        self.decoder = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
     def _ids(self, token: str) -> list[int]:
         if token in self.id:
@@ -207,16 +206,8 @@ class PieceEncoder:
         return list(chain.from_iterable(self.parts(text)))
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and model."""
-    kept = worker_tables("pieces")
-    if path not in kept:
-        kept[path] = PieceEncoder(path)
-    return kept[path]
-
-
-def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, digests: bool) -> Iterator[pa.RecordBatch]:
-    coder = encoder(path)
+def _encode(batches: Iterator[pa.RecordBatch], file: FileBytes, at: int, digests: bool) -> Iterator[pa.RecordBatch]:
+    coder = worker_model("pieces", file, PieceEncoder)
     for whole in batches:
         for a in range(0, whole.num_rows, 256):
             batch = whole.slice(a, 256)
@@ -244,9 +235,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
     ship(docs.sparkSession)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
-    at = docs.columns.index(text)
+    at, file = docs.columns.index(text), FileBytes(docs.sparkSession, model)
     schema = T.StructType(list(docs.schema)).add(new[0], "long").add(new[1], T.StringType() if digests else T.ArrayType(T.IntegerType())).add(new[2], "string")
-    return docs.mapInArrow(lambda b: _encode(b, model, at, digests), schema)
+    return docs.mapInArrow(lambda b: _encode(b, file, at, digests), schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

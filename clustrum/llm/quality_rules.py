@@ -182,10 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     if some["quality"].nunique() < 2:
         return []
     quality = dict(zip(some["doc_id"].tolist(), some["quality"].tolist(), strict=True))
-    own = docs.where(F.col("doc_id").isin(sorted(quality))).select("doc_id", "text")
-    rows = statistics(own).select("doc_id", "_q")
-    rows = rows.select("doc_id", *(c.alias(k) for k, c in features(F.col("_q")).items()), F.col("_q.n_words").alias("_n"), F.col("_q.n_repeat_words").alias("_r")).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(quality)], label.select("doc_id").schema)
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = rows.select("doc_id", *(c.alias(k) for k, c in features(F.col("_q")).items()), F.col("_q.n_words").alias("_n"), F.col("_q.n_repeat_words").alias("_r"))
+    # one row an id comes to the driver, however often it repeats
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*rows.columns[1:])).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")
     rows = rows[(rows["_n"] >= 10) & (100 * rows["_r"] <= 20 * rows["_n"])]  # the base filter has the others
     bad = rows["doc_id"].map(quality).to_numpy() == 0
     order = np.random.default_rng(0).permutation(len(rows))
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
 
 def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with _q, base_failed, kept, rule. Rows that repeat or lack a doc_id are judged alike, by their text alone;
-    an empty table gives an empty result; other columns are kept."""
+    an empty table gives an empty result; columns of docs that have one of the new names are replaced, others are kept."""
     rules = train(docs, labels, sample)
     out = statistics(docs)
     q = F.col("_q")

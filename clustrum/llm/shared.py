@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -15,9 +16,11 @@ _SHIPPED: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary folder that is set there."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode, a temporary folder that is set there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="clustrum-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -76,6 +79,34 @@ def worker_tables(operator: str) -> dict:
     return _TABLES.setdefault(operator, {})
 
 
+def spare(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+class FileBytes:
+    """A file of the driver as executors see it: its bytes, broadcast, under a digest."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        raw = Path(path).read_bytes()
+        self.digest = hashlib.sha256(raw).hexdigest()
+        self.shared = spark.sparkContext.broadcast(raw)
+
+
+def worker_model(operator: str, file: FileBytes, make):
+    """make(bytes), once for each worker process and file."""
+    kept = worker_tables(operator)
+    if file.digest not in kept:
+        kept[file.digest] = make(file.shared.value)
+    return kept[file.digest]
+
+
 def hash_place(key: str) -> Column:
     """A number below 2**30 that puts keys in a random order, the same in every run."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30))

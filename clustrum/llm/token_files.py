@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, scratch_root, ship, worker_tables
+from .shared import FileBytes, read_table, scratch_root, ship, worker_model
 
 MAGIC, VERSION = b"REPAIRID", 1
 #: Ids after which a shard is closed.
@@ -63,12 +63,13 @@ class _Coder:
     space, so those pieces are encoded alike alone and in the text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(raw.decode())
+        #: Texts that hold one of the added tokens are cut at it first, so they are encoded whole.
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if self.vocabulary < 1 << 16 else np.uint32
         #: Whether a token's text starts with a blank.
@@ -131,8 +132,8 @@ class _Coder:
         return [found[p] for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # a piece that starts with NUL would be taken for a first one: such texts are encoded whole
-        whole = {i for i, t in enumerate(texts) if t and " \x00" in t}
+        # a piece that starts with NUL would be taken for a first one: such texts are encoded whole too
+        whole = {i for i, t in enumerate(texts) if t and (" \x00" in t or any(map(t.__contains__, self.added)))}
         cut = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         get = self.new.get
         ids = [list(map(get, ps)) for ps in cut]
@@ -157,13 +158,6 @@ class _Coder:
         return out
 
 
-def _coder(path: str) -> _Coder:
-    kept = worker_tables("ids")
-    if path not in kept:
-        kept[path] = _Coder(path)
-    return kept[path]
-
-
 def re_pair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, min_count: int = MIN_COUNT, most: int = ROUND_PAIRS, least: float = LEAST_SAVED):
     """(symbols, their ends by document, rules) of the ids of documents that end at `ends`."""
     room = (1 << 16) - vocabulary if ids.dtype == np.uint16 else (1 << 31) - vocabulary
@@ -318,8 +312,8 @@ class Shard:
             begin = end
 
 
-def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    coder = _coder(path)
+def _shards(batches: Iterator[pa.RecordBatch], file: FileBytes, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    coder = worker_model("ids", file, _Coder)
     part, seq = TaskContext.get().partitionId(), 0
     end = np.array([end_id], coder.dtype).tobytes()
     docs, own, sizes, total = [], [], [], 0
@@ -358,7 +352,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tok
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, rows.rdd.getNumPartitions())
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(lambda b: _shards(b, tokenizer, end_id, shard_tokens), _SHARD).write.parquet(path)
+    file = FileBytes(docs.sparkSession, tokenizer)
+    rows.mapInArrow(lambda b: _shards(b, file, end_id, shard_tokens), _SHARD).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

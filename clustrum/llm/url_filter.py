@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, spare
 
 #: Intervals are cut at multiples of this many seconds, so that one key's captures meet few intervals at a time.
 BUCKET_S = 90 * 86_400
+#: Keys of a list up to which they are broadcast.
+BROADCAST_KEYS = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -79,7 +81,8 @@ def url_filter(captures: DataFrame, events: DataFrame, bucket_s: int = BUCKET_S)
     the labels and folders of the longest key in the list, so every entry is looked up, however long.
     """
     new = ["blocked", "block_key", "block_kind", "block_since"]
-    captures = captures.select(*[c for c in captures.columns if c not in new])
+    captures = captures.select(*[c for c in captures.columns if c.lower() not in new])
+    url, at, hit = spare([*captures.columns, *new], "_url", "_at", "_hit")
     seconds = lambda c: F.unix_timestamp(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     bucket = lambda c: F.floor(seconds(c) / bucket_s)
     # the last and first fetch bound the buckets: one row, crossed in as literals
@@ -91,14 +94,28 @@ def url_filter(captures: DataFrame, events: DataFrame, bucket_s: int = BUCKET_S)
     spans = spans.withColumn("bucket", F.explode(F.sequence(first, last))).select(F.col("key").alias("_key"), "kind", "since", "until", F.col("bucket").alias("_bucket"))
 
     # one row a distinct (url, time): repeated captures are looked up once, and the answer is joined back by them
-    asked = captures.select("url", F.col("fetched_at").cast("timestamp_ntz").alias("at")).where("url is not null and at is not null").distinct()
+    asked = captures.select("url", F.col("fetched_at").cast("timestamp_ntz").alias("at")).where("url is not null and at is not null")
+    # a repartitioning by number isn't coalesced, so the keys are made by all tasks
+    asked = asked.repartition(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url", "at").distinct()
     asked = asked.withColumn("key", F.explode(keys_of(F.col("url"), *extent(events)))).withColumn("bucket", bucket(F.col("at")))
+    asked = _listed(asked, spans)
     on = (F.col("key") == F.col("_key")) & (F.col("bucket") == F.col("_bucket")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     best = F.min(F.struct((-F.length("key")).alias("n"), F.col("key"), F.col("kind"), F.col("since")))
-    hits = asked.join(spans, on).groupBy("url", "at").agg(best.alias("_hit")).select(F.col("url").alias("_url"), F.col("at").alias("_at"), "_hit")
-    out = captures.join(hits, (F.col("url") == F.col("_url")) & (F.col("fetched_at").cast("timestamp_ntz") == F.col("_at")), "left")
-    out = out.withColumns({"blocked": F.col("_hit").isNotNull(), "block_key": F.col("_hit.key"), "block_kind": F.col("_hit.kind"), "block_since": F.col("_hit.since")})
-    return out.drop("_url", "_at", "_hit")
+    hits = asked.join(spans, on).groupBy("url", "at").agg(best.alias("_hit")).select(F.col("url").alias(url), F.col("at").alias(at), F.col("_hit").alias(hit))
+    out = captures.join(hits, (F.col("url") == F.col(url)) & (F.col("fetched_at").cast("timestamp_ntz") == F.col(at)), "left")
+    out = out.withColumns({"blocked": F.col(hit).isNotNull(), "block_key": F.col(f"{hit}.key"), "block_kind": F.col(f"{hit}.kind"), "block_since": F.col(f"{hit}.since")})
+    return out.drop(url, at, hit)
+
+
+def _listed(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """asked without rows whose key is in no entry, as far as that can be told without a shuffle by key: all of them if
+    the list's keys can be broadcast, else those of the keys that are asked for most, such as the suffix `com`."""
+    keys = spans.select(F.col("_key").alias("key")).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return asked.join(F.broadcast(keys), "key", "left_semi")
+    counted = asked.groupBy("key").count()
+    often = counted.where(F.col("count") > F.lit(2 * asked.count() // BROADCAST_KEYS)).select("key")  # fewer than BROADCAST_KEYS
+    return asked.join(F.broadcast(often.join(keys, "key", "left_anti")), "key", "left_anti")
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
@@ -151,9 +168,9 @@ WITH captures AS (
 ), cut AS (
   SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS parts FROM captures WHERE host IS NOT NULL
 ), suffixes AS (
-  SELECT page_id, fetched_at, parts, unnest([array_to_string(labels[i:len(labels)], '.') FOR i IN range(greatest(1, len(labels) - 7), len(labels) + 1)]) AS suffix FROM cut
+  SELECT page_id, fetched_at, parts, unnest([array_to_string(labels[i:len(labels)], '.') FOR i IN range(1, len(labels) + 1)]) AS suffix FROM cut
 ), keys AS (
-  SELECT DISTINCT page_id, fetched_at, unnest(list_concat([suffix], [suffix || array_to_string(parts[1:i + 1], '/') || '/' FOR i IN range(1, least(4, len(parts) - 2) + 1)])) AS key FROM suffixes
+  SELECT DISTINCT page_id, fetched_at, unnest(list_concat([suffix], [suffix || array_to_string(parts[1:i + 1], '/') || '/' FOR i IN range(1, len(parts) - 1)])) AS key FROM suffixes
 ), hits AS (
   SELECT k.page_id, s.key, s.kind, s.since, row_number() OVER (PARTITION BY k.page_id ORDER BY length(s.key) DESC, s.key) AS r
   FROM keys k JOIN spans s ON k.key = s.key AND s.blocks AND s.since <= k.fetched_at AND (s.until IS NULL OR k.fetched_at < s.until)
