@@ -171,6 +171,11 @@ def column_kinds(df: DataFrame, continuous: list[str], categorical: list[str]) -
     return distinct_counts(df).join(F.broadcast(named), "column").select("column", "dtype", "n_distinct", kind.alias("kind")).orderBy("kind", F.desc("n_distinct"), "column")
 
 
+def head(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first n rows by key."""
+    return df.orderBy(key).limit(n)
+
+
 def finite(x: Column) -> Column:
     """Null instead of NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)

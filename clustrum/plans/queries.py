@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrum.functions import profile
+from clustrum.functions.scratch import scratch_root
 from clustrum.operators import density, dimred, gmm, hierarchical, kmeans, metrics, pairwise, select, spectral, stability
 from clustrum.operators.preprocess import STRATEGIES, Preprocessor, Strategy, fit_yeo_johnson, yeo_johnson
 from clustrum.operators.schema import ColumnTypes, infer_column_types
-from clustrum.sources import sinks
+from clustrum.sources import sinks, tables
 
 from . import workflow
 
@@ -547,11 +549,17 @@ RUNS = [
     ("08_consensus_ensemble", "Consensus (average linkage on co-assoc)", 0.15461219256545286, 2.9464885589718826, 186.38449699385387, 0.6325737803254404, 0.2575639912185684),
     ("09_final_selection", None, None, None, None, None, None),
 ]
-RUN_COLUMNS = "notebook string, algorithm string, silhouette double, davies_bouldin double, calinski_harabasz double, stab_mean double, stab_std double"
 
 
 def runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, RUN_COLUMNS)
+    """The comparison table that is read from the runs' documents, written one for each."""
+    folder = f"{scratch_root(spark)}/clustrum/runs-{uuid.uuid4().hex}"
+    handle = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    handle.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(handle)
+    for notebook, algorithm, *signals, mean, std in RUNS:
+        best = {"algorithm": algorithm, "internal_metrics": dict(zip(("silhouette", "davies_bouldin", "calinski_harabasz"), signals, strict=True)), "stability": {"mean_ari": mean, "std_ari": std}}
+        sinks.write_result(f"{folder}/{notebook}", {"notebook": notebook} | ({"best_model": best} if algorithm else {}))
+    return tables.read_runs(spark, folder)
 
 
 def _literal(v) -> str:
@@ -592,10 +600,10 @@ def signal_curves(spark, sf_dir):
     return rounded(select.signal_curves(scan))
 
 
-@query("SELECT 'left' AS side, vec_id AS row_id FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 'right', vec_id FROM embeddings WHERE vec_id % 49 = 0 AND vec_id % 50 <> 0 AND 1 = 0")
+@query("SELECT 'right' AS side, vec_id AS row_id FROM embeddings WHERE vec_id % 50 = 0 AND vec_id % 49 <> 0 UNION ALL SELECT 'left', vec_id FROM embeddings WHERE vec_id % 49 = 0 AND vec_id % 50 <> 0")
 def alignment_gaps(spark, sf_dir):
     p = points(spark, sf_dir)
-    return select.alignment_gaps(p, p.where("row_id % 50 <> 0"))
+    return select.alignment_gaps(p.where("row_id % 50 <> 0"), p.where("row_id % 49 <> 0"))
 
 
 @query("SELECT vec_id AS \"Id\", label AS \"Predicted\" FROM embeddings")

@@ -10,7 +10,7 @@ from pathlib import Path
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrum.operators.select import alignment_gaps
@@ -55,14 +55,26 @@ def to_jsonable(value: Any) -> Any:
     return str(value) if isinstance(value, Path) else value
 
 
-def write_result(folder: str | Path, payload: dict, filename: str = "result.json", add_timestamp: bool = True) -> Path:
-    """The run document, with the UTC time in seconds unless it has one; keys keep their order."""
+def write_result(folder: str | Path, payload: dict, filename: str = "result.json", add_timestamp: bool = True) -> str:
+    """The run document, with the UTC time in seconds unless it has one; keys keep their order. Returns where it is.
+
+    With a session the folder may be in any file system that Spark reads; without one it is the driver's.
+    """
     document = dict(payload)
     if add_timestamp and "timestamp" not in document:
         document["timestamp"] = datetime.now(UTC).isoformat(timespec="seconds")
-    target = Path(folder) / filename
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(to_jsonable(document), indent=2))
+    text, target = json.dumps(to_jsonable(document), indent=2), f"{str(folder).rstrip('/')}/{filename}"
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        Path(target).write_text(text)
+        return target
+    handle = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = handle.getFileSystem(spark._jsc.hadoopConfiguration()).create(handle, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
     return target
 
 

@@ -58,7 +58,7 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     ).orderBy("notebook")
 
 
-def setting(name: str, default, kind=str):
-    """A run-bounding setting from the environment, or its default."""
-    value = os.environ.get(name)
+def setting(name: str, default, kind=str, environment=os.environ):
+    """A run-bounding setting from the environment, or its default; a list is cut at commas."""
+    value = environment.get(name)
     return default if value is None else [kind(v) for v in value.split(",")] if isinstance(default, list) else kind(value)

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from clustrum.plans import proofs  # noqa: F401
 from clustrum.plans import queries as q
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
