@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows up to which exact percentiles are aggregated in one pass; beyond, they are bracketed by counting.
 ONE_PASS_ROWS = 5_000_000
+#: Slices of a column that one counting pass keeps at most, and values that are read at last.
+SLICES, READ_VALUES = 16_384, 2_000_000
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -57,58 +62,129 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column, nulls and NaN ignored; None for a column without values.
 
-    Small tables are aggregated at once. On large ones each wanted rank is bracketed: every pass counts the values in
-    equal slices of each bracket, for all columns and ranks together, and keeps the slice that holds the rank, until the
-    brackets hold few distinct values, which are then read. Memory and traffic don't depend on the number of rows.
+    Small tables are aggregated at once. On large ones each wanted rank is bracketed by counting: see select_ranks().
+    Memory and traffic don't depend on the number of rows.
     """
     typed = df.select(*(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
     sizes = typed.agg(*(F.count(f"`{c}`").alias(c) for c in columns)).first().asDict()
     if max(sizes.values(), default=0) <= ONE_PASS_ROWS:
         row = typed.agg(*(F.percentile(F.col(f"`{c}`"), F.array(*map(F.lit, map(float, probabilities)))).alias(c) for c in columns)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
-    ranks = {(c, r) for c in columns if sizes[c] for p in probabilities for r in {int(p * (sizes[c] - 1)), min(int(p * (sizes[c] - 1)) + 1, sizes[c] - 1)}}
-    value = _select_ranks(typed, ranks)
+    ranks = {c: sorted({r for p in probabilities for r in {int(p * (sizes[c] - 1)), min(int(p * (sizes[c] - 1)) + 1, sizes[c] - 1)}}) for c in columns if sizes[c]}
+    value = select_ranks(typed.select(*ranks), ranks)
 
     def at(c: str, p: float) -> float | None:
         if not sizes[c]:
             return None
         place = p * (sizes[c] - 1)
         low = int(place)
-        a, b = value[c, low], value[c, min(low + 1, sizes[c] - 1)]
+        a, b = value[c][low], value[c][min(low + 1, sizes[c] - 1)]
         return a + (b - a) * (place - low)
 
     return {c: [at(c, p) for p in probabilities] for c in columns}
 
 
-def _select_ranks(typed: DataFrame, ranks: set[tuple[str, int]], slices: int = 64) -> dict[tuple[str, int], float]:
-    ends = typed.agg(*(f(F.col(f"`{c}`")).alias(f"{c}\x00{k}") for c in typed.columns for k, f in (("lo", F.min), ("hi", F.max)))).first().asDict()
-    bracket = {(c, r): (ends[f"{c}\x00lo"], ends[f"{c}\x00hi"]) for c, r in ranks}
-    done: dict[tuple[str, int], float] = {}
-    while bracket:
-        for key in [k for k, (lo, hi) in bracket.items() if lo == hi]:
-            done[key] = bracket.pop(key)[0]
-        todo = sorted({(c, *b) for (c, _), b in bracket.items()})
-        if not todo:
-            break
-        counts = []
-        for i, (c, lo, hi) in enumerate(todo):
-            x = F.col(f"`{c}`")
-            width = (hi - lo) / slices
-            inside = (x >= lo) & (x <= hi)
-            place = F.least(F.floor((x - lo) / F.lit(width)), F.lit(slices - 1)) if width > 0 else F.lit(0)
-            counts.append(F.count_if(x < lo).alias(f"below{i}"))
-            for s in range(slices):
-                mine = inside & (place == s)
-                counts += [F.count_if(mine).alias(f"n{i}_{s}"), F.min(F.when(mine, x)).alias(f"lo{i}_{s}"), F.max(F.when(mine, x)).alias(f"hi{i}_{s}")]
-        row = typed.agg(*counts).first()
-        for (c, r), b in list(bracket.items()):
-            i = todo.index((c, *b))
-            left = r - row[f"below{i}"]
-            for s in range(slices):
-                if left < row[f"n{i}_{s}"]:
-                    bracket[c, r] = (row[f"lo{i}_{s}"], row[f"hi{i}_{s}"])
-                    break
-                left -= row[f"n{i}_{s}"]
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order, infinities included."""
+    bits = (np.asarray(x, float) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & 0x7FFF_FFFF_FFFF_FFFF)
+
+
+def _double(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ ((keys >> 63) & 0x7FFF_FFFF_FFFF_FFFF)).view(np.float64)
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], columns: list[int], rows: int = 500_000) -> Iterator[dict[int, np.ndarray]]:
+    """The columns' values as integers, many batches at once."""
+    held, n = {i: [] for i in columns}, 0
+    for batch in batches:
+        for i in columns:
+            held[i].append(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+        n += batch.num_rows
+        if n >= rows:
+            yield {i: _ordered(np.concatenate(v)) for i, v in held.items()}
+            held, n = {i: [] for i in columns}, 0
+    if n:
+        yield {i: _ordered(np.concatenate(v)) for i, v in held.items()}
+
+
+def select_ranks(typed: DataFrame, ranks: dict[str, list[int]], slices: int = SLICES, read: int = READ_VALUES) -> dict[str, dict[int, float]]:
+    """The values of the sorted ranks (from 0, nulls aside) of each column.
+
+    Each pass deals the values of all columns into slices of the brackets that hold wanted ranks, in tasks that keep one
+    number for each slice, and sums those by slice; `slices` bounds a column's slices, however many ranks are wanted.
+    Slices are equal in the order of the doubles' bits, so a handful of passes is enough for any values. When few values
+    are left in the brackets they are read and sorted.
+    """
+    from .scratch import ship
+
+    ship(typed.sparkSession)
+    names = list(ranks)
+    ends = typed.agg(*(f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    done: dict[str, dict[int, float]] = {c: {} for c in names}
+    # of each column: disjoint brackets in order, as (lowest, highest, values below, values inside)
+    brackets = {i: [(*_ordered(np.array([ends[f"lo{i}"], ends[f"hi{i}"]])).tolist(), 0, None)] for i in range(len(names))}
+    left = None
+    while brackets and (left is None or left > read):
+        # the lowest value of each slice, bracket after bracket, and each bracket's highest value and first slice
+        lows, highs, first = {}, {}, {}
+        for i, own in brackets.items():
+            per = max(2, slices // len(own))
+            parts = [sorted({lo + (hi - lo + 1) * j // per for j in range(per)}) for lo, hi, _, _ in own]
+            lows[i], highs[i] = np.array([x for p in parts for x in p], np.int64), np.array([b[1] for b in own], np.int64)
+            first[i] = np.cumsum([0, *map(len, parts)])
+
+        def counted(batches: Iterator[pa.RecordBatch], lows=lows, highs=highs, first=first) -> Iterator[pa.RecordBatch]:
+            n = {i: np.zeros(len(x), np.int64) for i, x in lows.items()}
+            least = {i: np.full(len(x), np.iinfo(np.int64).max) for i, x in lows.items()}
+            most = {i: np.full(len(x), np.iinfo(np.int64).min) for i, x in lows.items()}
+            for values in _key_batches(batches, list(lows)):
+                for i, v in values.items():
+                    slot = np.searchsorted(lows[i], v, "right") - 1
+                    of = np.searchsorted(first[i], slot, "right") - 1
+                    inside = (slot >= 0) & (v <= highs[i][np.minimum(of, len(highs[i]) - 1)])
+                    v, slot = v[inside], slot[inside]
+                    n[i] += np.bincount(slot, minlength=len(n[i]))
+                    np.minimum.at(least[i], slot, v)
+                    np.maximum.at(most[i], slot, v)
+            for i, count in n.items():
+                some = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), pa.array(count[some]), pa.array(least[i][some]), pa.array(most[i][some])], ["i", "slot", "n", "lo", "hi"])
+
+        parts = typed.mapInArrow(counted, "i int, slot int, n long, lo long, hi long")
+        whole = parts.groupBy("i", "slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas().sort_values(["i", "slot"])
+        after, left = {}, 0
+        for i, own in brackets.items():
+            mine = whole[whole["i"] == i]
+            slot, n, lo, hi = (mine[k].to_numpy() for k in ("slot", "n", "lo", "hi"))
+            of = np.searchsorted(first[i], slot, "right") - 1
+            before = np.cumsum(n) - n
+            starts = np.searchsorted(of, np.arange(len(own)))
+            below = before - before[starts][of] + np.array([b[2] for b in own])[of]
+            wanted = [r for r in ranks[names[i]] if r not in done[names[i]]]
+            place = (np.searchsorted(below, wanted, "right") - 1).tolist()
+            done[names[i]].update((r, float(_double(lo[p : p + 1])[0])) for r, p in zip(wanted, place, strict=True) if lo[p] == hi[p])
+            if still := sorted({p for p in place if lo[p] < hi[p]}):
+                after[i] = [(int(lo[p]), int(hi[p]), int(below[p]), int(n[p])) for p in still]
+                left += sum(int(n[p]) for p in still)
+        brackets = after
+    if brackets:
+
+        def inside_values(batches: Iterator[pa.RecordBatch], own=brackets) -> Iterator[pa.RecordBatch]:
+            for values in _key_batches(batches, list(own)):
+                for i, v in values.items():
+                    low, high = np.array([b[0] for b in own[i]], np.int64), np.array([b[1] for b in own[i]], np.int64)
+                    at = np.searchsorted(low, v, "right") - 1
+                    v = v[(at >= 0) & (v <= high[np.maximum(at, 0)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v)], ["i", "v"])
+
+        got = typed.mapInArrow(inside_values, "i int, v long").toArrow()  # at most READ_VALUES rows
+        which, v = got.column("i").to_numpy(), got.column("v").to_numpy()
+        for i, rows in brackets.items():
+            own, start = _double(np.sort(v[which == i])), 0
+            for _, _, below, n in rows:
+                done[names[i]].update((r, float(own[start + r - below])) for r in ranks[names[i]] if below <= r < below + n)
+                start += n
     return done
 
 

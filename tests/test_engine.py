@@ -77,14 +77,25 @@ def test_preprocessor_edges(spark):
     assert {(r["id"], r["features"][0]) for r in coded.collect()} == {(i, float(names.index(f"k{i % 300}"))) for i in range(600)}
 
 
-def test_quantiles_by_counting(spark, monkeypatch):
+@pytest.mark.parametrize("read", [0, 50, 10**6])
+def test_quantiles_by_counting(spark, monkeypatch, read):
+    """Brackets to the last value, to a few values, and read at once; ties, wide ranges, infinities, nulls, many ranks."""
     rng = np.random.default_rng(1)
-    x = np.round(rng.normal(size=997), 2)
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": rng.integers(0, 5, 997).astype(float)}))
-    want = {c: np.quantile(df.toPandas()[c], [0, 0.1, 0.5, 0.95, 1]) for c in "xy"}
+    n = 997
+    columns = {"x": np.round(rng.normal(size=n), 2), "y": rng.integers(0, 5, n).astype(float), "z": np.exp(rng.normal(size=n) * 200), "w": -np.exp(rng.normal(size=n)), "c": np.full(n, 3.0)}
+    columns["v"] = np.where(np.arange(n) % 50 == 0, np.inf, np.where(np.arange(n) % 50 == 1, -np.inf, columns["x"]))
+    df = spark.createDataFrame(pd.DataFrame(columns)).withColumn("n", F.when(F.col("y") > 1, F.col("x"))).repartition(3)
+    columns["n"] = columns["x"][columns["y"] > 1]
+    typed = df.select(*columns)
+    for slices in (4, 200):
+        ranks = {c: list(range(0, len(v), 7)) + [len(v) - 1] * (len(v) % 7 != 1) for c, v in columns.items()}
+        got = profile.select_ranks(typed, ranks, slices, read)
+        for c, v in columns.items():
+            assert [got[c][r] for r in ranks[c]] == np.sort(v)[ranks[c]].tolist(), c
     monkeypatch.setattr(profile, "ONE_PASS_ROWS", 10)
-    got = profile.quantiles(df, ["x", "y"], [0, 0.1, 0.5, 0.95, 1])
-    assert all(np.allclose(got[c], want[c]) for c in "xy")
+    shares = [0, 0.1, 0.5, 0.95, 1]
+    found = profile.quantiles(df, ["x", "y", "n"], shares)
+    assert all(np.allclose(found[c], np.quantile(columns[c], shares)) for c in "xyn")
 
 
 def test_yeo_johnson_normalises(spark):
