@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows up to which exact percentiles are aggregated in one pass; beyond, they are bracketed by counting.
-ONE_PASS_ROWS = 5_000_000
+ONE_PASS_ROWS = 200_000
 #: Slices of a column that one counting pass keeps at most, and values that are read at last.
 SLICES, READ_VALUES = 16_384, 2_000_000
 
