@@ -47,7 +47,7 @@ BLOCK, BLOCKS, HUBS = 500_000, 32, 8
 #: Members of one rare list in one batch from which they are dealt over other buckets, with one of them in the list's own.
 LOCAL_HOT = 64
 #: The weight of a probe against a step of the merge in the choice of L.
-MU = 0.1
+MU = 0.005
 
 _SCANNED = "doc_id long, n long, d1 long, d2 long, h long, c long"
 _DEALT = "key long, kind int, blob binary"
