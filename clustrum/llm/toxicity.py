@@ -1,18 +1,27 @@
-"""Toxicity: a support vector machine on a gapped subsequence string kernel, through Nyström landmarks.
+"""Toxicity: a support vector machine on a gapped subsequence string kernel of sentences, through Nyström landmarks.
 
 The kernel of two words weighs each common subsequence of three letters by DECAY to the power of the letters it spans in
-either word (Lodhi et al. 2002), normalised to 1 for equal words, so inserted characters and gaps cost a little only. A
-landmark sees a word if that holds enough of the landmark's distinct letters; otherwise their kernel counts as 0. A text
-is represented by its best kernel with each landmark, mapped by the inverse square root of the landmarks' own kernel
-matrix; a linear support vector machine with a logistic scale, fitted on labelled texts, gives the score.
+either word (Lodhi et al. 2002), so inserted letters and gaps cost a little only; it is normalised to 1 for equal words
+and raised to POWER, which tells chance likeness apart. The kernel of two sentences sums that over all pairs of their
+words, each word weighed by how rare it is in clean sentences. All of these are kernels again, so the inverse square root
+of the landmark sentences' own matrix maps a sentence into a space where a linear support vector machine is the kernel
+machine on the landmarks' span.
+
+The labels are those of documents: a document is toxic if one of its sentences is. So the machine is trained on labelled
+sentences that are chosen by itself, in rounds: of each document the sentence that it finds most toxic (Andrews et al.
+2003), those of clean documents beside the ones of the rounds before. A part of the documents is learned from twice, the
+second time with a letter put in each longer word. A document's margin is that of its worst sentence.
+
+The kernel is computed whole: a word's subsequences are counted against those of the landmarks' words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,219 +29,293 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import first_by_hash, read_table, ship, worker_tables
+from .shared import cut, drop, first_by_hash, hash_place, read_table, ship, worker_tables
 
 #: Labelled documents of either label that a model is fitted on, at most, by the hash of the id.
 PER_LABEL = 3000
-#: Landmarks, at most; documents that a landmark stands in, and the share of toxic ones among them, at least.
-LANDMARKS, SUPPORT, PRECISION = 64, 3, 0.8
-#: Length of the subsequences, and what each letter that they span weighs.
-ORDER, DECAY = 3, 0.7
-#: Powers of the normalised kernel, each a kernel again and mapped by itself: higher ones tell chance likeness apart.
-POWERS = (1, 2, 4)
-#: What a text on the wrong side of the margin costs.
-COST = 1.0
-#: Share of a landmark's distinct letters that a word must hold.
-LETTERS = 0.75
-#: Normalised kernels below this count as 0.
-FLOOR = 0.2
+#: Landmark sentences from toxic documents and from clean ones, at most.
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 80, 16
+#: A landmark is a sentence around a run of GRAM letters that stands in so many toxic documents and in such a share of
+#: them, the share of toxic ones among all documents with it, and the runs that are considered, at most; letters of a
+#: landmark, at most.
+GRAM, SUPPORT, SUPPORT_SHARE, PRECISION, CONSIDERED, LANDMARK_LETTERS = 5, 3, 0.01, 0.9, 2000, 400
+#: Length of the subsequences, the letters that they span at most (7 or fewer), what each of those weighs, and the power
+#: of a pair of words.
+ORDER, SPAN, DECAY, POWER = 3, 7, 0.8, 2
+#: Words of a sentence that count together; a longer one is cut into windows that overlap by half.
+WINDOW = 12
+#: Rounds in which sentences are chosen, and what a sentence on the wrong side of the margin costs.
+ROUNDS, COST = 4, 1.0
+#: Labelled documents, at most (about), that are learned from a second time with a letter put in each longer word.
+TWINS = 2000
 #: Letters of a word that the kernel takes at once; longer words are cut into halves that overlap.
 LONGEST = 24
-#: Words that a worker remembers in each of its tables.
+#: Words whose values a worker remembers, in each of two tables.
 WORDS = 250_000
+#: Eigenvalues of the landmarks' matrix below this share of the largest count as 0.
+RANK = 1e-4
 
-#: Digits and signs that stand for letters in disguised words.
-_DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)\w(?:[^\w\n]+\w){2,}(?!\w)")
 
 
-def letters(word: str) -> str:
-    """The word's letters, disguised ones read as such unless the word has no other letters."""
-    if word.isalpha():
-        return word
-    if any(map(str.isalpha, word)):
-        word = word.strip("!.,;:?\"'()")
-        return "".join(c for c in (_DISGUISES.get(c, c) for c in word) if c.isalpha())
-    return ""
+def sentences(text: str | None) -> list[list[str]]:
+    """The lower-cased words of each sentence; letters that stand apart by themselves are one word beside them."""
+    if not text:
+        return []
+    text = text.lower()
+    out = [s.split() for s in _SENTENCE_END.split(text)]
+    if _SPACED.search(text):
+        out = [s.split() + ["".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(s)] for s in _SENTENCE_END.split(text)]
+    return [s for s in out if s]
 
 
-def tokens(text: str) -> set[str]:
-    """The distinct raw words of a text in lower case; letters that stand apart by themselves count as one more word."""
-    text = text.lower()
-    found = set(text.split())
-    for m in _SPACED.finditer(text):
-        found.add("".join(c for c in m.group() if c.isalpha() or c in _DISGUISES))
-    return found
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, begin, end) of the windows of sentences of these lengths that stand one after the other."""
+    n = np.where(lengths <= WINDOW, 1, -(-(lengths - WINDOW) // (WINDOW // 2)) + 1)
+    of = np.repeat(np.arange(len(lengths)), n)
+    starts = np.cumsum(lengths) - lengths
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    begin = starts[of] + step * (WINDOW // 2)
+    return of, begin, np.minimum(begin + WINDOW, (starts + lengths)[of])
 
 
 def pieces(word: str) -> list[str]:
+    """The word's letters and digits, in parts that the kernel takes; none if there are fewer than ORDER, or no letter."""
+    if not word.isalnum():
+        word = "".join(c for c in word if c.isalnum())
+    if len(word) < ORDER or not any(map(str.isalpha, word)):
+        return []
     if len(word) <= LONGEST:
         return [word]
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Words x LONGEST code points, 0 beyond their ends."""
-    out = np.zeros((len(words), LONGEST), np.uint32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The kernel of each row of a with the same row of b, not normalised."""
-    n = len(a)
-    la, lb = (int((x > 0).any(0).sum()) if n else 0 for x in (a, b))
-    # inner[i, j]: weight of the common subsequences so far in a[:i], b[:j], each spanning to the ends of both
-    inner = np.ones((la + 1, lb + 1, n))
-    total = np.zeros(n)
-    same = [[(a[:, i] == b[:, j]) & (a[:, i] > 0) for j in range(lb)] for i in range(la)]
-    for order in range(1, ORDER + 1):
-        if order == ORDER:
-            for i in range(la):
-                for j in range(lb):
-                    total += np.where(same[i][j], DECAY * DECAY * inner[i, j], 0)
-            break
-        after = np.zeros_like(inner)
-        for i in range(la):
-            row = np.zeros(n)
-            for j in range(lb):
-                row = DECAY * row + np.where(same[i][j], DECAY * DECAY * inner[i, j], 0)
-                after[i + 1, j + 1] = DECAY * after[i, j + 1] + row
-        inner = after
-    return total
+def _codes(words: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length) if words else np.zeros((0, length), np.uint32)
+
+
+#: Of words of n letters: the places of the subsequences that span SPAN letters at most.
+_PLACES = {n: np.array([c for c in combinations(range(n), ORDER) if c[-1] - c[0] < SPAN]) for n in range(ORDER, LONGEST + 1)}
+
+
+class WordKernel:
+    """The normalised kernel of any words with some known ones, by counting common subsequences."""
+
+    def __init__(self, known: list[str]):
+        self.known = known
+        self.letters = np.unique(np.concatenate([_codes([w], len(w))[0] for w in known])) if known else np.zeros(0, np.uint32)
+        self.base = len(self.letters) + 1
+        owner, code, weight = [], [], []
+        for j, w in enumerate(known):
+            c, x, _ = self._features(_codes([w], len(w)))
+            owner.append(np.full(len(c), j))
+            code.append(c)
+            weight.append(x)
+        owner, code, weight = (np.concatenate(v) if known else np.zeros(0) for v in (owner, code, weight))
+        order = np.argsort(code, kind="stable")
+        self.keys, first = np.unique(code[order], return_index=True)
+        self.first = np.r_[first, len(code)]
+        self.owner, self.weight = owner[order].astype(np.int64), weight[order]
+        self.table = None
+        if self.base**ORDER <= 1 << 24:
+            self.table = np.full(self.base**ORDER, -1, np.int32)
+            self.table[self.keys.astype(np.int64)] = np.arange(len(self.keys))
+        self.own = np.array([_self_kernel(_codes([w], len(w)))[0] for w in known])
+
+    def _features(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, weight, word) of each subsequence of known letters of words of one length."""
+        at = np.minimum(np.searchsorted(self.letters, raw), max(len(self.letters) - 1, 0))
+        codes = np.where(self.letters[at] == raw, at + 1, 0).astype(np.int64)
+        places = _PLACES[raw.shape[1]]
+        code, good = np.zeros((len(raw), len(places)), np.int64), np.ones((len(raw), len(places)), bool)
+        for k in range(ORDER):
+            part = codes[:, places[:, k]]
+            code = code * self.base + part
+            good &= part > 0
+        word, column = np.nonzero(good)
+        return code[word, column], (DECAY ** (places[:, -1] - places[:, 0] + 1))[column], word
+
+    def parts(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(places in words, their kernels with the known ones) for words of ORDER to LONGEST letters, some at a time."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, rows in by_length.items() if self.known else ():
+            step = max(1, min(1_000_000 // len(_PLACES[n]), 2_000_000 // len(self.known)))
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                raw = _codes([words[i] for i in part], n)
+                code, weight, word = self._features(raw)
+                if self.table is not None:
+                    key = self.table[code]
+                else:
+                    key = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
+                    key = np.where(self.keys[key] == code, key, -1)
+                met = key >= 0
+                key, weight, word = key[met], weight[met], word[met]
+                many = self.first[key + 1] - self.first[key]
+                at = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                cell = np.repeat(word * len(self.known), many) + self.owner[at]
+                value = np.bincount(cell, np.repeat(weight, many) * self.weight[at], minlength=len(part) * len(self.known)).reshape(len(part), -1)
+                yield part, value / np.sqrt(_self_kernel(raw)[:, None] * self.own[None, :])
+
+    def against(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.known)))
+        for rows, value in self.parts(words):
+            out[rows] = value
+        return out
+
+    def fold(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """The powers of the kernels, times known x numbers."""
+        out = np.zeros((len(words), weights.shape[1]))
+        for rows, value in self.parts(words):
+            out[rows] = value**POWER @ weights
+        return out
+
+
+def _self_kernel(raw: np.ndarray) -> np.ndarray:
+    """The kernel of each word of one length with itself: squares of the weights that equal subsequences sum up to."""
+    places = _PLACES[raw.shape[1]]
+    _, letter = np.unique(raw, return_inverse=True)
+    letter = letter.reshape(raw.shape).astype(np.int64)
+    key = np.zeros((len(raw), len(places)), np.int64)
+    for k in range(ORDER):
+        key = (key << 20) | letter[:, places[:, k]]
+    key = np.sort((key << 3) | (places[:, -1] - places[:, 0] + 1), 1)
+    weight = (DECAY ** np.arange(8))[key & 7]
+    key >>= 3
+    fresh = np.ones(key.shape, bool)
+    fresh[:, 1:] = key[:, 1:] != key[:, :-1]
+    total = np.add.reduceat(weight.ravel(), np.flatnonzero(fresh.ravel()))
+    return np.bincount(np.nonzero(fresh)[0], total * total, minlength=len(raw))
 
 
-def _bags(words: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """A bit for each letter of the landmarks that the word holds."""
-    return np.array([sum({1 << alphabet[c] for c in w if c in alphabet}) for w in words], np.uint64)
+@dataclass(frozen=True)
+class Landmarks:
+    """Sentences, and the weights of words that clean documents share; other words weigh 1."""
+
+    sentences: tuple[tuple[str, ...], ...]
+    common: dict[str, float]
+
+    def words(self) -> tuple[list[str], np.ndarray]:
+        """The landmarks' distinct parts of words, and parts x landmarks with the weights of their words."""
+        cells: dict[tuple[str, int], float] = {}
+        for j, s in enumerate(self.sentences):
+            for w in s:
+                for p in pieces(w):
+                    cells[p, j] = cells.get((p, j), 0.0) + self.common.get(w, 1.0)
+        known = sorted({p for p, _ in cells})
+        at = {p: i for i, p in enumerate(known)}
+        weight = np.zeros((len(known), len(self.sentences)))
+        for (p, j), v in cells.items():
+            weight[at[p], j] = v
+        return known, weight
+
+
+class Valuer:
+    """For each word its weighed kernels with the landmarks, folded by `fold` (landmarks x numbers): what it adds to a
+    sentence. Values of words that were met are remembered."""
+
+    def __init__(self, landmarks: Landmarks, fold: np.ndarray):
+        known, weight = landmarks.words()
+        self.common, self.fold = landmarks.common, weight @ fold
+        self.kernel = WordKernel(known)
+        self.new: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        parts = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
+        out = np.zeros((len(words), self.fold.shape[1]))
+        if parts:
+            np.add.at(out, [i for i, _ in parts], self.kernel.fold([p for _, p in parts], self.fold))
+        return out * np.array([self.common.get(w, 1.0) for w in words])[:, None]
+
+    def values(self, words: list[str]) -> np.ndarray:
+        get, found = self.new.get, {}
+        got = list(map(get, words))
+        missing = dict.fromkeys(w for w, v in zip(words, got, strict=True) if v is None)
+        if missing:
+            if len(self.new) + len(missing) > WORDS:
+                self.new, self.old = {}, self.new
+            asked = []
+            for w in missing:
+                if (v := self.old.get(w)) is None:
+                    asked.append(w)
+                else:
+                    found[w] = v
+            found.update(zip(asked, self._of(asked).astype(np.float32), strict=True))
+            self.new.update(found)
+            # words of the first look-up may have gone to the older table since
+            got = [found[w] if v is None else v for w, v in zip(words, got, strict=True)]
+        return np.array(got, np.float64).reshape(len(words), self.fold.shape[1])
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, windows x numbers): the sums over the words of each window of its sentences; runs of texts at a time."""
+        cut_texts = [sentences(t) for t in texts]
+        begin = 0
+        while begin < len(texts):
+            end, n = begin, 0
+            while end < len(texts) and (end == begin or n < 40_000):
+                n += sum(map(len, cut_texts[end]))
+                end += 1
+            words = [w for t in cut_texts[begin:end] for s in t for w in s]
+            total = np.vstack((np.zeros((1, self.fold.shape[1])), np.cumsum(self.values(words), 0)))
+            lengths = np.array([len(s) for t in cut_texts[begin:end] for s in t], np.int64)
+            of, a, b = windows(lengths)
+            sums = total[b] - total[a]
+            owner = np.repeat(np.arange(begin, end), [len(t) for t in cut_texts[begin:end]])[of]
+            stops = np.searchsorted(owner, np.arange(begin, end), "right")
+            starts = np.searchsorted(owner, np.arange(begin, end), "left")
+            for i in range(begin, end):
+                yield i, sums[starts[i - begin] : stops[i - begin]]
+            begin = end
 
 
 @dataclass(frozen=True)
 class Model:
-    landmarks: tuple[str, ...]
-    own: np.ndarray
-    #: For each power the map from its kernel vectors.
-    mapping: tuple[np.ndarray, ...]
+    landmarks: Landmarks
+    #: Of each landmark what its kernel adds to the margin.
     weights: np.ndarray
     bias: float
     #: Slope and offset of the logistic scale.
     scale: tuple[float, float]
 
-    def score(self, k: np.ndarray) -> np.ndarray:
-        margin = mapped(k, self.mapping) @ self.weights + self.bias
+    def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -30, 30)))
 
 
-def mapped(k: np.ndarray, mapping: tuple[np.ndarray, ...]) -> np.ndarray:
-    return np.hstack([k**p @ m for p, m in zip(POWERS, mapping, strict=True)])
-
-
-class Scorer:
-    """Kernel vectors of words against a model's landmarks, with tables of words that a worker has met."""
-
-    def __init__(self, landmarks: tuple[str, ...], own: np.ndarray | None = None):
-        self.landmarks = landmarks
-        used = sorted({c for w in landmarks for c in w})[:64]
-        self.alphabet = {c: i for i, c in enumerate(used)}
-        self.bags = _bags(list(landmarks), self.alphabet)
-        self.need = np.ceil(LETTERS * np.bitwise_count(self.bags)).astype(np.uint8)
-        self.codes = _codes(list(landmarks))
-        self.own = kernel(self.codes, self.codes) if own is None else own
-        self.hits: dict[str, np.ndarray] = {}
-        self.nothing: set[str] = set()
-        self.old: set[str] = set()
-
-    def vectors(self, words: list[str]) -> np.ndarray:
-        """words x landmarks; the best of its pieces for a long word."""
-        parts = [(i, p) for i, w in enumerate(words) for p in pieces(w) if len(p) >= ORDER]
-        out = np.zeros((len(words), len(self.landmarks)))
-        if not parts or not len(self.landmarks):
-            return out
-        row = np.array([i for i, _ in parts])
-        texts = [p for _, p in parts]
-        bags = _bags(texts, self.alphabet)
-        met = np.bitwise_count(bags[:, None] & self.bags[None, :]) >= self.need[None, :]
-        p, k = np.nonzero(met)
-        if not len(p):
-            return out
-        used = np.unique(p)
-        codes = _codes([texts[i] for i in used])
-        size = (codes > 0).sum(1)
-        value = np.zeros(len(p))
-        at = np.searchsorted(used, p)
-        # words of about one length together, so that the recursion is no longer than they are
-        for low in range(0, LONGEST, 6):
-            rows = np.flatnonzero((size[at] > low) & (size[at] <= low + 6))
-            for part in np.array_split(rows, max(1, len(rows) // 4000)):
-                if len(part):
-                    mine = codes[at[part]]
-                    whole = kernel(mine, mine)
-                    both = kernel(mine, self.codes[k[part]])
-                    value[part] = (both / np.sqrt(np.maximum(whole * self.own[k[part]], 1e-300)))
-        np.maximum.at(out, (row[p], k), np.where(value >= FLOOR, value, 0))
-        return out
+def landmark_matrix(landmarks: Landmarks) -> np.ndarray:
+    """The kernel of each two landmarks."""
+    known, weight = landmarks.words()
+    return weight.T @ WordKernel(known).against(known) ** POWER @ weight
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """texts x landmarks: the best kernel of any word of the text."""
-        bags = [tokens(t) if t else set() for t in texts]
-        new = list(set().union(*bags) - self.nothing - self.old - self.hits.keys()) if bags else []
-        if len(self.nothing) + len(new) > WORDS:
-            self.nothing, self.old = set(), self.nothing
-        if len(self.hits) > WORDS // 5:
-            self.hits = {}
-            new = list(set().union(*bags) - self.nothing - self.old)
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            v = self.vectors([letters(w) for w in some]).astype(np.float32)
-            any_ = v.any(1)
-            for w, x, hit in zip(some, v, any_.tolist(), strict=True):
-                if hit:
-                    self.hits[w] = x.copy()
-            self.nothing.update(w for w, hit in zip(some, any_.tolist(), strict=True) if not hit)
-        out = np.zeros((len(texts), len(self.landmarks)))
-        known = self.hits.keys()
-        for i, bag in enumerate(bags):
-            if found := bag & known:
-                out[i] = np.max([self.hits[w] for w in found], 0)
-        return out
 
+def nystroem(matrix: np.ndarray) -> np.ndarray:
+    """The map from kernels with the landmarks: the inverse square root of their own matrix, on its large eigenvalues."""
+    value, vector = np.linalg.eigh((matrix + matrix.T) / 2)
+    large = value > RANK * value.max()
+    return vector[:, large] / np.sqrt(value[large])
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[str, ...]:
-    """Words that stand mostly in toxic texts. Each next one has the most toxic texts without any so far, plus a
-    twentieth of all its toxic texts; ties go to the last word by code point."""
-    bags = [{letters(w) for w in tokens(t)} for t in texts]
-    inside = Counter(w for b, y in zip(bags, toxic.tolist(), strict=True) if y for w in b if ORDER <= len(w) <= LONGEST)
-    outside = Counter(w for b, y in zip(bags, toxic.tolist(), strict=True) if not y for w in b if w in inside)
-    share = toxic.mean()
-    # the sample holds labels in another proportion than the corpus: precision counts both labels alike
-    good = [w for w, n in inside.items() if n >= SUPPORT and (r := n * (1 - share)) / (r + outside[w] * share) >= PRECISION and n * (1 - share) > 3 * outside[w] * share]
-    where = {w: {i for i, b in enumerate(bags) if toxic[i] and w in b} for w in sorted(good, key=lambda w: (-inside[w], w))[:2000]}
-    left, out = {i for i, y in enumerate(toxic.tolist()) if y}, []
-    while where and len(out) < LANDMARKS:
-        best = max(where, key=lambda w: (len(where[w] & left) + len(where[w]) / 20, w))
-        left -= where.pop(best)
-        out.append(best)
-    return tuple(out)
-
-
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, rounds: int = 200, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by dual coordinate descent (Hsieh et al. 2008)."""
-    z = np.hstack((x, np.ones((len(x), 1))))
-    sign = np.where(y, 1.0, -1.0)
-    top = cost * weight
-    alpha, w, q = np.zeros(len(y)), np.zeros(z.shape[1]), (z * z).sum(1)
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        change = 0.0
-        for i in rng.permutation(len(y)):
-            g = sign[i] * (z[i] @ w) - 1
-            a = min(max(alpha[i] - g / q[i], 0.0), top[i])
-            if a != alpha[i]:
-                w += (a - alpha[i]) * sign[i] * z[i]
-                change = max(change, abs(a - alpha[i]))
-                alpha[i] = a
-        if change < 1e-3:
+
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps in the primal (Chapelle 2007)."""
+    z, sign = np.hstack((x, np.ones((len(x), 1)))), np.where(y, 1.0, -1.0)
+    c = cost * weight / weight.mean()
+    regular = np.eye(z.shape[1])
+    regular[-1, -1] = 1e-6
+    w = np.zeros(z.shape[1])
+    loss = lambda w: w @ regular @ w / 2 + (c * np.maximum(1 - sign * (z @ w), 0) ** 2).sum()
+    for _ in range(50):
+        active = sign * (z @ w) < 1
+        za, ca = z[active], c[active]
+        gradient = regular @ w - 2 * za.T @ (ca * (sign[active] - za @ w))
+        step = np.linalg.solve(regular + 2 * (za * ca[:, None]).T @ za, gradient)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * (gradient @ step):
+            size /= 2
+        w = w - size * step
+        if abs(step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
 
@@ -253,71 +336,181 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(float(b[0]), 1e-3), float(b[1])
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Model | None:
-    """A model from texts and labels; None if there is but one label. prior: the share of toxic ones where the sample is
-    from, by which the labels are weighed; the sample's own, if None."""
-    if toxic.all() or not toxic.any():
-        return None
-    landmarks = choose_landmarks(texts, toxic)
-    scorer = Scorer(landmarks)
-    k = scorer.vectors(list(landmarks))
-    mapping = []
-    for p in POWERS:
-        value, vector = np.linalg.eigh((k**p + (k**p).T) / 2)
-        mapping.append(vector[:, value > 1e-2] / np.sqrt(value[value > 1e-2]))
-    x = mapped(scorer.texts(texts), tuple(mapping))
-    share = toxic.mean()
-    prior = share if prior is None else prior
-    weight = np.where(toxic, prior / share, (1 - prior) / (1 - share))
-    w, bias = _svm(x, toxic, weight)
-    return Model(landmarks, scorer.own, tuple(mapping), w, bias, _logistic(x @ w + bias, toxic, weight))
+def grams(word: str) -> set[str]:
+    """The runs of GRAM signs of the word, whose ends are signs of their own."""
+    word = f"^{word}$"
+    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
+
+
+def _counts(batches: Iterator[pa.RecordBatch], of_words: bool) -> Iterator[pa.RecordBatch]:
+    """key, toxic, clean: documents of a batch that hold the word, or the run of letters."""
+    for batch in batches:
+        found: dict[str, list[int]] = {}
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = {w for s in sentences(text) for w in s}
+            for k in keys if of_words else {g for w in keys for p in pieces(w) for g in grams(p)}:
+                found.setdefault(k, [0, 0])[1 - toxic] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["key", "toxic", "clean"])
+
+
+def _around(batches: Iterator[pa.RecordBatch], good: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """doc_id, gram, n, sentence: the shortest window of a document around each of the runs of letters that it holds."""
+    for batch in batches:
+        out: dict[tuple[int, str], tuple[int, str]] = {}
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cut_text = sentences(text)
+            words = [w for s in cut_text for w in s]
+            held = {w: good.intersection(g for p in pieces(w) for g in grams(p)) for w in set(words)}
+            _, begin, end = windows(np.array([len(s) for s in cut_text], np.int64))
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                for g in {g for w in words[a:b] for g in held[w]}:
+                    one = (b - a, " ".join(words[a:b]))
+                    if len(one[1]) <= LANDMARK_LETTERS:
+                        out[doc, g] = min(one, out.get((doc, g), one))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.string()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.string())],
+            ["doc_id", "gram", "n", "sentence"],
+        )
+
+
+def choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> Landmarks:
+    """Sentences of the sample (doc_id, text, toxic): around runs of letters that stand mostly in toxic documents, each
+    next one with the most toxic documents without any so far, plus a twentieth of all its toxic documents, ties to the
+    last run by code point; and some of clean documents, by the hash of the id."""
+    counted = lambda of_words: sample.select("text", "toxic").mapInArrow(lambda b: _counts(b, of_words), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    shared = counted(True).where(F.col("clean") >= 0.02 * n_clean).orderBy(F.desc("clean"), "key").limit(CONSIDERED).collect()
+    common = {r["key"]: (1 - min(r["clean"] / n_clean, 1.0)) ** 4 for r in shared}
+    rate = F.col("toxic") / n_toxic
+    good = counted(False).where((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * n_toxic)) & (rate >= PRECISION * (rate + F.col("clean") / n_clean)))
+    runs = frozenset(r["key"] for r in good.orderBy(F.desc("toxic"), "key").limit(CONSIDERED).collect())
+    found = cut(sample.where("toxic = 1").select("doc_id", "text").mapInArrow(lambda b: _around(b, runs), "doc_id long, gram string, n long, sentence string"), "landmarks")
+    where: dict[str, set[int]] = {}
+    for r in found.select("gram", "doc_id").collect():  # PER_LABEL documents by CONSIDERED runs at most
+        where.setdefault(r["gram"], set()).add(r["doc_id"])
+    shortest = {r["gram"]: r["s"]["sentence"] for r in found.groupBy("gram").agg(F.min(F.struct("n", "sentence")).alias("s")).collect()}
+    left, chosen = set().union(*where.values()) if where else set(), []
+    while where and len(chosen) < TOXIC_LANDMARKS:
+        best = max(where, key=lambda w: (len(where[w] & left) + len(where[w]) / 20, w))
+        left -= where.pop(best)
+        if (one := tuple(shortest[best].split())) not in chosen:
+            chosen.append(one)
+    plain = []
+    for r in sample.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 20_000).alias("t")).limit(CLEAN_LANDMARKS).collect():
+        plain += [tuple(s[:WINDOW]) for s in sentences(r["t"]) if len(" ".join(s[:WINDOW])) <= LANDMARK_LETTERS][:1]
+    drop(found)
+    return Landmarks(tuple(dict.fromkeys(chosen + plain)), common)
+
+
+def inserted(text: str) -> str:
+    """The text with a letter put inside each word of five letters or more, both chosen by the word."""
+
+    def one(m: re.Match) -> str:
+        word, crc = m.group(), zlib.crc32(m.group().lower().encode())
+        at = 1 + crc % (len(word) - 1)
+        return word[:at] + chr(97 + crc // 64 % 26) + word[at:]
+
+    return re.sub(r"[^\W\d_]{5,}", one, text)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """doc_id, twin, toxic, x: the mapped windows of each document (doc_id, text, toxic, twin); those with the flag twin
+    come a second time with letters put in."""
+    landmarks, mapping = shared.value
+    valuer = Valuer(landmarks, mapping)
+    for whole in batches:
+        for a in range(0, whole.num_rows, 100):
+            doc, text, toxic, twin = (whole.column(i).slice(a, 100).to_pylist() for i in range(4))
+            rows = [(d, False, y, t) for d, t, y in zip(doc, text, toxic, strict=True)] + [(d, True, y, inserted(t)) for d, t, y, z in zip(doc, text, toxic, twin, strict=True) if z]
+            found = [x.astype(np.float32).tobytes() for _, x in valuer.texts([r[3] for r in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "twin", "toxic", "x"])
+
+
+def _worst(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of the windows of each row the one of the largest margin; a row without windows has zeros."""
+    for batch in batches:
+        out = []
+        for x in batch.column(3):
+            x = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, len(weights))
+            out.append((x[int((x @ weights).argmax())] if len(x) else np.zeros(len(weights), np.float32)).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "twin", "toxic", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     """A model from (doc_id, text) and (doc_id, toxic) where `train` holds; at most PER_LABEL documents of a label.
 
-    Null ids and labels are left out; a doc_id with several labels counts with the largest.
+    Null ids and labels are left out; a doc_id with several labels counts with the largest, one with several texts with
+    the first by code point. None if there is but one label, or no sentence to learn from.
     """
-    label = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    spark = docs.sparkSession
+    ship(spark)
+    label = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     label = label.where("toxic in (0, 1)")
     n, toxic = label.agg(F.count("*"), F.sum("toxic")).first()
-    prior = (toxic or 0) / max(n, 1)
-    first = [first_by_hash(label.where(F.col("toxic") == v), "doc_id", PER_LABEL, m) for v, m in ((0, n - (toxic or 0)), (1, toxic or 0))]
-    some = first[0].union(first[1]).toPandas()
-    if some["toxic"].nunique() < 2:
+    toxic = toxic or 0
+    first = [first_by_hash(label.where(F.col("toxic") == v), "doc_id", PER_LABEL, m) for v, m in ((0, n - toxic), (1, toxic))]
+    ids = spark.createDataFrame(first[0].union(first[1]).toPandas(), label.schema)
+    own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    sample = cut(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
+    size = dict(sample.groupBy("toxic").count().collect())
+    if len(size) < 2:
         return None
-    kind = dict(zip(some["doc_id"].tolist(), some["toxic"].tolist(), strict=True))
-    rows = docs.where(F.col("doc_id").isin(sorted(kind)) & F.col("text").isNotNull()).select("doc_id", "text").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return fit_texts(rows["text"].tolist(), rows["doc_id"].map(kind).to_numpy() == 1, prior)
+    landmarks = choose_landmarks(sample, size[1], size[0])
+    if not landmarks.words()[0]:
+        return None
+    mapping = nystroem(landmark_matrix(landmarks))
+    # at first the sentence that is most like the toxic landmarks
+    n_plain = len(landmarks.sentences) - min(len(landmarks.sentences), CLEAN_LANDMARKS)
+    weights = np.linalg.pinv(mapping) @ np.r_[np.ones(n_plain), -np.ones(len(landmarks.sentences) - n_plain)] if n_plain else np.ones(mapping.shape[1])
+    before, bias, share, prior = [], 0.0, size[1] / (size[0] + size[1]), toxic / max(n, 1)
+    shared = spark.sparkContext.broadcast((landmarks, mapping))
+    dealt = sample.select("doc_id", "text", "toxic", (hash_place("doc_id") < (1 << 30) * min(1.0, TWINS / (size[0] + size[1]))).alias("twin"))
+    dealt = dealt.repartition(max(1, min(64, spark.sparkContext.defaultParallelism * 2)), "doc_id")
+    rows = cut(dealt.mapInArrow(lambda b: _window_rows(b, shared), "doc_id long, twin boolean, toxic int, x binary"), "toxicity-windows")
+    for _ in range(ROUNDS + 1):
+        got = rows.mapInArrow(lambda b, weights=weights: _worst(b, weights), rows.schema).toPandas().sort_values(["doc_id", "twin"])
+        x, y = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float), got["toxic"].to_numpy() == 1
+        margin = x @ weights + bias
+        if len(before) == ROUNDS:
+            break
+        before.append(x[~y])
+        clean = np.unique(np.vstack(before), axis=0)
+        whole, truth = np.vstack((x[y], clean)), np.r_[np.ones(int(y.sum()), bool), np.zeros(len(clean), bool)]
+        weights, bias = svm(whole, truth, np.where(truth, 0.5 / truth.mean(), 0.5 / (1 - truth.mean())))
+    drop(sample)
+    drop(rows)
+    scale = _logistic(margin, y, np.where(y, prior / share, (1 - prior) / (1 - share)))
+    return Model(landmarks, mapping @ weights, bias, scale)
 
 
 def _score(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
-    scorers = worker_tables("toxicity")
-    if model and model.landmarks not in scorers:
-        scorers.clear()
-        scorers[model.landmarks] = Scorer(model.landmarks, model.own)
+    kept = worker_tables("toxicity")
+    key = (model.landmarks.sentences, model.weights.tobytes()) if model else None
+    if model and key not in kept:
+        kept.clear()
+        kept[key] = Valuer(model.landmarks, model.weights[:, None])
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
             batch = whole.slice(a, 500)
+            score = np.zeros(batch.num_rows)
             if model:
-                score = model.score(scorers[model.landmarks].texts(batch.column(at).to_pylist()))
-            else:
-                score = np.zeros(batch.num_rows)
+                margin = np.full(batch.num_rows, model.bias)
+                for i, sums in kept[key].texts(batch.column(at).to_pylist()):
+                    margin[i] += sums.max() if len(sums) else 0.0
+                score = model.score(margin)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [str(i) for i in range(len(batch.columns) + 1)])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1).
 
-    A null text, an empty one and one in which no landmark sees a word have the score of no likeness at all; without a
-    model all scores are 0. Texts count whole; repeated rows score alike; an empty table gives an empty result; a
-    column of docs called toxicity is replaced.
+    A null text and an empty one have the score of a sentence that is unlike all landmarks; without a model all scores
+    are 0. Texts count whole; repeated rows score alike; an empty table gives an empty result; a column of docs called
+    toxicity is replaced.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(*[c for c in docs.columns if c != "toxicity"])
+    docs = docs.select(*[c for c in docs.columns if c.lower() != "toxicity"])
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
     return docs.mapInArrow(lambda b: _score(b, at, shared), T.StructType(list(docs.schema)).add("toxicity", "double"))
 

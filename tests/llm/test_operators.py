@@ -413,34 +413,95 @@ def test_language_id(spark, tables):
     assert language_id.predict(nothing, None).first()["lang_pred"] == "und"
 
 
-def test_string_kernel_against_enumeration():
-    from itertools import combinations
+def enumerated(w):
+    """The subsequences of a word with their weights, by loops."""
+    out = defaultdict(float)
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            for k in range(j + 1, len(w)):
+                if k - i < toxicity.SPAN:
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
 
-    def features(w):
-        out = defaultdict(float)
-        for c in combinations(range(len(w)), toxicity.ORDER):
-            out[tuple(w[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
-        return out
+def word_kernel(a, b):
+    fa, fb = enumerated(a), enumerated(b)
+    return sum(v * fb.get(k, 0) for k, v in fa.items()) / np.sqrt(sum(v * v for v in fa.values()) * sum(v * v for v in fb.values()))
 
-    words = ["idiot", "idxiot", "worthless", "wort", "abcabcabc", "éàü", "aaaa"]
-    codes = toxicity._codes(words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
-            fa, fb = features(a), features(b)
-            assert abs(toxicity.kernel(codes[i : i + 1], codes[j : j + 1])[0] - sum(v * fb.get(k, 0) for k, v in fa.items())) < 1e-9
+
+def test_string_kernel_against_enumeration():
+    known = ["idiot", "worthless", "éàü", "abcabcabc", "aaaa", "abc"]
+    words = [*known, "idxiot", "i-d-i-o-t", "wort", "𝔞bcd", "zzz", "a" * 24, "漢字かな"]
+    want = [[word_kernel(w, k) for k in known] for w in words]
+    assert np.allclose(toxicity.WordKernel(known).against(words), want)
+    wide = known + ["".join(map(chr, range(c, c + 5))) for c in range(0x4E00, 0x4F00, 5)]  # more letters than the table takes
+    assert np.allclose(toxicity.WordKernel(wide).against(words)[:, : len(known)], want)
+    assert toxicity.WordKernel([]).against(words).shape == (len(words), 0)
+
+
+def test_sentence_kernel_and_map():
+    """The kernel of sentences by loops, the map by dense algebra, and what windows add to a margin."""
+    common = {"the": 0.1, "lorem": 0.5}
+    marks = (("you", "idiot!"), ("the", "worthless", "clown"), ("lorem", "ipsum", "dolor", "sit"))
+    landmarks = toxicity.Landmarks(marks, common)
+
+    def sentence_kernel(s, t):
+        parts = lambda x: [(common.get(w, 1.0), p) for w in x for p in toxicity.pieces(w)]
+        return sum(u * v * word_kernel(a, b) ** toxicity.POWER for u, a in parts(s) for v, b in parts(t))
+
+    dense = np.array([[sentence_kernel(a, b) for b in marks] for a in marks])
+    assert np.allclose(toxicity.landmark_matrix(landmarks), dense)
+    mapping = toxicity.nystroem(dense)
+    assert np.allclose(dense @ mapping @ mapping.T @ dense, dense)
+    texts = ["What an idxiot. The lorem ipsum!", None, "", "worthless " * 30, "n i t w i t said", "..."]
+    found = dict(toxicity.Valuer(landmarks, mapping).texts(texts))
+    for i, t in enumerate(texts):
+        cut_text = toxicity.sentences(t)
+        parts = [s[a : a + toxicity.WINDOW] for s in cut_text for a in range(0, max(1, len(s) - toxicity.WINDOW // 2), toxicity.WINDOW // 2)]
+        want = np.array([[sentence_kernel(p, m) for m in marks] for p in parts]).reshape(len(parts), len(marks)) @ mapping
+        assert np.allclose(found[i], want, atol=1e-5), t
+    assert toxicity.sentences("n i t w i t said")[0][-1] == "nitwit"
+
+
+def test_machine_is_optimal():
+    rng = np.random.default_rng(4)
+    x, weight = rng.normal(size=(300, 6)), rng.random(300) + 0.5
+    y = x[:, 0] + 0.3 * rng.normal(size=300) > 0
+    w, bias = toxicity.svm(x, y, weight)
+    c, sign = weight / weight.mean(), np.where(y, 1, -1)
+    loss = lambda w, b: w @ w / 2 + b * b * 5e-7 + (c * np.maximum(1 - sign * (x @ w + b), 0) ** 2).sum()
+    assert all(loss(w, bias) <= loss(w + 1e-3 * d[:-1], bias + 1e-3 * d[-1]) for d in rng.normal(size=(200, 7)))
+    assert (((x @ w + bias) > 0) == y).mean() > 0.9
 
 
 def test_toxicity(spark):
+    """Held-out documents, insults with letters put in or apart, and texts on the edge."""
     rng = random.Random(11)
-    plain = [f"{a}{b}" for a in ("lor", "ip", "dol", "sit", "am", "con") for b in ("em", "sum", "or", "eta", "ti")]
+    plain = [f"{a}{b}" for a in ("lor", "ip", "dol", "sit", "am", "con", "ver", "tu") for b in ("em", "sum", "or", "eta", "ti", "que")]
     bad = ["blockhead", "scoundrel", "nitwit"]
-    texts = [" ".join(rng.choices(plain, k=30) + ([rng.choice(bad)] if i % 5 == 0 else [])) for i in range(400)]
-    toxic = np.array([i % 5 == 0 for i in range(400)])
-    model = toxicity.fit_texts(texts, toxic)
-    rows = [None, "", "lorem ipsum", "you bloxckhead", "a n i t w i t here: n i t w i t", "scoun-drel " * 2000, "x" * 100_000]
-    got = [r["toxicity"] for r in toxicity.score(docs(spark, rows), model).orderBy("doc_id").collect()]
-    assert max(got[:3]) < 0.3 and min(got[3:6]) > 0.5 and got[6] < 0.3
-    assert toxicity.fit_texts(texts, toxic & False) is None
+
+    def text(toxic):
+        own = [" ".join(rng.choices(plain, k=rng.randint(3, 20))) + "." for _ in range(rng.randint(1, 6))]
+        if toxic:
+            own.insert(rng.randint(0, len(own)), " ".join([*rng.choices(plain, k=rng.randint(0, 5)), rng.choice(bad), *rng.choices(plain, k=2)]) + "!")
+        return " ".join(own)
+
+    labels = [(i, int(i % 6 == 0)) for i in range(600)]
+    df = docs(spark, [text(t) for _, t in labels])
+    some = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df.union(df.limit(50)), some, F.col("doc_id") < 400)
+    out = {r["doc_id"]: r["toxicity"] for r in toxicity.score(df, model).where("doc_id >= 400").collect()}
+    right = [(out[i] >= 0.5) == bool(t) for i, t in labels[400:]]
+    assert np.mean(right) > 0.97
+    rows = [None, "", "lorem ipsum", "you bloxckhead", "a n i t w i t here: n i t w i t", "lorem. " * 3000 + "scoun-drel " * 2 + "lorem. " * 3000, "x" * 100_000]
+    extra = docs(spark, [*rows, rows[3]], [*range(7), 3]).selectExpr("*", "'mine' as TOXICITY", "1 as x")
+    got = toxicity.score(extra, model).collect()
+    score = {r["doc_id"]: r["toxicity"] for r in got}
+    assert len(got) == 8 and max(score[i] for i in (0, 1, 2, 6)) < 0.3 and min(score[i] for i in (3, 4, 5)) > 0.5
+    assert score[0] == score[1] and len({r["toxicity"] for r in got if r["doc_id"] == 3}) == 1
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert toxicity.fit(df, some.where("toxic = 0"), F.lit(True)) is None
+    assert toxicity.fit(df, some.limit(0), F.lit(True)) is None and toxicity.fit(df.limit(0), some, F.lit(True)) is None
     assert toxicity.score(docs(spark, ["x"]), None).first()["toxicity"] == 0
 
 
