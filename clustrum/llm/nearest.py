@@ -124,7 +124,8 @@ def _assign(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def _plan(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
-    """For each query the lists to probe, and the squared distance of its k-th nearest sample vector."""
+    """For each query the lists to probe, and the squared distance of its (2 k)-th nearest sample vector: beyond the k-th,
+    for the test is by estimates."""
     index: Index = shared.value
     sample = unit(index.vectors)
     for batch in batches:
@@ -135,7 +136,8 @@ def _plan(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Reco
             lists = np.argsort(_list_order(unit(part) @ index.rotation, index.centres), 1, kind="stable")[:, : index.probes]
             near = unit(part) @ sample.T
             near[ids[:, None] == index.ids[None, :]] = -np.inf
-            kth = -np.partition(-near, k - 1, 1)[:, k - 1] if near.shape[1] >= k else np.full(len(part), -np.inf)
+            far = min(2 * k, near.shape[1]) - 1
+            kth = -np.partition(-near, far, 1)[:, far] if far >= k else np.full(len(part), -np.inf)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in part], pa.binary()), pa.array(2 - 2 * kth), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))],
                 ["query_id", "vector", "reach", "lists"],
