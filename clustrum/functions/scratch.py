@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,6 +32,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a hint to broadcast it if it has so few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """df with 0, 1, .. in this order, without a task that holds all rows: ranges are sorted apart and counted, and the
+    number of ranges, not of rows, meets on the driver."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = cut(sorted_.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "numbered")
+    sizes = {r["_range"]: (r["n"], r["first"]) for r in held.groupBy("_range").agg(F.count("*").alias("n"), F.min("_place").alias("first")).collect()}
+    start, before = {}, 0
+    for part in sorted(sizes):
+        start[part] = before - sizes[part][1]
+        before += sizes[part][0]
+    if not start:
+        return held.withColumn(name, F.col("_place")).drop("_range", "_place")
+    shift = F.create_map(*(F.lit(x) for p, v in start.items() for x in (p, v)))
+    return held.withColumn(name, F.col("_place") + F.element_at(shift, F.col("_range"))).drop("_range", "_place")
+
+
 _SHIPPED: set[str] = set()
 
 

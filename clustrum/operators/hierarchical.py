@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Literal
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clustrum.functions.scratch import numbered, ship, small
+
 from .metrics import adjusted_rand
 from .pairwise import distances, propagate
 from .stability import FitPredict, sample_rows
@@ -160,31 +164,48 @@ def label_tuples(label_sets: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     table = table.withColumn("own", F.when(noisy, F.col("row_id")))
     keys = [*(f"l{i}" for i in range(m)), "own"]
     tuples = table.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
-    tuples = tuples.withColumn("t", F.row_number().over(Window.orderBy("first")) - 1)
+    tuples = numbered(tuples, "first", name="t").withColumn("t", F.col("t").cast("int"))
     same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
     return table.alias("a").join(tuples.alias("b"), same).select("a.row_id", "b.t"), tuples
 
 
 def consensus(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "average") -> DataFrame:
     """Labels by linkage on 1 - co-association, on the distinct label tuples with their numbers of rows: exact for all
-    rows, since rows of one tuple are at distance 0 and merge first."""
+    rows, since rows of one tuple are at distance 0 and merge first.
+
+    Of more than TREE_ROWS tuples, as many noisy rows make, those of the most rows are clustered (ties: the first), and
+    each other one joins the cluster that it agrees with most on average (ties: the smallest label).
+    """
     if linkage == "ward":
         raise ValueError("ward needs coordinates; co-association gives distances only")
     rows, tuples = label_tuples(label_sets)
-    m = len(label_sets)
-    if tuples.count() > TREE_ROWS:
-        raise ValueError(f"more than {TREE_ROWS} distinct label tuples; take a sample and propagate")
-    got = tuples.orderBy("t").collect()
-    labels = np.array([[r[f"l{i}"] for i in range(m)] for r in got])
+    m, names = len(label_sets), [f"l{i}" for i in range(len(label_sets))]
+    got = sorted(tuples.orderBy(F.desc("n"), "t").limit(TREE_ROWS).collect(), key=lambda r: r["t"])
+    labels, weight = np.array([[r[c] for c in names] for r in got]), np.array([r["n"] for r in got])
     agree = np.zeros((len(got), len(got)))
     for i in range(m):
         agree += (labels[:, i][:, None] == labels[:, i][None, :]) & (labels[:, i] != -1)[:, None]
     d = 1 - agree / m
     np.fill_diagonal(d, 0)
-    merges = chain_linkage(d, linkage, np.array([r["n"] for r in got])) if len(got) > 1 else []
+    merges = chain_linkage(d, linkage, weight) if len(got) > 1 else []
     cut = cut_tree(merges, len(got), min(n_clusters, len(got)))
-    names = rows.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(cut)], "t int, label int")
-    return rows.join(F.broadcast(names), "t").select("row_id", "label")
+    known = {r["t"]: int(v) for r, v in zip(got, cut, strict=True)}
+    size = np.bincount(cut, weight)
+    # of each set and label: how many rows of each cluster have it
+    share = [{v: np.bincount(cut, weight * (labels[:, i] == v), len(size)) / size for v in np.unique(labels[:, i]).tolist() if v != -1} for i in range(m)]
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t, *own in frame[["t", *names]].itertuples(index=False):
+                if (label := known.get(t)) is None:
+                    label = int(sum((share[i].get(v, 0.0) for i, v in enumerate(own)), np.zeros(len(size))).argmax())
+                out.append((t, label))
+            yield pd.DataFrame(out, columns=["t", "label"])
+
+    ship(rows.sparkSession)
+    named = tuples.select("t", *names).mapInPandas(place, "t int, label int")
+    return rows.join(small(named), "t").select("row_id", "label")
 
 
 def leave_one_out(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "average") -> DataFrame:

@@ -137,7 +137,10 @@ def lloyd_numpy(x: np.ndarray, k: int, n_init: int, rng: np.random.Generator, it
 
 
 def minibatch_kmeans(n_clusters: int, batch_size: int = 4096, n_init: int = 10, seed: int = 42, batches: int = 20) -> FitPredict:
-    """Mini-batch k-means: the best of n_init seedings on one batch, then steps on further batches."""
+    """Mini-batch k-means: the best of n_init seedings on one batch, then steps on further batches.
+
+    Rows are dealt to batches once, in the order of a hash: a batch is a slice of the hash's range, so none is sorted.
+    """
 
     def fit_predict(points: DataFrame) -> DataFrame:
         first = np.array([r["features"] for r in sample_rows(points, batch_size, seed).orderBy("row_id").select("features").collect()], float)
@@ -145,8 +148,14 @@ def minibatch_kmeans(n_clusters: int, batch_size: int = 4096, n_init: int = 10,
         tried = [plus_plus(first, n_clusters, rng) for _ in range(n_init)]
         cost = [((first[:, None, :] - c[None]) ** 2).sum(2).min(1).sum() for c in tried]
         model = MiniBatch(tried[int(np.argmin(cost))])
+        n = points.count()
+        share, place = min(1.0, batch_size / max(n, 1)), F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        dealt = points.withColumn("place", place)
         for i in range(batches):
-            model.update(sample_rows(points, batch_size, seed + 1 + i))
+            low = i * share % 1.0
+            # a slice that passes the end goes on at the beginning
+            inside = ((F.col("place") >= low) & (F.col("place") < low + share)) | (F.col("place") < low + share - 1.0)
+            model.update(dealt.where(inside))
         return model.predict(points)
 
     return fit_predict

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clustrum.functions.scratch import small
+
+from . import pairwise
 from .pairwise import block_join, distances
 
 NOISE = -1
@@ -36,7 +39,7 @@ def euclidean(a: Column, b: Column) -> Column:
 def davies_bouldin(rows: DataFrame) -> DataFrame:
     """One row: davies_bouldin of (row_id, features, label); O(rows x 1) distances to the own centre, then k x k."""
     c = centroids(rows)
-    own = rows.join(F.broadcast(c.select("label", "centre")), "label").groupBy("label").agg(F.avg(euclidean(F.col("features"), F.col("centre"))).alias("s"))
+    own = rows.join(small(c.select("label", "centre")), "label").groupBy("label").agg(F.avg(euclidean(F.col("features"), F.col("centre"))).alias("s"))
     c = c.join(own, "label").select("label", "centre", "s")
     a, b = c.alias("a"), c.alias("b")
     d = euclidean(F.col("a.centre"), F.col("b.centre"))
@@ -53,13 +56,38 @@ def calinski_harabasz(rows: DataFrame) -> DataFrame:
     between = axes.join(F.broadcast(mean), "axis").agg(F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"))
     square = lambda s, v: s + v * v
     spread = F.aggregate(F.zip_with("features", "centre", lambda x, y: x - y), F.lit(0.0), square)
-    inside = rows.join(F.broadcast(c.select("label", "centre")), "label").agg(F.sum(spread).alias("w"), F.count("*").alias("n"), F.count_distinct("label").alias("k"))
+    inside = rows.join(small(c.select("label", "centre")), "label").agg(F.sum(spread).alias("w"), F.count("*").alias("n"), F.count_distinct("label").alias("k"))
     value = F.when(F.col("w") == 0, F.lit(1.0)).otherwise((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))))
     return between.join(inside).select(F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), value).alias("calinski_harabasz"))
 
 
 def silhouette_samples(rows: DataFrame) -> DataFrame:
-    """row_id, label, silhouette: exact, Euclidean; 0 in clusters of one row."""
+    """row_id, label, silhouette: exact, Euclidean; 0 in clusters of one row.
+
+    Where the rows are broadcast a row's distances meet in one task, which returns its value. Else tasks return sums for
+    each row and label.
+    """
+    head = rows.select("features").head()
+    if head is not None and rows.count() * max(len(head["features"]), 1) * 8 <= pairwise.BROADCAST_BYTES:
+
+        def whole(ids, x, fit_ids, y, labels):
+            order = np.argsort(fit_ids)
+            own = labels[order[np.searchsorted(fit_ids, ids, sorter=order)]]
+            names, which, n = np.unique(labels, return_inverse=True, return_counts=True)
+            member = np.zeros((len(labels), len(names)))
+            member[np.arange(len(labels)), which] = 1.0
+            total = distances(x, y, ids[:, None] == fit_ids[None, :]) @ member
+            at, mine = np.searchsorted(names, own), np.arange(len(ids))
+            a = total[mine, at] / np.maximum(n[at] - 1, 1)
+            mean = total / n
+            mean[mine, at] = np.inf
+            b = mean.min(1)
+            top = np.maximum(a, b)
+            value = np.where((n[at] > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own.astype(np.int32)), pa.array(np.where(np.isfinite(value), value, 0.0))], ["row_id", "label", "silhouette"])
+
+        return block_join(rows, rows, whole, "row_id long, label int, silhouette double", extra="label")
+
     names = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
     place = {v: i for i, v in enumerate(names)}
 

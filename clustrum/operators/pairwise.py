@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.scratch import ship
+from clustrum.functions.scratch import numbered, ship
 
 #: Bytes of a fit set up to which it is broadcast; rows of the blocks that a larger one is dealt into.
 BROADCAST_BYTES = 64 << 20
@@ -135,7 +135,7 @@ def k_distance(points: DataFrame, k: int = 4) -> DataFrame:
 
 def k_distance_curve(points: DataFrame, k: int = 4) -> DataFrame:
     """position (from 0), dist: the k-th neighbour distances in ascending order."""
-    return k_distance(points, k).select((F.row_number().over(Window.orderBy("dist", "row_id")) - 1).alias("position"), "dist")
+    return numbered(k_distance(points, k), "dist", "row_id").select("position", "dist")
 
 
 def pick_eps(points: DataFrame, k: int = 5, quantile: float = 0.95) -> float | None:

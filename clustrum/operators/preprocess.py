@@ -9,11 +9,11 @@ from typing import Literal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clustrum.functions.profile import is_numeric, quantiles
-from clustrum.functions.scratch import cut, ship
+from clustrum.functions.scratch import cut, numbered, ship
 
 from .schema import ColumnTypes
 
@@ -177,8 +177,10 @@ class Preprocessor:
             for c in cat:
                 counts = df.groupBy(self._category(c).alias("v")).agg(F.count("*").alias("n"))
                 if self.strategy.encoding != "onehot" and len(counts.select("v").head(INLINE_CATEGORIES + 1)) > INLINE_CATEGORIES:
-                    code = F.col("n") / F.lit(float(n)) if self.strategy.encoding == "target_freq" else (F.row_number().over(Window.orderBy("v")) - 1).cast("double")
-                    self.tables[c] = cut(counts.select("v", code.alias("code")), "categories")
+                    if self.strategy.encoding == "target_freq":
+                        self.tables[c] = cut(counts.select("v", (F.col("n") / F.lit(float(n))).alias("code")), "categories")
+                    else:
+                        self.tables[c] = numbered(counts.select("v"), "v", name="code").withColumn("code", F.col("code").cast("double"))
                     continue
                 if self.strategy.encoding == "target_freq":
                     self.shares[c] = [(r["v"], r["n"] / n) for r in counts.orderBy("v").collect()]

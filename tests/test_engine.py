@@ -354,3 +354,37 @@ def test_workflow(spark, blobs, monkeypatch):
     assert workflow.final_selection(q.runs(spark))[1].count() == 1
     curves = workflow.bic_curves(points, [2, 3], ("diag",), 1)
     assert select.pick_bic(curves).first()["k"] == 3
+
+
+def test_consensus_of_many_tuples(spark, monkeypatch):
+    """Beyond TREE_ROWS the rest joins the cluster that it agrees with most; noise doesn't stop it."""
+    n = 600
+    one = spark.createDataFrame([(i, -1 if i % 10 == 0 else i % 3) for i in range(n)], "row_id long, label int")
+    two = spark.createDataFrame([(i, 5 + i % 3) for i in range(n)], "row_id long, label int")
+    three = spark.createDataFrame([(i, i % 3 if i % 7 else -1) for i in range(n)], "row_id long, label int")
+    whole = {r["row_id"]: r["label"] for r in hierarchical.consensus([one, two, three], 3).collect()}
+    monkeypatch.setattr(hierarchical, "TREE_ROWS", 20)
+    some = {r["row_id"]: r["label"] for r in hierarchical.consensus([one, two, three], 3).collect()}
+    assert len(some) == n and all(len({x[i] for i in range(r, n, 3)}) == 1 for x in (whole, some) for r in range(3)) and len(set(some.values())) == 3
+
+
+def test_numbered(spark):
+    from clustrum.functions.scratch import numbered
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 50, 700)
+    df = spark.createDataFrame([(int(v), i) for i, v in enumerate(x)], "x long, i long").repartition(7)
+    got = numbered(df, "x", "i").orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(700)) and [(r["x"], r["i"]) for r in got] == sorted((int(v), i) for i, v in enumerate(x))
+    assert numbered(df.limit(0), "x").count() == 0
+
+
+def test_silhouettes_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist(), int(v)) for i, v in enumerate(rng.integers(0, 4, 200))] + [(200, [9.0, 9.0, 9.0], 7)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label int")
+    whole = {r["row_id"]: r["silhouette"] for r in metrics.silhouette_samples(df).collect()}
+    monkeypatch.setattr(pairwise, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", 60)
+    parts = {r["row_id"]: r["silhouette"] for r in metrics.silhouette_samples(df).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-9 for i in whole) and whole[200] == 0
