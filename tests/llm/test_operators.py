@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from clustrum.llm import language_id, line_dedup, mixing, nearest, ngram_join, piece_bpe, quality_rules, registry, textkit, token_files, toxicity, url_filter
@@ -157,29 +158,47 @@ def test_line_dedup(spark):
     assert all(r["_copies"] == "clash" for r in out.values())
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_chunks(text):
-    """The chunks again, from the definition, with hashes that Spark gave."""
-    return line_dedup.chunks(text, line_dedup.MIN_LINES, line_dedup.MIN_WORDS, line_dedup.DIVISOR)
+    """(text, compared) of each chunk, from the definition: lines cut where the hash of two line hashes says so."""
+    lines = text.split("\n")
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
+    words = [len(WORD.findall(x)) for x in lines]
+    out, begin = [], 0
+    for i in range(len(lines)):
+        before = hashes[max(i - 1, 0)]
+        rolled = ((before << 1 | before >> 63) & (2**64 - 1)) ^ hashes[i]
+        cut = signed(xxhash.xxh64(rolled.to_bytes(8, "little"), seed=42).intdigest()) % line_dedup.DIVISOR == 0
+        if cut or i == len(lines) - 1 or words[i] >= line_dedup.MIN_WORDS or words[i + 1] >= line_dedup.MIN_WORDS:
+            n = sum(words[begin : i + 1])
+            out.append(("\n".join(lines[begin : i + 1]), n > 0 and (i + 1 - begin >= line_dedup.MIN_LINES or n >= line_dedup.MIN_WORDS)))
+            begin = i + 1
+    return out
 
 
 def test_line_dedup_against_definition(spark):
     rng = random.Random(5)
-    pool = [f"common line {i}" for i in range(12)]
-    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 9)) + [f"own {d}"]) for d in range(60)]
-    df = docs(spark, texts)
-    cut = {r["doc_id"]: r["c"] for r in df.select("doc_id", brute_chunks(F.col("text")).alias("c")).collect()}
+    pool = [f"common line {i}" for i in range(12)] + ["", "é ü", "w " * 55]
+    texts = ["\n".join([f"own start {d}", *rng.choices(pool, k=rng.randint(1, 9)), f"own {d}"]) for d in range(60)]
     seen, want = set(), {}
-    for d in range(60):
-        assert "\n".join(c["text"] for c in cut[d]) == texts[d]
+    for d, text in enumerate(texts):
+        found = brute_chunks(text)
+        assert "\n".join(t for t, _ in found) == text
         keep = []
-        for c in cut[d]:
-            if not c["heavy"] or c["text"] not in seen:
-                keep.append(c["text"])
-            if c["heavy"]:
-                seen.add(c["text"])
+        for t, compared in found:
+            if not compared or t not in seen:
+                keep.append(t)
+            if compared:
+                seen.add(t)
         want[d] = "\n".join(keep)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
-    assert got == want and got != dict(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    # windows of 50 words may take more from a text, never less
+    short = [d for d, t in enumerate(texts) if "w w" not in t]
+    assert len(short) > 20 and all(got[d] == want[d] for d in short) and got != dict(enumerate(texts))
+    assert all(len(got[d]) <= len(want[d]) for d in got)
 
 
 def test_line_dedup_passages_of_short_lines(spark):
@@ -396,6 +415,52 @@ def test_decision_list(spark):
     assert [(r["base_failed"], r["kept"]) for r in out] == [(False, True), (True, False), (True, False)]
 
 
+def brute_language(text, model):
+    """The nearest centroid by loops over the letters' bytes."""
+    line = bytes(c if 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in text.lower().encode("utf-8", "ignore"))
+    tf = np.zeros(language_id.DIMENSIONS)
+    for order in language_id.ORDERS:
+        for i in range(len(line) - order + 1):
+            if line[i] != 0x20 or line[i + 1] != 0x20:
+                code = int.from_bytes(line[i : i + order], "big")
+                tf[((code * 2654435769 + order * 0x51ED27) % 2**32 >> 20) % language_id.DIMENSIONS] += 1
+    x = np.log1p(tf) * model.idf
+    cosine = model.centroids @ (x / np.linalg.norm(x))
+    return model.languages[model.owner[int(cosine.argmax())]], float(cosine.max())
+
+
+def test_language_id_against_loops(spark, tables):
+    df = spark.read.parquet(f"{tables}/documents.parquet")
+    model = language_id.fit(df, ~language_id.held_out())
+    got = language_id.predict(df.where("length(text) > 3").orderBy("doc_id").limit(60), model).collect()
+    for r in got:
+        if language_id.has_letter(r["text"]):
+            want = brute_language(r["text"], model)
+            assert r["lang_pred"] == want[0] and abs(r["lang_score"] - want[1]) < 1e-4
+
+
+#: Columns of the ten queries, by their contracts.
+CONTRACTS = {
+    "op1_url_filter": ("page_id", "blocked"), "op2_ann_search": ("query_id", "rank", "vec_id", "score"), "op3_token_output": ("doc_id", "start", "n_tokens", "ids_crc32"),
+    "op4_ngram_join": ("doc_id", "n_shingles", "component_id"), "op5_quality_rules": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
+    "op6_sentencepiece": ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), "op7_source_mixing": ("doc_id", "size", "source_size", "target", "taken"),
+    "op8_language_id": ("doc_id", "held_out", "lang_pred", "score"), "op9_line_dedup": ("doc_id", "text"), "op10_toxicity": ("doc_id", "held_out", "score", "predicted"),
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_queries_return_whole_tables(spark, tables, name):
+    out = registry.queries()[name](spark, tables).cache()
+    assert set(CONTRACTS[name]) <= set(out.columns)
+    whole = spark.read.parquet(f"{tables}/{'pages' if name.startswith('op1_') else 'embeddings' if name.startswith('op2_') else 'documents'}.parquet")
+    if name == "op2_ann_search":
+        assert out.count() == 5 * whole.where("vec_id % 50 = 0").count() == out.where("score between -1.000001 and 1.000001").count()
+    else:
+        key = out.columns[0]
+        assert out.exceptAll(out.limit(0)).select(key).exceptAll(whole.select(key)).isEmpty() and out.count() == whole.count()
+    out.unpersist()
+
+
 def test_language_id(spark, tables):
     df = spark.read.parquet(f"{tables}/documents.parquet")
     model = language_id.fit(df, ~language_id.held_out())
