@@ -313,7 +313,7 @@ def test_sources_and_sinks(spark, tmp_path):
     report = stability.StabilityReport(float("nan"), 0.1, 1, 0.8, [0.5])
     payload = {"notebook": "x", "best_model": {"algorithm": "KMeans", "internal_metrics": {"silhouette": np.float64(0.5), "bic": float("inf")}, "stability": {"mean_ari": report.mean, "per_iter": np.array([1.0])}}, 3: tmp_path}
     path = sinks.write_result(tmp_path / "runs/x", payload)
-    got = json.loads(path.read_text())
+    got = json.loads(open(path).read())
     assert got["best_model"]["internal_metrics"]["bic"] is None and got["3"] == str(tmp_path) and got["timestamp"].endswith("+00:00")
     sinks.write_result(tmp_path / "runs/y", {"notebook": "y", "timestamp": "t"})
     runs = {r["notebook"]: r for r in sources.read_runs(spark, str(tmp_path / "runs")).collect()}
