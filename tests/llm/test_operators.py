@@ -154,7 +154,7 @@ def test_line_dedup(spark):
     assert out[4]["text"] is None and out[5]["text"] == "" and out[8]["text"] == "clean text"
     assert out[6]["text"] == texts[6]
     left = out[7]["text"].split("\n")
-    assert left[:1] == ["start"] and left[-1] == "end two" and sum(x in many for x in left) < 15
+    assert left == ["start", "more", "end two"]
     assert all(r["_copies"] == "clash" for r in out.values())
 
 
