@@ -121,7 +121,8 @@ class WordKernel:
         if self.base**ORDER <= 1 << 24:
             self.table = np.full(self.base**ORDER, -1, np.int32)
             self.table[self.keys.astype(np.int64)] = np.arange(len(self.keys))
-        self.own = np.array([_self_kernel(_codes([w], len(w)))[0] for w in known])
+        # the known words' own norms are in their weights
+        self.weight = self.weight / np.sqrt(np.array([_self_kernel(_codes([w], len(w)))[0] for w in known]))[self.owner] if known else self.weight
 
     def _features(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code, weight, word) of each subsequence of known letters of words of one length."""
@@ -157,8 +158,9 @@ class WordKernel:
                 many = self.first[key + 1] - self.first[key]
                 at = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 cell = np.repeat(word * len(self.known), many) + self.owner[at]
-                value = np.bincount(cell, np.repeat(weight, many) * self.weight[at], minlength=len(part) * len(self.known)).reshape(len(part), -1)
-                yield part, value / np.sqrt(_self_kernel(raw)[:, None] * self.own[None, :])
+                weight = weight / np.sqrt(_self_kernel(raw))[word]
+                value = np.bincount(cell, np.repeat(weight, many) * self.weight[at], minlength=len(part) * len(self.known))
+                yield part, value.astype(float, copy=False).reshape(len(part), -1)
 
     def against(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.known)))
@@ -170,7 +172,7 @@ class WordKernel:
         """The powers of the kernels, times known x numbers."""
         out = np.zeros((len(words), weights.shape[1]))
         for rows, value in self.parts(words):
-            out[rows] = value**POWER @ weights
+            out[rows] = np.power(value, POWER, out=value) @ weights
         return out
 
 
@@ -221,8 +223,8 @@ class Valuer:
         known, weight = landmarks.words()
         self.common, self.fold = landmarks.common, weight @ fold
         self.kernel = WordKernel(known)
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.new: dict[str, np.ndarray | float] = {}
+        self.old: dict[str, np.ndarray | float] = {}
 
     def _of(self, words: list[str]) -> np.ndarray:
         parts = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
@@ -244,7 +246,8 @@ class Valuer:
                     asked.append(w)
                 else:
                     found[w] = v
-            found.update(zip(asked, self._of(asked).astype(np.float32), strict=True))
+            own = self._of(asked)
+            found.update(zip(asked, own[:, 0].tolist() if own.shape[1] == 1 else own.astype(np.float32), strict=True))
             self.new.update(found)
             # words of the first look-up may have gone to the older table since
             got = [found[w] if v is None else v for w, v in zip(words, got, strict=True)]
