@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .shared import cut, drop, read_table, ship, worker_tables
+from .shared import cut, drop, pack, read_table, ship, unpack, worker_tables
 
 WIDTH, PERCENT = 5, 75
 #: Shingles known as frequent beforehand, at most (12 bytes each, broadcast). They come last in the order of rarity and
@@ -64,30 +64,8 @@ def overlap_needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their types and lengths; bytes of like weight stand together and are compressed."""
-    parts = [len(arrays).to_bytes(1, "little")]
-    for a in arrays:
-        parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little")]
-    parts += [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    at, out = 1 + 12 * raw[0], []
-    for i in range(raw[0]):
-        head = raw[1 + 12 * i : 13 + 12 * i]
-        dtype, n = np.dtype(head[:4].decode().strip()), int.from_bytes(head[4:], "little")
-        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
-        at += n * dtype.itemsize
-    return out
-
-
 def _joined(blobs: list[bytes]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
+    return [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
 
 
 def _rank(count: np.ndarray) -> np.ndarray:
@@ -161,12 +139,12 @@ def _deal(batches: Iterator[pa.RecordBatch], hot, width: int, seed: int, buckets
         # the buckets are ranges of the hash, so a bucket's postings are a run of the sorted ones
         edges = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
         edges = np.r_[0, edges, len(h)]
-        out = [(0, 1, _pack(x, n.astype(np.int32), n_hot, places))]
+        out = [(0, 1, pack(x, n.astype(np.int32), n_hot, places))]
         for b in np.flatnonzero(np.diff(edges)).tolist():
             own = slice(edges[b], edges[b + 1])
             members, local = np.unique(row[own], return_inverse=True)
             small = np.uint16 if len(members) < 1 << 16 else np.uint32
-            out.append((b, 0, _pack(np.diff(h[own], prepend=np.uint64(0)), local.astype(small), x[members])))
+            out.append((b, 0, pack(np.diff(h[own], prepend=np.uint64(0)), local.astype(small), x[members])))
         out[0] = (int(textkit.mix(x[:1].view(np.uint64))[0] % np.uint64(buckets)), *out[0][1:])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["key", "kind", "blob"])
 
@@ -191,7 +169,7 @@ def _deal(batches: Iterator[pa.RecordBatch], hot, width: int, seed: int, buckets
 def _by_key(key: np.ndarray, kind: int, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
     order = np.argsort(key, kind="stable")
     starts, lengths = _runs(key[order])
-    return [(int(key[order[a]]), kind, _pack(*(v[order[a : a + m]] for v in arrays))) for a, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return [(int(key[order[a]]), kind, pack(*(v[order[a : a + m]] for v in arrays))) for a, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
 
 def _class_key(x: np.ndarray, n: int) -> np.ndarray:
@@ -203,13 +181,13 @@ def _count_lists(table: pa.Table, class_buckets: int) -> pa.Table:
     kind, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
     out = []
     for i in np.flatnonzero(kind == 1).tolist():
-        x, n, n_hot, places = _unpack(blobs[i])
+        x, n, n_hot, places = unpack(blobs[i])
         key = _class_key(x, class_buckets)
         owner = np.repeat(key, n_hot)
         for k in np.unique(key).tolist():
             own = key == k
-            out.append((k, 1, _pack(x[own], n[own], n_hot[own], places[owner == k])))
-    lists = [_unpack(blobs[i]) for i in np.flatnonzero(kind == 0).tolist()]
+            out.append((k, 1, pack(x[own], n[own], n_hot[own], places[owner == k])))
+    lists = [unpack(blobs[i]) for i in np.flatnonzero(kind == 0).tolist()]
     if lists:
         h = np.concatenate([np.cumsum(d) for d, _, _ in lists])
         x = np.concatenate([members[local] for _, local, members in lists])
@@ -237,7 +215,7 @@ def _count_lists(table: pa.Table, class_buckets: int) -> pa.Table:
         begin = 0
         for a, m in zip(*(v.tolist() for v in _runs(key)), strict=True):
             end = int(ends[a + m - 1])
-            out.append((int(key[a]), 0, _pack(names[a : a + m], count[a : a + m], h[begin:end], length[begin:end])))
+            out.append((int(key[a]), 0, pack(names[a : a + m], count[a : a + m], h[begin:end], length[begin:end])))
             begin = end
     return pa.table({"key": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 

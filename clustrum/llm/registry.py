@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_language_id": ("language_id", False),
     "op9_line_dedup": ("line_dedup", False),
     "op10_toxicity": ("toxicity", False),
+    "op12_row_pattern": ("row_pattern", True),
 }
 
 

@@ -9,6 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +127,25 @@ def first_by_hash(df: DataFrame, key: str, limit: int, total: int) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their types and lengths; bytes of like weight stand together and are compressed."""
+    parts = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little")]
+    parts += [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    at, out = 1 + 12 * raw[0], []
+    for i in range(raw[0]):
+        head = raw[1 + 12 * i : 13 + 12 * i]
+        dtype, n = np.dtype(head[:4].decode().strip()), int.from_bytes(head[4:], "little")
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += n * dtype.itemsize
+    return out
