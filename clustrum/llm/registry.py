@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_line_dedup": ("line_dedup", False),
     "op10_toxicity": ("toxicity", False),
     "op12_row_pattern": ("row_pattern", True),
+    "op13_vector_codes": ("vector_codes", True),
 }
 
 
