@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_language_id": ("language_id", False),
     "op9_line_dedup": ("line_dedup", False),
     "op10_toxicity": ("toxicity", False),
+    "op11_page_text": ("page_text", False),
     "op12_row_pattern": ("row_pattern", True),
     "op13_vector_codes": ("vector_codes", True),
 }

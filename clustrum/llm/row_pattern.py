@@ -9,7 +9,7 @@ by their summaries, each of which points to the next larger one of its chain, an
 The rows are cut by range into blocks in order (key, time, id), whatever key holds them, and each block is one packed
 row. A block needs four things of the others: the row before it, the largest goal ahead of its last chain, the match that
 is open where it begins, and how many matches its first key had before. Each is a prefix combination of small summaries.
-At most FAN summaries meet in a task; more of them are combined level by level. How the open match passes through a block
+How the open match passes through a block
 is a step function of the open A's cents: a block's first chain ends it at one of its ascending goals, or not at all.
 """
 
@@ -18,18 +18,19 @@ from __future__ import annotations
 import hashlib
 import pickle
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .carries import STATE as _STATE
+from .carries import carries
 from .shared import cut, pack, read_table, ship, unpack, worker_tables
 
-#: Rows of a block on average, unless the session asks for more partitions; summaries that one task combines.
-BLOCK_ROWS, FAN = 250_000, 1024
+#: Rows of a block on average, unless the session asks for more partitions.
+BLOCK_ROWS = 250_000
 GAP_MICROS = 10 * 60 * 1_000_000
 #: What a row's kind lets it be: no letter but A, any letter but P, any letter.
 BARRED, STEP, GOAL = 0, 1, 2
@@ -37,42 +38,6 @@ BARRED, STEP, GOAL = 0, 1, 2
 CENTS = 2.0**53
 
 _BLOCK = "i long, summary binary, rows binary"
-_STATE = "i long, state binary"
-
-
-def carries(table: DataFrame, combine: Callable, backward: bool = False) -> DataFrame:
-    """(i, carry): for each (i, state) the combination of all states before it, or after it; a pickled None where there are none.
-
-    combine(left, right) is associative, on unpickled states in the order of i.
-    """
-    fan, levels = FAN, [cut(table.select("i", "state"), "level")]
-    top = levels[0].agg(F.max("i")).first()[0]
-    while top is not None and top >= fan:
-        top //= fan
-        levels.append(cut(levels[-1].groupBy(F.expr(f"i div {fan}").alias("g")).applyInPandas(lambda f: _combined(f, combine, fan), _STATE), "level"))
-
-    def down(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i", ascending=not backward)
-        held, out = pickle.loads(frame["carry"].iloc[0]) if "carry" in frame else None, []
-        for state in frame["state"]:
-            out.append(pickle.dumps(held))
-            own = pickle.loads(state)
-            held = own if held is None else combine(own, held) if backward else combine(held, own)
-        return pd.DataFrame({"i": frame["i"], "state": out})
-
-    carry = levels.pop().groupBy(F.lit(0).alias("g")).applyInPandas(down, _STATE)
-    while levels:
-        level = levels.pop().withColumn("g", F.expr(f"i div {fan}")).join(carry.select(F.col("i").alias("g"), F.col("state").alias("carry")).hint("merge"), "g")
-        carry = level.groupBy("g").applyInPandas(down, _STATE)
-    return cut(carry.select("i", F.col("state").alias("carry")), "carries")
-
-
-def _combined(frame: pd.DataFrame, combine: Callable, fan: int) -> pd.DataFrame:
-    frame, held = frame.sort_values("i"), None
-    for state in frame["state"]:
-        own = pickle.loads(state)
-        held = own if held is None else combine(held, own)
-    return pd.DataFrame({"i": [frame["i"].iloc[0] // fan], "state": [pickle.dumps(held)]})
 
 
 def _last(left, right):

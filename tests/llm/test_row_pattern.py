@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from clustrum.llm import carries
 from clustrum.llm import row_pattern as rp
 
 SCHEMA = "click_id long, ts timestamp, client_id long, kind string, value double, `i` string, Carry int"
@@ -75,7 +76,7 @@ def clicks(seed, n, clients, gap=240, odd=0.1, kinds=("view", "click", "purchase
 @pytest.mark.parametrize(("block", "fan"), [(10**6, 1024), (40, 1024), (25, 3)])
 def test_matches_against_a_search_row_by_row(spark, monkeypatch, block, fan):
     monkeypatch.setattr(rp, "BLOCK_ROWS", block)
-    monkeypatch.setattr(rp, "FAN", fan)
+    monkeypatch.setattr(carries, "FAN", fan)
     rows = clicks(block, 240, 3) + [(None, 5 * MICROS, 1, "view", 1.0), (9_000, None, 1, "purchase", 9.0), (9_001, 5, None, "purchase", 9.0)]
     assert matches(spark, rows) == brute(rows)
 
