@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -59,7 +60,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("value").asc_nulls_first())
 
 
-def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
+#: A share of the way from the least to the greatest value: a number, or a fraction as (numerator, denominator).
+Place = float | tuple[int, int]
+
+
+def _place(p: Place, n: int) -> tuple[int, float]:
+    """The rank at or before a place among n sorted values, and how far it is to the next one. A fraction's rank is found in
+    integers, so that it can't slip off the rank that it names."""
+    if isinstance(p, tuple):
+        low, rest = divmod(p[0] * (n - 1), p[1])
+        return low, rest / p[1]
+    low = int(p * (n - 1))
+    return low, p * (n - 1) - low
+
+
+def quantiles(df: DataFrame, columns: list[str], probabilities: list[Place]) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column, nulls and NaN ignored; None for a column without values.
 
     Small tables are aggregated at once. On large ones each wanted rank is bracketed by counting: see select_ranks().
@@ -67,19 +82,25 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
     """
     typed = df.select(*(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
     sizes = typed.agg(*(F.count(f"`{c}`").alias(c) for c in columns)).first().asDict()
-    if max(sizes.values(), default=0) <= ONE_PASS_ROWS:
+    exact = any(isinstance(p, tuple) for p in probabilities)
+    if max(sizes.values(), default=0) <= ONE_PASS_ROWS and not exact:
         row = typed.agg(*(F.percentile(F.col(f"`{c}`"), F.array(*map(F.lit, map(float, probabilities)))).alias(c) for c in columns)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in columns}
-    ranks = {c: sorted({r for p in probabilities for r in {int(p * (sizes[c] - 1)), min(int(p * (sizes[c] - 1)) + 1, sizes[c] - 1)}}) for c in columns if sizes[c]}
-    value = select_ranks(typed.select(*ranks), ranks)
-
-    def at(c: str, p: float) -> float | None:
+    ranks = {c: sorted({r for p in probabilities for low in [_place(p, sizes[c])[0]] for r in (low, min(low + 1, sizes[c] - 1))}) for c in columns if sizes[c]}
+    if max(sizes.values(), default=0) <= ONE_PASS_ROWS:
+        ordered = typed.agg(*(F.array_sort(F.collect_list(F.col(f"`{c}`"))).alias(c) for c in ranks))
+        picked = ordered.select(*(F.transform(F.array(*map(F.lit, own)), partial(F.get, F.col(f"`{c}`"))).alias(c) for c, own in ranks.items()))
+        row = picked.first() if ranks else {}
+        value = {c: dict(zip(own, row[c], strict=True)) for c, own in ranks.items()}
+    else:
+        value = select_ranks(typed.select(*ranks), ranks)
+
+    def at(c: str, p: Place) -> float | None:
         if not sizes[c]:
             return None
-        place = p * (sizes[c] - 1)
-        low = int(place)
+        low, part = _place(p, sizes[c])
         a, b = value[c][low], value[c][min(low + 1, sizes[c] - 1)]
-        return a + (b - a) * (place - low)
+        return a + (b - a) * part
 
     return {c: [at(c, p) for p in probabilities] for c in columns}
 
@@ -216,6 +237,26 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return edges.join(F.broadcast(found), "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def density(df: DataFrame, column: str, points: int = 200, bins: int = 1024, over: int = 50) -> DataFrame:
+    """point (0 first), x, density, height: a Gaussian kernel estimate with Scott's bandwidth at equally spaced points.
+
+    Values are counted in `bins` equal bins over their range, and each bin's count stands at its middle, so the driver gets
+    that many counts whatever the rows. `height` is the density in the counts of a histogram of `over` bins. Nulls, NaN and infinities are left out; fewer than two values, or no spread, give an empty result.
+    """
+    spark, x = df.sparkSession, F.col(f"`{column}`").cast("double")
+    own = df.select(x.alias("x")).where(F.abs("x") < float("inf"))
+    ends = own.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), F.count("*").alias("n")).first()
+    if ends["n"] < 2 or not ends["sd"]:
+        return spark.createDataFrame([], "point int, x double, density double, height double")
+    lo, width, h = ends["lo"], (ends["hi"] - ends["lo"]) / bins, ends["sd"] * ends["n"] ** -0.2
+    counts = own.groupBy(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    middle, weight = lo + (counts["bin"].to_numpy(float) + 0.5) * width, counts["n"].to_numpy(float)
+    at = lo + (ends["hi"] - lo) * np.arange(points) / (points - 1)
+    curve = (np.exp(-0.5 * ((at[:, None] - middle) / h) ** 2) * weight).sum(1) / (ends["n"] * h * np.sqrt(2 * np.pi))
+    height = curve * (ends["n"] * (ends["hi"] - lo) / over)
+    return spark.createDataFrame(list(zip(range(points), at.tolist(), curve.tolist(), height.tolist(), strict=True)), "point int, x double, density double, height double")
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r of each unordered pair of columns: Pearson, pairwise complete, all pairs in one pass."""
     pairs = list(combinations(columns, 2))

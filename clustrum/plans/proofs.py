@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clustrum.functions import profile
 from clustrum.functions.scratch import scratch_root
 from clustrum.operators import density, dimred, gmm, hierarchical, kmeans, metrics, select, spectral, stability
-from clustrum.operators.preprocess import N_QUANTILES, STRATEGIES, TAIL, Preprocessor, fit_yeo_johnson
+from clustrum.operators.preprocess import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, N_QUANTILES, STRATEGIES, TAIL, Preprocessor, fit_yeo_johnson
 from clustrum.operators.schema import ColumnTypes
 from clustrum.sources import sinks, tables
 
@@ -182,14 +182,6 @@ def pca_plane_projection(spark, sf_dir):
 
 # ---- the quantile map, and strategies as columns
 
-#: Coefficients of Acklam's rational approximation of the normal quantile (relative error 1.2e-9).
-#: Fixed values.
-_ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-_ACKLAM_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-_ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-_ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-
-
 def _horner(coefficients, x: str) -> str:
     return reduce(lambda a, b: f"({a}) * {x} + {b!r}", coefficients[1:], repr(coefficients[0]))
 
@@ -197,17 +189,17 @@ def _horner(coefficients, x: str) -> str:
 def normal_sql(u: str) -> str:
     """The normal quantile of u, as SQL."""
     low, high = "sqrt(-2 * ln(u))", "sqrt(-2 * ln(1 - u))"
-    tail = lambda q: f"({_horner(_ACKLAM_C, q)}) / ({_horner(_ACKLAM_D, q)})"
-    middle = f"(u - 0.5) * ({_horner(_ACKLAM_A, '((u - 0.5) * (u - 0.5))')}) / ({_horner(_ACKLAM_B, '((u - 0.5) * (u - 0.5))')})"
+    tail = lambda q: f"({_horner(ACKLAM_C, q)}) / ({_horner(ACKLAM_D, q)})"
+    middle = f"(u - 0.5) * ({_horner(ACKLAM_A, '((u - 0.5) * (u - 0.5))')}) / ({_horner(ACKLAM_B, '((u - 0.5) * (u - 0.5))')})"
     return f"(SELECT CASE WHEN u < 0.02425 THEN {tail(low)} WHEN u > 0.97575 THEN -({tail(high)}) ELSE {middle} END FROM (SELECT least(greatest({u}, {TAIL!r}), {1 - TAIL!r}) AS u))"
 
 
 def quantile_sql(source: str, key: str, x: str, name: str) -> str:
     """CTEs that end in {name}(key, v): the normal score of x on its grid of quantiles."""
     return f"""{name}o AS (SELECT {x} AS q, row_number() OVER (ORDER BY {x}) - 1 AS k FROM {source}),
-{name}m AS (SELECT CAST(least({N_QUANTILES}, count(*)) - 1 AS DOUBLE) AS m, CAST(count(*) - 1 AS DOUBLE) AS last FROM {source}),
-{name}p AS (SELECT j / m AS r, j / m * last AS place FROM {name}m, LATERAL (SELECT CAST(unnest(range(CAST(m + 1 AS BIGINT))) AS DOUBLE) AS j)),
-{name}g AS (SELECT r, a.q + (b.q - a.q) * (place - floor(place)) AS q FROM {name}p JOIN {name}o a ON a.k = CAST(floor(place) AS BIGINT) JOIN {name}o b ON b.k = CAST(ceil(place) AS BIGINT)),
+{name}m AS (SELECT least({N_QUANTILES}, count(*)) - 1 AS m, count(*) - 1 AS last FROM {source}),
+{name}p AS (SELECT j / greatest(m, 1) AS r, j * last // greatest(m, 1) AS low, (j * last % greatest(m, 1)) / greatest(m, 1) AS part, last FROM {name}m, LATERAL (SELECT unnest(range(m + 1)) AS j)),
+{name}g AS (SELECT r, a.q + (b.q - a.q) * part AS q FROM {name}p JOIN {name}o a ON a.k = low JOIN {name}o b ON b.k = least(low + 1, last)),
 {name}d AS (SELECT q, min(r) AS r0, max(r) AS r1 FROM {name}g GROUP BY q),
 {name}w AS (SELECT q, r0, r1, lead(q) OVER (ORDER BY q) AS q2, lead(r0) OVER (ORDER BY q) AS s0, lead(r1) OVER (ORDER BY q) AS s1 FROM {name}d),
 {name}u AS (SELECT t.{key}, CASE WHEN t.{x} = w.q OR w.q2 IS NULL THEN (w.r0 + w.r1) / 2 ELSE w.r1 + (t.{x} - w.q) / (w.q2 - w.q) * (w.s0 - w.r1) END AS u FROM {source} t ASOF JOIN {name}w w ON t.{x} >= w.q),

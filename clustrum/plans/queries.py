@@ -123,6 +123,14 @@ def histogram50(spark, sf_dir):
     return rounded(profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice"))
 
 
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h, count(*) AS n FROM orders),
+b AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 1024)), 1023) AS bin, count(*) AS k FROM orders, e GROUP BY 1),
+g AS (SELECT CAST(j AS INTEGER) AS point, lo + (hi - lo) * j / 199 AS x FROM e, LATERAL (SELECT unnest(range(200)) AS j))
+SELECT g.point, round(any_value(g.x), 6) AS x, round(sum(k * exp(-0.5 * pow((g.x - (lo + (bin + 0.5) * (hi - lo) / 1024)) / h, 2))) / any_value(h * sqrt(2 * pi())) * any_value((hi - lo) / 50), 6) AS height FROM g, b, e GROUP BY g.point""")
+def density50(spark, sf_dir):
+    return rounded(profile.density(table(spark, sf_dir, "orders"), "o_totalprice").drop("density"))
+
+
 _CORR = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
 
 

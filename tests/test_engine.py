@@ -388,3 +388,68 @@ def test_silhouettes_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(pairwise, "BLOCK_ROWS", 60)
     parts = {r["row_id"]: r["silhouette"] for r in metrics.silhouette_samples(df).collect()}
     assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-9 for i in whole) and whole[200] == 0
+
+
+def brute_scores(x, m):
+    """Normal scores with the grid's places in whole numbers: Fraction ranks, ties averaged over their stretch."""
+    from fractions import Fraction
+    from statistics import NormalDist
+
+    ordered, n = sorted(x), len(x)
+    grid = []
+    for j in range(m):
+        place = Fraction(j * (n - 1), max(m - 1, 1))
+        low = int(place)
+        grid.append(ordered[low] + (ordered[min(low + 1, n - 1)] - ordered[low]) * float(place - low))
+    r = np.arange(m) / max(m - 1, 1)
+    u = [0.5 * (np.interp(v, grid, r) - np.interp(-v, -np.array(grid)[::-1], -r[::-1])) for v in x]
+    return [NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in u]
+
+
+@pytest.mark.parametrize("n", [150, 997, 1000, 1001, 2])
+def test_quantile_map_of_ties_at_every_size(spark, n):
+    """As many grid points as rows, nearly so, and more rows: a tied block keeps both its edges."""
+    x = [float((i * 7919) % n % 25) for i in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, v double")
+    model = Preprocessor(ColumnTypes(["v"], [], ["id"]), STRATEGIES["quantile+ordinal"]).fit(df)
+    got = {r["id"]: r["features"][0] for r in model.transform(df).collect()}
+    assert np.allclose([got[i] for i in range(n)], brute_scores(x, min(1000, n)), atol=1e-6)
+
+
+def test_fractions_of_large_columns(spark, monkeypatch):
+    x = [float(i % 13) for i in range(400)]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    places = [(j, 399) for j in range(400)]
+    monkeypatch.setattr(profile, "ONE_PASS_ROWS", 10)
+    assert profile.quantiles(df, ["v"], places)["v"] == sorted(x)
+
+
+@pytest.mark.parametrize("read", [20_000, 3])
+def test_exact_sample_of_any_ids(spark, monkeypatch, read):
+    """Ids of all 64 bits, equal keys, negative ids: the rows that a sort by key and id would take, without a sort."""
+    monkeypatch.setattr(stability, "READ_KEYS", read)
+    ids = [0, 1, 2, 2**31, 4_000_000_000, 2**63 - 1, -(2**63), -1, *(k << 32 for k in range(1, 90)), *range(10**12, 10**12 + 300)]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id long")
+
+    def place(i, seed):
+        u = i % 2**64
+        low, high = u % 2**32, (u >> 32 & 0xFFFF) * 2246822519 + (u >> 48) * 3266489917
+        return (low * 2654435761 + high + seed * 40503) % 2**32, i
+
+    for n, seeds in ((1, [5]), (120, [42, 43, 44]), (len(ids) - 1, [7]), (len(ids), [7]), (0, [7])):
+        for seed, some in zip(seeds, stability.sample_seeds(df, n, seeds), strict=True):
+            assert sorted(r["row_id"] for r in some.collect()) == sorted(sorted(ids, key=lambda i: place(i, seed))[:n])  # noqa: B023
+    plan = stability.sample_rows(df, 50)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+
+
+def test_density_curve(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 1, 4000), rng.normal(6, 0.5, 1000)]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    rows = profile.density(df, "v").orderBy("point").collect()
+    at = np.array([r["x"] for r in rows])
+    h = x.std(ddof=1) * len(x) ** -0.2
+    want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 1e-4
+    assert profile.density(df.where("v = 0"), "v").count() == profile.density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
