@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .shared import cut, drop, pack, read_table, ship, unpack, worker_tables
+from .shared import cut, drop, pack, read_table, ship, spare, unpack, worker_tables
 
 WIDTH, PERCENT = 5, 75
 #: Shingles known as frequent beforehand, at most (12 bytes each, broadcast). They come last in the order of rarity and
@@ -49,7 +49,7 @@ LOCAL_HOT = 64
 #: The weight of a probe against a step of the merge in the choice of L.
 MU = 0.005
 
-_SCANNED = "doc_id long, n long, d1 long, d2 long, h long, c long"
+_SCANNED = "doc_id long, t long, n long, d1 long, d2 long, h long, c long"
 _DEALT = "key long, kind int, blob binary"
 _ACTIVE = "x long, n long, w long, central double, rare binary, shingles binary"
 
@@ -86,7 +86,7 @@ def _digest(s: np.ndarray, seed: int) -> bytes:
 def _scanned(batches: Iterator[pa.RecordBatch], width: int, seed: int, window_size: int, hot_from: int) -> Iterator[pa.RecordBatch]:
     """A row for each text, with the size and the digest of its set, and one for each shingle that is frequent in a window."""
     worker_tables("shingles")
-    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "n", "d1", "d2", "h", "c")])
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "t", "n", "d1", "d2", "h", "c")])
     window, size, seen = [], 0, set()
 
     def rows(names, arrays):
@@ -112,7 +112,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], width: int, seed: int, window_si
                 yield frequent()
                 window, size, seen = [], 0, set()
         two = np.frombuffer(b"".join(x[1] for x in out), np.int64).reshape(-1, 2)
-        yield rows(("doc_id", "n", "d1", "d2"), (batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])))
+        yield rows(("doc_id", "t", "n", "d1", "d2"), (batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])))
     if window:
         yield frequent()
 
@@ -491,28 +491,38 @@ def frequent_shingles(scanned: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.
     return keys[order], top["c"].to_numpy(np.int64)[order].astype(np.int32)
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of (doc_id, text): see the module's text.
-
-    A null or empty text has no shingle and is linked with nothing. A row without doc_id takes no part and has no
-    component. Rows that repeat a doc_id share its component; those that repeat a text are one class. An empty table
-    gives an empty result. Other columns aren't read.
-    """
+def _joined_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of _scanned(), classes of equal sets, links that connect the linked classes) of (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     scanned, classes, seed = _scan(docs, width)
     hot = spark.sparkContext.broadcast(frequent_shingles(scanned))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets, class_buckets = max(64, int(total // BUCKET)), max(32, int(total // CLASS_BUCKET))
-    dealt = docs.mapInArrow(lambda b: _deal(b, hot, width, seed, buckets, CHUNK), _DEALT)
+    dealt = docs.select("doc_id", "text").mapInArrow(lambda b: _deal(b, hot, width, seed, buckets, CHUNK), _DEALT)
     shared = dealt.groupBy("key").applyInArrow(lambda t: _count_lists(t, class_buckets), _DEALT)
     active = cut(shared.groupBy("key").applyInArrow(lambda t: _candidates(t, hot, percent), _ACTIVE), "active")
     rare = active.agg(F.sum(F.length("rare")) / 8).first()[0] or 0
     rare_buckets = max(32, int(rare // BUCKET))
     lists = active.select("x", "rare").mapInArrow(lambda b: _rare_lists(b, rare_buckets, LOCAL_HOT), _DEALT)
     groups = cut(components(lists.groupBy("key").applyInArrow(_connected, "u long, v long")), "groups")
-    found = cut(components(_links(active, groups, percent)), "components")
+    return scanned, classes, _links(active, groups, percent)
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of (doc_id, text): see the module's text.
+
+    A null or empty text has no shingle and is linked with nothing. A row without doc_id takes no part and has no
+    component. Rows that repeat a doc_id are one document, which reaches what any of its texts is linked with; those
+    that repeat a text are one class. An empty table gives an empty result. Other columns aren't read.
+    """
+    scanned, classes, links = _joined_classes(docs, width, percent)
+    whole = scanned.where("n > 0 and doc_id is not null")
+    # the texts of one document
+    several = whole.groupBy("doc_id").agg(F.min("d1").alias("u"), F.max("d1").alias("v")).where("u <> v").select("doc_id", "u")
+    own = whole.select("doc_id", F.col("d1").alias("v")).join(several, "doc_id").where("u <> v").select("u", "v").distinct()
+    found = cut(components(links.select("u", "v").union(own)), "components")
 
     low = found.join(classes.select(F.col("d1").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
     low = found.join(low, "component").select(F.col("node").alias("d1"), "component_id")
@@ -523,5 +533,32 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that stay if of all texts that links connect one stays.
+
+    Of each group the text of the smallest doc_id stays, and of its texts the first by a hash; repeated rows of that text
+    under that doc_id are one. Texts are what is linked here: two different texts under one doc_id are no copies of each
+    other. Rows without doc_id, and those without a word, stay.
+    """
+    scanned, classes, links = _joined_classes(docs, width, percent)
+    found = cut(components(links), "components")
+    named = scanned.where("n > 0 and doc_id is not null").select("doc_id", "t", "d1")
+    named = named.join(found.select(F.col("node").alias("d1"), "component"), "d1", "left").select("doc_id", "t", F.coalesce("component", "d1").alias("g"))
+    # a group's rows are aggregated before they are shuffled, and each text's rows are one line from here on
+    texts = cut(named.groupBy("g", "doc_id", "t").agg(F.count("*").alias("rows")), "texts")
+    first = texts.groupBy("g").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("texts"))
+    state = texts.join(first, "g").where((F.col("texts") > 1) | (F.col("rows") > 1))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    id_, hash_, rows, gone = spare(docs.columns, "_id", "_hash", "_rows", "_gone")
+    state = cut(state.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(id_), F.col("t").alias(hash_), (~stays).alias(gone)), "copies")
+    key = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_))
+    once = state.where(~F.col(gone))
+    kept = docs.join(state, key, "left_anti")
+    if once.isEmpty():
+        return kept
+    repeats = docs.join(once, key).withColumn(rows, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    return kept.unionByName(repeats.groupBy(id_, hash_).agg(F.min_by(rows, F.xxhash64(rows)).alias(rows)).select(f"{rows}.*"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -25,10 +25,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id stays; documents without doc_id stay."""
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    copies = groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked texts the one of the smallest doc_id stays; documents without doc_id stay."""
+    return ngram_join.one_of_each_group(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

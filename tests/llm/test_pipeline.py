@@ -51,3 +51,13 @@ def test_empty_table(spark, tmp_path):
 def test_names_the_operators():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "source_mixing", "sentencepiece"]
     assert not re.search(r"except|suppress", open(corpus_pipeline.__file__).read())
+
+
+def test_texts_under_one_id_are_no_copies(spark):
+    """Two texts under one doc_id: the one that has no other copy is never lost, and a copy goes once."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    near = a + " tail"
+    rows = [(2, a), (4, a), (4, b), (6, b), (7, near), (7, near), (8, None), (8, ""), (None, a), (9, "lone words here"), (9, "lone words here")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(2, a), (4, b), (8, None), (8, ""), (None, a), (9, "lone words here")], key=str)
