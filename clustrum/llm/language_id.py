@@ -1,7 +1,12 @@
-"""Language ID: nearest of several centroids per language among normalised TF-IDF vectors of letter n-grams."""
+"""Language ID: nearest of several centroids per language among normalised TF-IDF vectors of letter n-grams.
+
+A text too far from its nearest centroid is rejected. How far that is depends on the language and on the text's length: the
+limit lies between the language's own texts, whole and begun, and texts whose letters are shuffled.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +25,12 @@ SAMPLE, PER_LANGUAGE = 8000, 400
 LANGUAGES, CENTROIDS = SAMPLE // 8, 4
 #: Hashed n-grams of 2 and 3 bytes.
 DIMENSIONS, ORDERS = 4096, (2, 3)
-#: A text is rejected whose cosine is below this share of what nearly all (99 %) of the language's sample reach.
-REJECT = 0.25
+#: A limit of rejection is set for each language and number of n-grams, from texts of the sample, begun texts of so many
+#: characters, and the same with their letters shuffled; for so many texts of a kind at least.
+LENGTHS, BEGUN, ENOUGH = (30, 100, 300, 1000), (15, 40, 120, 400), 20
+#: One in so many texts of the sample serves for that; where the limit lies on the way from nearly all shuffled texts (99 %)
+#: to nearly none of the language's own (0.2 %), and the share of the worst own one where those overlap.
+TRIED, BETWEEN, SLACK = 4, 0.3, 0.9
 UNKNOWN = "und"
 
 _KEEP = np.full(256, 0x20, np.uint8)
@@ -36,7 +45,7 @@ class Model:
     owner: np.ndarray
     centroids: np.ndarray
     idf: np.ndarray
-    #: Cosine below which a language rejects.
+    #: Cosine below which a text is rejected, by language and by the place of its n-grams' number in LENGTHS.
     limit: np.ndarray
 
 
@@ -73,13 +82,39 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def shuffled(text: str, seed: int) -> str:
+    """The text with its letters in a random order, all else in place: letters of a language that make no language."""
+    letters = [c for c in text if c.isalpha()]
+    order = iter(np.random.default_rng(seed).permutation(len(letters)).tolist())
+    return "".join(letters[next(order)] if c.isalpha() else c for c in text)
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang, kind, tf: of each text (doc_id, text, lang) its counts (kind 0); of some also those of its beginnings
+    (1) and of these, and of itself, with letters shuffled (2)."""
     for whole in batches:
-        for a in range(0, whole.num_rows, 500):
-            batch = whole.slice(a, 500)
-            for row, tf in counts(batch.column(1).to_pylist()):
-                part = batch.slice(row, len(tf))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], ["doc_id", "lang", "tf"])
+        for a in range(0, whole.num_rows, 200):
+            rows = []
+            for doc, text, lang in zip(*(c.slice(a, 200).to_pylist() for c in whole.columns), strict=True):
+                rows.append((doc, lang, 0, text))
+                if text and zlib.crc32(str(doc).encode()) // 4 % TRIED == 0:
+                    begun = [text[:n] for n in BEGUN if len(text) > n]
+                    rows += [(doc, lang, 1, t) for t in begun] + [(doc, lang, 2, shuffled(t, len(t))) for t in (*begun, text)]
+            for row, tf in counts([r[3] for r in rows]):
+                part = rows[row : row + len(tf)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), pa.array([r[2] for r in part], pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())],
+                    ["doc_id", "lang", "kind", "tf"],
+                )
+
+
+def _limit(own: np.ndarray, odd: np.ndarray) -> float:
+    """A cosine that parts a language's texts from shuffled ones, so low that its own texts pass."""
+    if len(own) < ENOUGH:
+        return 0.0
+    low = float(np.quantile(own, 0.002))
+    high = float(np.quantile(odd, 0.99)) if len(odd) >= ENOUGH else 0.0
+    return high + BETWEEN * (low - high) if low > high else SLACK * float(own.min())
 
 
 def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
@@ -111,13 +146,14 @@ def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
     few = labelled.where(hash_place("doc_id") < F.try_element_at(bound, F.col("lang"))).select("lang", "doc_id")
     ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota)
     chosen = ids.select("doc_id").where("doc_id is not null").distinct()
-    own = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_rows, "doc_id long, lang string, tf binary")
-    # one row an id comes to the driver, however often it repeats
-    rows = own.groupBy("doc_id").agg(F.min(F.struct("lang", "tf")).alias("s")).select("s.lang", "s.tf").toPandas()
+    own = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_rows, "doc_id long, lang string, kind int, tf binary")
+    # one text an id comes to the driver, and one of each of its beginnings, however often it repeats
+    n_grams = F.when(F.col("kind") > 0, F.length("tf") + F.xxhash64("tf") % 100_000).otherwise(F.lit(0))
+    rows = own.groupBy("doc_id", "kind", n_grams.alias("which")).agg(F.min(F.struct("lang", "tf")).alias("s")).select("kind", "s.lang", "s.tf").toPandas()
     if rows.empty:
         return None
-    tf = np.stack([np.frombuffer(x, np.uint16) for x in rows["tf"]])
-    lang = rows["lang"].to_numpy()
+    every, kind = np.stack([np.frombuffer(x, np.uint16) for x in rows["tf"]]), rows["kind"].to_numpy()
+    tf, lang = every[kind == 0], rows["lang"].to_numpy()[kind == 0]
     filled = tf.any(1)
     order = np.lexsort((tf[:, :64].sum(1), tf.sum(1), lang))  # the same rows in the same order, however they came
     order = order[filled[order]]
@@ -133,9 +169,16 @@ def fit(docs: DataFrame, train: Column, seed: int = 11) -> Model | None:
         c = _cluster(own, CENTROIDS, rng)
         owner += [len(names)] * len(c)
         centres.append(c)
-        limit.append(REJECT * float(np.quantile((own @ c.T).max(1), 0.01)))
         names.append(name)
-    return Model(tuple(names), np.array(owner), np.concatenate(centres).astype(np.float32), idf, np.array(limit))
+    centroids = np.concatenate(centres).astype(np.float32)
+    # limits: the sample's own texts, whole and begun, and shuffled ones of all languages, which a language is to reject
+    length, spoken, x = np.searchsorted(LENGTHS, every.sum(1), "right"), rows["lang"].to_numpy(), _weigh(every, idf)
+    odd = (x[kind == 2] @ centroids.T).max(1) if (kind == 2).any() else np.zeros(0)
+    for name, c in zip(names, centres, strict=True):
+        true = (kind < 2) & (spoken == name) & every.any(1)
+        near = (x[true] @ c.T).max(1)
+        limit.append([_limit(near[length[true] == k], odd[length[kind == 2] == k]) for k in range(len(LENGTHS) + 1)])
+    return Model(tuple(names), np.array(owner), centroids, idf, np.array(limit))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.RecordBatch]:
@@ -150,11 +193,12 @@ def _predict(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.
                 cosine = _weigh(tf, model.idf) @ model.centroids.T
                 near = cosine.argmax(1)
                 value = cosine[np.arange(len(near)), near].clip(0, 1)
-                for t, j, v in zip(texts[row : row + len(tf)], model.owner[near].tolist(), value.tolist(), strict=True):
+                length = np.searchsorted(LENGTHS, tf.sum(1), "right").tolist()
+                for t, j, v, k in zip(texts[row : row + len(tf)], model.owner[near].tolist(), value.tolist(), length, strict=True):
                     known = has_letter(t)
                     best.append(model.languages[j] if known else UNKNOWN)
                     score.append(v if known else 0.0)
-                    passed.append(known and v >= model.limit[j])
+                    passed.append(known and v >= model.limit[j, k])
             if not model:
                 best, score, passed = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             new = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(passed, pa.bool_())]
@@ -170,7 +214,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_accepted")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score", "lang_accepted")])
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
     schema = T.StructType(list(docs.schema)).add("lang_pred", "string").add("lang_score", "double").add("lang_accepted", "boolean")
     return docs.mapInArrow(lambda b: _predict(b, at, shared), schema)

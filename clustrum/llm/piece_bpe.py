@@ -230,11 +230,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", digests: bool = Fals
 
     A null text counts as empty: no ids, an empty decoded text. Texts of any length are encoded whole; characters that
     no piece has become byte pieces. Rows that repeat a doc_id, or lack one, are rows like any other; an empty table
-    gives an empty result. Columns of docs that have one of the new names are replaced.
+    gives an empty result. Columns of docs that have one of the new names, in any case, are replaced.
     """
     ship(docs.sparkSession)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    docs = docs.select(*[c for c in docs.columns if c not in new])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     at, file = docs.columns.index(text), FileBytes(docs.sparkSession, model)
     schema = T.StructType(list(docs.schema)).add(new[0], "long").add(new[1], T.StringType() if digests else T.ArrayType(T.IntegerType())).add(new[2], "string")
     return docs.mapInArrow(lambda b: _encode(b, file, at, digests), schema)

@@ -42,3 +42,31 @@ def test_repeated_ids_against_all_pairs(spark):
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = components(rows)
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, want[d, t or ""]) for d, t in rows)
+
+
+def test_clashing_names_in_any_case(spark):
+    import public_tokenizers
+
+    from clustrum.llm import language_id, piece_bpe
+
+    df = spark.createDataFrame([(1, "ab", 5, "x", 0.5)], "doc_id long, text string, N_TOKENS int, Lang_Pred string, IDS double")
+    out = piece_bpe.encode(df, public_tokenizers.path("piece_bpe_32k.model"))
+    assert [c.lower() for c in out.columns] == ["doc_id", "text", "lang_pred", "n_tokens", "ids", "decoded"] and out.select("n_tokens", "ids").first()["n_tokens"] > 0
+    got = language_id.predict(df, None)
+    assert [c.lower() for c in got.columns] == ["doc_id", "text", "n_tokens", "ids", "lang_pred", "lang_score", "lang_accepted"] and got.select("lang_pred").first()[0] == "und"
+
+
+def test_languages_reject_shuffled_letters(spark):
+    from clustrum.llm import language_id
+
+    rng = random.Random(2)
+    sounds = {"en": ["the", "ing", "tion", "er", "an"], "de": ["sch", "ung", "ein", "ich", "keit"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(sounds[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(("en", "de")[i % 2], rng.choice((3, 12, 60, 300))), ("en", "de")[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, ~language_id.held_out())
+    held = docs.where(language_id.held_out())
+    own = language_id.predict(held, model).where("lang_accepted and lang_pred = lang").count()
+    odd = spark.createDataFrame([(r["doc_id"], language_id.shuffled(r["text"], 1), r["lang"]) for r in held.collect()], docs.schema)
+    assert own >= 0.97 * held.count() and language_id.predict(odd, model).where("lang_accepted").count() < 0.5 * held.count()
+    assert language_id.shuffled("a, b! ", 0) in ("a, b! ", "b, a! ")
