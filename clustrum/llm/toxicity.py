@@ -1,18 +1,18 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel of sentences, through Nyström landmarks.
 
-The kernel of two words weighs each common subsequence of three letters by DECAY to the power of the letters it spans in
-either word (Lodhi et al. 2002), so inserted letters and gaps cost a little only; it is normalised to 1 for equal words
-and raised to POWER, which tells chance likeness apart. The kernel of two sentences sums that over all pairs of their
-words, each word weighed by how rare it is in clean sentences. All of these are kernels again, so the inverse square root
-of the landmark sentences' own matrix maps a sentence into a space where a linear support vector machine is the kernel
-machine on the landmarks' span.
+The kernel of two words weighs each common subsequence of three letters that spans SPAN letters at most by DECAY to the
+power of the letters it spans in either word (after Lodhi et al. 2002), so inserted letters and gaps cost a little only; it
+is normalised to 1 for equal words and raised to POWER, which tells chance likeness apart. The kernel of two sentences sums
+that over all pairs of their distinct words, each word weighed by how rare it is in clean sentences. All of these are
+kernels again, so the inverse square root of the landmarks' own matrix maps a sentence into a space where a linear support
+vector machine is the kernel machine on the landmarks' span. Landmarks are words, and sentences around runs of letters,
+that toxic documents share.
 
 The labels are those of documents: a document is toxic if one of its sentences is. So the machine is trained on labelled
 sentences that are chosen by itself, in rounds: of each document the sentence that it finds most toxic (Andrews et al.
 2003), those of clean documents beside the ones of the rounds before. A part of the documents is learned from twice, the
-second time with a letter put in each longer word. A document's margin is that of its worst sentence.
-
-The kernel is computed whole: a word's subsequences are counted against those of the landmarks' words.
+second time with a letter put in each longer word. A document's score is a logistic function of the margins of its WORST
+most toxic sentences, so several doubtful ones add up. It is fitted on margins of machines that haven't seen the document.
 """
 
 from __future__ import annotations
@@ -34,18 +34,21 @@ from .shared import cut, drop, first_by_hash, hash_place, read_table, ship, work
 #: Labelled documents of either label that a model is fitted on, at most, by the hash of the id.
 PER_LABEL = 3000
 #: Landmark sentences from toxic documents and from clean ones, at most.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 80, 16
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 16
 #: A landmark is a sentence around a run of GRAM letters that stands in so many toxic documents and in such a share of
 #: them, the share of toxic ones among all documents with it, and the runs that are considered, at most; letters of a
 #: landmark, at most.
 GRAM, SUPPORT, SUPPORT_SHARE, PRECISION, CONSIDERED, LANDMARK_LETTERS = 5, 3, 0.01, 0.9, 2000, 400
 #: Length of the subsequences, the letters that they span at most (7 or fewer), what each of those weighs, and the power
 #: of a pair of words.
-ORDER, SPAN, DECAY, POWER = 3, 7, 0.8, 2
+ORDER, SPAN, DECAY, POWER = 3, 7, 0.8, 4
 #: Words of a sentence that count together; a longer one is cut into windows that overlap by half.
 WINDOW = 12
 #: Rounds in which sentences are chosen, and what a sentence on the wrong side of the margin costs.
 ROUNDS, COST = 4, 1.0
+#: Windows of a document that its score looks at, parts of the sample of which each is scaled by the others, and the
+#: scale's ridge.
+WORST, FOLDS, RIDGE = 5, 5, 1.0
 #: Labelled documents, at most (about), that are learned from a second time with a letter put in each longer word.
 TWINS = 2000
 #: Letters of a word that the kernel takes at once; longer words are cut into halves that overlap.
@@ -80,6 +83,22 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, begin, np.minimum(begin + WINDOW, (starts + lengths)[of])
 
 
+def window_sums(values: np.ndarray, words: list[str], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sums of the words' values in each window, a word that stands in it several times counted once."""
+    _, name = np.unique(np.array(words, object).astype(str), return_inverse=True) if words else (None, np.zeros(0, np.int64))
+    order = np.argsort(name, kind="stable")
+    last = np.full(len(words), -1)
+    same = np.flatnonzero(name[order][1:] == name[order][:-1])
+    last[order[same + 1]] = order[same]
+    sums = np.zeros((len(begin), values.shape[1]))
+    for k in range(WINDOW):
+        at = begin + k
+        held = np.flatnonzero(at < end)
+        held = held[last[at[held]] < begin[held]]
+        sums[held] += values[at[held]]
+    return sums
+
+
 def pieces(word: str) -> list[str]:
     """The word's letters and digits, in parts that the kernel takes; none if there are fewer than ORDER, or no letter."""
     if not word.isalnum():
@@ -204,7 +223,7 @@ class Landmarks:
         """The landmarks' distinct parts of words, and parts x landmarks with the weights of their words."""
         cells: dict[tuple[str, int], float] = {}
         for j, s in enumerate(self.sentences):
-            for w in s:
+            for w in dict.fromkeys(s):
                 for p in pieces(w):
                     cells[p, j] = cells.get((p, j), 0.0) + self.common.get(w, 1.0)
         known = sorted({p for p, _ in cells})
@@ -263,10 +282,9 @@ class Valuer:
                 n += sum(map(len, cut_texts[end]))
                 end += 1
             words = [w for t in cut_texts[begin:end] for s in t for w in s]
-            total = np.vstack((np.zeros((1, self.fold.shape[1])), np.cumsum(self.values(words), 0)))
             lengths = np.array([len(s) for t in cut_texts[begin:end] for s in t], np.int64)
             of, a, b = windows(lengths)
-            sums = total[b] - total[a]
+            sums = window_sums(self.values(words), words, a, b)
             owner = np.repeat(np.arange(begin, end), [len(t) for t in cut_texts[begin:end]])[of]
             stops = np.searchsorted(owner, np.arange(begin, end), "right")
             starts = np.searchsorted(owner, np.arange(begin, end), "left")
@@ -281,11 +299,19 @@ class Model:
     #: Of each landmark what its kernel adds to the margin.
     weights: np.ndarray
     bias: float
-    #: Slope and offset of the logistic scale.
-    scale: tuple[float, float]
+    #: Slopes of the margins of the worst windows, and the offset of the logistic scale.
+    scale: tuple[float, ...]
+
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(worst @ self.scale[:-1] + self.scale[-1], -30, 30)))
+
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -30, 30)))
+def worst_windows(sums: np.ndarray) -> np.ndarray:
+    """The WORST largest of a text's window sums, in falling order; 0, as of words unlike all landmarks, where it has fewer."""
+    out = np.zeros(WORST)
+    top = -np.sort(-sums)[:WORST]
+    out[: len(top)] = top
+    return out
 
 
 def landmark_matrix(landmarks: Landmarks) -> np.ndarray:
@@ -323,20 +349,22 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) ->
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of the scores by Newton's method on smoothed targets (Platt 1999)."""
+def _logistic(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Slopes and offset of the scores by Newton's method on smoothed targets (Platt 1999)."""
     pos, neg = max(int(y.sum()), 1), max(int((~y).sum()), 1)
     goal = np.where(y, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    z = np.stack((margin, np.ones_like(margin)), 1)
-    b = np.array([1.0, 0.0])
-    for _ in range(50):
+    z = np.hstack((margins, np.ones((len(margins), 1))))
+    start = np.zeros(z.shape[1])
+    start[0] = 1.0
+    b, ridge = start.copy(), np.diag([RIDGE] * margins.shape[1] + [1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (weight * (p - goal)) + 1e-3 * (b - [1, 0]))
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge
+        step = np.linalg.solve(h, z.T @ (weight * (p - goal)) + ridge @ (b - start))
         b -= np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
-    return max(float(b[0]), 1e-3), float(b[1])
+    return tuple(b.tolist())
 
 
 def grams(word: str) -> set[str]:
@@ -356,14 +384,16 @@ def _counts(batches: Iterator[pa.RecordBatch], of_words: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["key", "toxic", "clean"])
 
 
-def _around(batches: Iterator[pa.RecordBatch], good: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """doc_id, gram, n, sentence: the shortest window of a document around each of the runs of letters that it holds."""
+def _around(batches: Iterator[pa.RecordBatch], good: frozenset[str], telling: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """doc_id, gram, n, sentence: the shortest window of a document around each of the runs of letters that it holds, and
+    each of the telling words that it holds, by itself."""
     for batch in batches:
         out: dict[tuple[int, str], tuple[int, str]] = {}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             cut_text = sentences(text)
             words = [w for s in cut_text for w in s]
             held = {w: good.intersection(g for p in pieces(w) for g in grams(p)) for w in set(words)}
+            out.update({(doc, f"={w}"): (1, w) for w in telling.intersection(words)})
             _, begin, end = windows(np.array([len(s) for s in cut_text], np.int64))
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                 for g in {g for w in words[a:b] for g in held[w]}:
@@ -376,17 +406,31 @@ def _around(batches: Iterator[pa.RecordBatch], good: frozenset[str]) -> Iterator
         )
 
 
+def _first_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, sentence: the first window of each document that can be a landmark."""
+    for batch in batches:
+        rows = []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first = next((t for s in sentences(text) if len(t := " ".join(s[:WINDOW])) <= LANDMARK_LETTERS), None)
+            if first:
+                rows.append((doc, first))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "sentence"])
+
+
 def choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> Landmarks:
-    """Sentences of the sample (doc_id, text, toxic): around runs of letters that stand mostly in toxic documents, each
+    """Words of the sample (doc_id, text, toxic), and sentences around runs of letters, that stand mostly in toxic documents, each
     next one with the most toxic documents without any so far, plus a twentieth of all its toxic documents, ties to the
     last run by code point; and some of clean documents, by the hash of the id."""
     counted = lambda of_words: sample.select("text", "toxic").mapInArrow(lambda b: _counts(b, of_words), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    shared = counted(True).where(F.col("clean") >= 0.02 * n_clean).orderBy(F.desc("clean"), "key").limit(CONSIDERED).collect()
+    words = cut(counted(True), "word-counts")
+    shared = words.where(F.col("clean") >= 0.02 * n_clean).orderBy(F.desc("clean"), "key").limit(CONSIDERED).collect()
     common = {r["key"]: (1 - min(r["clean"] / n_clean, 1.0)) ** 4 for r in shared}
     rate = F.col("toxic") / n_toxic
-    good = counted(False).where((F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * n_toxic)) & (rate >= PRECISION * (rate + F.col("clean") / n_clean)))
-    runs = frozenset(r["key"] for r in good.orderBy(F.desc("toxic"), "key").limit(CONSIDERED).collect())
-    found = cut(sample.where("toxic = 1").select("doc_id", "text").mapInArrow(lambda b: _around(b, runs), "doc_id long, gram string, n long, sentence string"), "landmarks")
+    good = (F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * n_toxic)) & (rate >= PRECISION * (rate + F.col("clean") / n_clean))
+    runs, telling = (frozenset(r["key"] for r in keys.where(good).orderBy(F.desc("toxic"), "key").limit(CONSIDERED).collect()) for keys in (counted(False), words))
+    telling = frozenset(w for w in telling if pieces(w))
+    drop(words)
+    found = cut(sample.where("toxic = 1").select("doc_id", "text").mapInArrow(lambda b: _around(b, runs, telling), "doc_id long, gram string, n long, sentence string"), "landmarks")
     where: dict[str, set[int]] = {}
     for r in found.select("gram", "doc_id").collect():  # PER_LABEL documents by CONSIDERED runs at most
         where.setdefault(r["gram"], set()).add(r["doc_id"])
@@ -397,9 +441,8 @@ def choose_landmarks(sample: DataFrame, n_toxic: int, n_clean: int) -> Landmarks
         left -= where.pop(best)
         if (one := tuple(shortest[best].split())) not in chosen:
             chosen.append(one)
-    plain = []
-    for r in sample.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 20_000).alias("t")).limit(CLEAN_LANDMARKS).collect():
-        plain += [tuple(s[:WINDOW]) for s in sentences(r["t"]) if len(" ".join(s[:WINDOW])) <= LANDMARK_LETTERS][:1]
+    clean = sample.where("toxic = 0").select("doc_id", "text").mapInArrow(_first_window, "doc_id long, sentence string")
+    plain = [tuple(r["sentence"].split()) for r in clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLEAN_LANDMARKS).collect()]
     drop(found)
     return Landmarks(tuple(dict.fromkeys(chosen + plain)), common)
 
@@ -438,6 +481,20 @@ def _worst(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "twin", "toxic", "x"])
 
 
+def _tops(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The margins of the worst windows of each row by the machine that hasn't learned from its document."""
+    for batch in batches:
+        out = []
+        for doc, x in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            k = _fold(doc)
+            out.append((worst_windows(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, weights.shape[1]) @ weights[k]) + bias[k]).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "twin", "toxic", "margins"])
+
+
+def _fold(doc: int) -> int:
+    return zlib.crc32(str(doc).encode()) // 7 % FOLDS
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     """A model from (doc_id, text) and (doc_id, toxic) where `train` holds; at most PER_LABEL documents of a label.
 
@@ -464,24 +521,32 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
     # at first the sentence that is most like the toxic landmarks
     n_plain = len(landmarks.sentences) - min(len(landmarks.sentences), CLEAN_LANDMARKS)
     weights = np.linalg.pinv(mapping) @ np.r_[np.ones(n_plain), -np.ones(len(landmarks.sentences) - n_plain)] if n_plain else np.ones(mapping.shape[1])
-    before, bias, share, prior = [], 0.0, size[1] / (size[0] + size[1]), toxic / max(n, 1)
+    before, share, prior = [], size[1] / (size[0] + size[1]), toxic / max(n, 1)
     shared = spark.sparkContext.broadcast((landmarks, mapping))
     dealt = sample.select("doc_id", "text", "toxic", (hash_place("doc_id") < (1 << 30) * min(1.0, TWINS / (size[0] + size[1]))).alias("twin"))
     dealt = dealt.repartition(max(1, min(64, spark.sparkContext.defaultParallelism * 2)), "doc_id")
     rows = cut(dealt.mapInArrow(lambda b: _window_rows(b, shared), "doc_id long, twin boolean, toxic int, x binary"), "toxicity-windows")
-    for _ in range(ROUNDS + 1):
+
+    def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        return svm(x, y, np.where(y, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)))
+
+    for _ in range(ROUNDS):
         got = rows.mapInArrow(lambda b, weights=weights: _worst(b, weights), rows.schema).toPandas().sort_values(["doc_id", "twin"])
         x, y = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float), got["toxic"].to_numpy() == 1
-        margin = x @ weights + bias
-        if len(before) == ROUNDS:
-            break
-        before.append(x[~y])
-        clean = np.unique(np.vstack(before), axis=0)
+        fold = np.array([_fold(d) for d in got["doc_id"]])
+        before.append((x[~y], fold[~y]))
+        clean, at = np.unique(np.vstack([b for b, _ in before]), axis=0, return_index=True)
         whole, truth = np.vstack((x[y], clean)), np.r_[np.ones(int(y.sum()), bool), np.zeros(len(clean), bool)]
-        weights, bias = svm(whole, truth, np.where(truth, 0.5 / truth.mean(), 0.5 / (1 - truth.mean())))
+        weights, bias = machine(whole, truth)
+    # the scale is learned from margins of machines that haven't seen the document
+    of = np.r_[fold[y], np.concatenate([f for _, f in before])[at]]
+    parts = [machine(whole[of != k], truth[of != k]) if truth[of != k].any() and not truth[of != k].all() else (weights, bias) for k in range(FOLDS)]
+    by_fold = np.stack([w for w, _ in parts]), np.array([c for _, c in parts])
+    got = rows.mapInArrow(lambda b: _tops(b, *by_fold), "doc_id long, twin boolean, toxic int, margins array<double>").toPandas().sort_values(["doc_id", "twin"])
+    y = got["toxic"].to_numpy() == 1
     drop(sample)
     drop(rows)
-    scale = _logistic(margin, y, np.where(y, prior / share, (1 - prior) / (1 - share)))
+    scale = _logistic(np.stack(got["margins"]), y, np.where(y, prior / share, (1 - prior) / (1 - share)))
     return Model(landmarks, mapping @ weights, bias, scale)
 
 
@@ -497,10 +562,10 @@ def _score(batches: Iterator[pa.RecordBatch], at: int, shared) -> Iterator[pa.Re
             batch = whole.slice(a, 500)
             score = np.zeros(batch.num_rows)
             if model:
-                margin = np.full(batch.num_rows, model.bias)
+                worst = np.zeros((batch.num_rows, WORST))
                 for i, sums in kept[key].texts(batch.column(at).to_pylist()):
-                    margin[i] += sums.max() if len(sums) else 0.0
-                score = model.score(margin)
+                    worst[i] = worst_windows(sums[:, 0])
+                score = model.score(worst + model.bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [str(i) for i in range(len(batch.columns) + 1)])
 
 

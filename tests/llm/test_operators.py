@@ -511,7 +511,7 @@ def test_sentence_kernel_and_map():
     landmarks = toxicity.Landmarks(marks, common)
 
     def sentence_kernel(s, t):
-        parts = lambda x: [(common.get(w, 1.0), p) for w in x for p in toxicity.pieces(w)]
+        parts = lambda x: [(common.get(w, 1.0), p) for w in set(x) for p in toxicity.pieces(w)]
         return sum(u * v * word_kernel(a, b) ** toxicity.POWER for u, a in parts(s) for v, b in parts(t))
 
     dense = np.array([[sentence_kernel(a, b) for b in marks] for a in marks])
