@@ -2,36 +2,138 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clustrum.functions.scratch import cut
+from clustrum.functions.scratch import cut, numbered, ship
 
+from .dimred import fit_pca
 from .graph import components
-from .pairwise import block_join, distances, knn, within
+from .pairwise import block_join, distances, knn, matrix
 from .stability import FitPredict
 
+#: Principal axes of the plane that DBSCAN's cells divide, a cell's side in radii, and rows that meet at once.
+AXES, CELL_SIDE, PART_ROWS = 2, 2.0, 4096
 #: Rows whose merge tree is condensed on the driver, at most.
 TREE_ROWS = 2_000_000
 #: Rows whose tree is grown on the driver, at most (a row of distances at a time).
 LOCAL_ROWS = 10_000
 
 
+def cells(points: DataFrame, eps: float, axes: int = AXES) -> DataFrame:
+    """row_id, features, cell, own: each row in the cell that holds it, and in the others of which a row may be eps away.
+
+    Cells are squares of CELL_SIDE * eps in the plane of the first principal axes; there, no distance is larger than the
+    true one, so all rows within eps of a cell's own rows are in the cell.
+    """
+    pca = fit_pca(points)
+    turn, mean, side = pca.axes[:, : min(axes, len(pca.mean))], pca.mean, CELL_SIDE * eps if eps > 0 else 1.0
+    reach = eps * (1 + 1e-9) + 1e-12
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = (matrix(batch.column(1)) - mean) @ turn
+            home = np.floor(z / side).astype(np.int64)
+            for step in product((-1, 0, 1), repeat=z.shape[1]):
+                cell = home + np.array(step)
+                gap = np.maximum(np.maximum(cell * side - z, z - (cell + 1) * side), 0)
+                near = np.flatnonzero((gap * gap).sum(1) <= reach * reach)
+                if len(near):
+                    part = batch.take(pa.array(near))
+                    own = np.full(len(near), not any(step))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(cell[near]), pa.list_(pa.int64())), pa.array(own)], ["row_id", "features", "cell", "own"])
+
+    return points.select("row_id", F.col("features").cast("array<double>").alias("features")).mapInArrow(place, "row_id long, features array<double>, cell array<long>, own boolean")
+
+
+def _meetings(placed: DataFrame, sizes: DataFrame, meet: Callable, schema: str, extra: list[str]) -> DataFrame:
+    """meet(own part, any part) for each part of a cell's own rows and each part of all its rows, PART_ROWS rows each."""
+    columns = ["row_id", "features", *extra]
+    number = lambda parts: F.pmod(F.xxhash64("row_id"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    dealt = placed.join(sizes, "cell")
+    left = dealt.where("own").withColumn("i", number("own_parts")).withColumn("j", every("parts")).select("cell", "i", "j", *columns)
+    right = dealt.withColumn("j", number("parts")).withColumn("i", every("own_parts")).select(*(F.col(c).alias(f"r_{c}") for c in ("cell", "i", "j", *columns)))
+    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("r_cell", "r_i", "r_j")).applyInArrow(meet, schema)
+
+
+def _near(a: pa.Table, b: pa.Table, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own ids, other ids, which are within eps)."""
+    ids, others = a.column("row_id").to_numpy(), b.column("r_row_id").to_numpy()
+    if not len(ids) or not len(others):
+        return ids, others, np.zeros((len(ids), len(others)), bool)
+    return ids, others, distances(matrix(a.column("features")), matrix(b.column("r_features")), ids[:, None] == others[None, :]) <= eps
+
+
+def _linked(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a graph between rows and columns: the number of each row's and of each column's, -1 without edges."""
+    row, col, made = np.full(near.shape[0], -1), np.full(near.shape[1], -1), 0
+    for i in np.flatnonzero(near.any(1)).tolist():
+        if row[i] >= 0:
+            continue
+        front = np.array([i])
+        while len(front):
+            row[front] = made
+            reached = np.flatnonzero(near[front].any(0) & (col < 0))
+            col[reached] = made
+            front = np.flatnonzero(near[:, reached].any(1) & (row < 0)) if len(reached) else reached
+        made += 1
+    return row, col
+
+
 def dbscan(eps: float, min_samples: int = 5) -> FitPredict:
     """Core rows have min_samples rows within eps, themselves included; clusters are their components. Other rows within
     eps of a core row join the cluster of the smallest label among those; the rest is -1. Clusters are numbered by their
-    smallest row_id among core rows."""
+    smallest row_id among core rows.
+
+    Rows meet in the cells of cells() only, a crowded one in parts. A meeting sends on how many neighbours its rows have,
+    then how its core rows hang together: a number of rows in proportion to its own, never their pairs.
+    """
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, _, near = _near(a, b, eps)
+        return pa.table({"row_id": pa.array(ids, pa.int64()), "n": pa.array(near.sum(1), pa.int64())})
+
+    def hang(a: pa.Table, b: pa.Table) -> pa.Table:
+        # kind 0: u and v are core rows of one cluster; kind 1: u is no core row, but near core row v
+        ids, others, near = _near(a, b, eps)
+        core, solid = a.column("core").to_numpy(), b.column("r_core").to_numpy()
+        near = near[:, solid] if len(others) else near
+        others = others[solid] if len(others) else others
+        row, col = _linked(near & core[:, None])
+        least = np.full(max(row.max(initial=-1), col.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, row[row >= 0], ids[row >= 0])
+        np.minimum.at(least, col[col >= 0], others[col >= 0])
+        u, v = np.r_[least[row[row >= 0]], least[col[col >= 0]]], np.r_[ids[row >= 0], others[col >= 0]]
+        name = np.where(col >= 0, least[col], others) if len(least) else others
+        p, q = np.nonzero(near & ~core[:, None])
+        border = np.unique(np.stack((ids[p], name[q]), 1), axis=0) if len(p) else np.zeros((0, 2), np.int64)
+        kind = np.r_[np.zeros(len(u), np.int32), np.ones(len(border), np.int32)]
+        return pa.table({"kind": pa.array(kind), "u": pa.array(np.r_[u, border[:, 0]].astype(np.int64)), "v": pa.array(np.r_[v, border[:, 1]].astype(np.int64))})
 
     def fit_predict(points: DataFrame) -> DataFrame:
-        pairs = cut(within(points.select("row_id", "features"), eps), "within")
-        core = cut(pairs.groupBy("row_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("row_id"), "core")
-        inner = pairs.join(core, "row_id", "left_semi").join(core.withColumnRenamed("row_id", "nbr_id"), "nbr_id", "left_semi")
-        found = components(core, inner.select(F.col("row_id").alias("u"), F.col("nbr_id").alias("v")))
-        names = found.select("component").distinct().withColumn("label", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
-        named = found.join(names, "component").select("row_id", "label")
-        border = pairs.join(core, "row_id", "left_anti").join(named.withColumnRenamed("row_id", "nbr_id"), "nbr_id").groupBy("row_id").agg(F.min("label").alias("label"))
+        ship(points.sparkSession)
+        if points.isEmpty():
+            return points.select("row_id", F.lit(-1).alias("label"))
+        placed = cut(cells(points, eps), "cells")
+        parts = lambda n: F.greatest(F.ceil(n / PART_ROWS), F.lit(1))
+        sizes = placed.groupBy("cell").agg(parts(F.count_if("own")).alias("own_parts"), parts(F.count("*")).alias("parts"), F.count_if("own").alias("n")).where("n > 0").drop("n")
+        sizes = cut(sizes, "cell-sizes")
+        counted = _meetings(placed, sizes, count, "row_id long, n long", [])
+        core = cut(counted.groupBy("row_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("row_id"), "core")
+        told = placed.join(core.withColumn("core", F.lit(True)), "row_id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+        found = cut(_meetings(told, sizes, hang, "kind int, u long, v long", ["core"]).distinct(), "links")
+        joined = components(core, found.where("kind = 0").select("u", "v"))
+        names = numbered(joined.select("component").distinct(), "component", name="label").withColumn("label", F.col("label").cast("int"))
+        named = cut(joined.join(names, "component").select("row_id", "label"), "named")
+        border = found.where("kind = 1").join(named.withColumnRenamed("row_id", "v"), "v").groupBy(F.col("u").alias("row_id")).agg(F.min("label").alias("label"))
         return points.select("row_id").join(named.union(border), "row_id", "left").select("row_id", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
     return fit_predict

@@ -453,3 +453,31 @@ def test_density_curve(spark):
     want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
     assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 1e-4
     assert profile.density(df.where("v = 0"), "v").count() == profile.density(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
+
+
+def brute_dbscan(x, eps, min_samples):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core, low = d.sum(1) >= min_samples, np.arange(len(x))
+    while True:
+        new = np.array([low[d[i] & core].min() if core[i] else low[i] for i in range(len(x))])
+        if (new == low).all():
+            break
+        low = new
+    names = {c: k for k, c in enumerate(sorted(set(low[core].tolist())))}
+    return [names[low[i]] if core[i] else min((names[low[j]] for j in np.flatnonzero(d[i] & core)), default=-1) for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("part", "side", "d"), [(4096, 2.0, 2), (7, 1.0, 3), (20, 6.0, 1)])
+def test_dbscan_by_cells_against_all_pairs(spark, monkeypatch, part, side, d):
+    """Chains over many cells, a crowded cell in parts, repeated points, border rows between two clusters, noise."""
+    monkeypatch.setattr(density, "PART_ROWS", part)
+    monkeypatch.setattr(density, "CELL_SIDE", side)
+    rng = np.random.default_rng(part)
+    chain = np.stack([np.arange(40) * 0.9, *[np.zeros(40)] * (d - 1)], 1)
+    x = np.vstack([chain, rng.normal([20] * d, 0.3, (40, d)), rng.uniform(-30, 60, (40, d)), np.full((6, d), -9.0)])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    got = {r["row_id"]: r["label"] for r in density.dbscan(1.0, 3)(df).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, 1.0, 3)
+    assert density.dbscan(1.0)(df.limit(0)).count() == 0
+    assert {r["label"] for r in density.dbscan(0.0, 6)(df).collect()} == {0, -1}
