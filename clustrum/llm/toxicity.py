@@ -85,7 +85,8 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def window_sums(values: np.ndarray, words: list[str], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The sums of the words' values in each window, a word that stands in it several times counted once."""
-    _, name = np.unique(np.array(words, object).astype(str), return_inverse=True) if words else (None, np.zeros(0, np.int64))
+    names: dict[str, int] = {}
+    name = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
     order = np.argsort(name, kind="stable")
     last = np.full(len(words), -1)
     same = np.flatnonzero(name[order][1:] == name[order][:-1])
