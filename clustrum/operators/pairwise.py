@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.scratch import numbered, ship
+from clustrum.functions.scratch import cut, numbered, ship
 
 #: Bytes of a fit set up to which it is broadcast; rows of the blocks that a larger one is dealt into.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
+#: Pivots of a search that prunes, at most, and fit rows of a pivot's list on average until those are used up; lists and the
+#: queries that visit them meet in blocks of as many rows.
+PIVOTS, LIST_ROWS = 512, 4096
 #: Distances are computed for so many pairs at once.
 PAIRS_AT_ONCE = 4_000_000
 #: Distances are ranked by this many decimals, then by row_id, so that equal distances tie whatever the order of sums.
@@ -98,6 +101,9 @@ def block_join(queries: DataFrame, fit: DataFrame, block: Block, schema: str, ex
     return left.groupBy("part", "block").cogroup(right.groupBy("fit_part", "fit_block")).applyInArrow(meet, schema)
 
 
+_FOUND = "row_id long, nbr_id long, dist double"
+
+
 def _by_rank(cols: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy("row_id").orderBy(F.round("dist", DECIMALS), "nbr_id"))
 
@@ -124,10 +130,108 @@ def knn(queries: DataFrame, fit: DataFrame, k: int, exclude_self: bool = False)
         qi, fi = qi[keep], fi[keep]
         return pa.RecordBatch.from_arrays([pa.array(ids[qi]), pa.array(fit_ids[fi]), pa.array(d[qi, fi])], ["row_id", "nbr_id", "dist"])
 
-    found = block_join(queries, fit, block, "row_id long, nbr_id long, dist double")
+    size = fit.select(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) * 8 <= BROADCAST_BYTES:
+        found = block_join(queries, fit, block, _FOUND)
+    else:
+        found = _PrunedJoin(fit, size["n"], k + exclude_self).search(queries, block, k)
     return found.withColumn("rank", _by_rank([])).where(F.col("rank") <= k)
 
 
+class _PrunedJoin:
+    """Fit rows in lists around pivots, each with its radii. By the triangle inequality a list can't hold a row that is
+    nearer to a query than the least of |query - pivot| - outer radius and inner radius - |query - pivot| allows.
+
+    A query first meets its nearest lists, which bound the distance of its k-th neighbour, then the lists whose own bound
+    doesn't exceed that one; all others are skipped. Lists and the queries that visit them are dealt into blocks.
+    """
+
+    def __init__(self, fit: DataFrame, n: int, k: int):
+        ship(fit.sparkSession)
+        self.k = k
+        many = int(np.clip(n // LIST_ROWS, 1, PIVOTS))
+        first = fit.select("row_id", "features").orderBy(F.xxhash64("row_id"), "row_id").limit(many).toArrow()
+        self.pivots = matrix(first.column("features"))
+        self.slack = 1e-6 * (1 + float(np.sqrt((self.pivots**2).sum(1)).max(initial=0)))
+        pivots = self.pivots
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    d = distances(matrix(batch.column(1)), pivots)
+                    near = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(near)), near])], ["row_id", "features", "list", "d"])
+
+        placed = fit.select("row_id", F.col("features").cast("array<double>").alias("features")).mapInArrow(place, "row_id long, features array<double>, list long, d double")
+        self.lists = cut(placed, "lists")
+        self.count, self.inner, self.outer = np.zeros(many, np.int64), np.full(many, np.inf), np.full(many, -np.inf)
+        for r in self.lists.groupBy("list").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():  # a row a pivot
+            self.count[r["list"]], self.inner[r["list"]], self.outer[r["list"]] = r["n"], r["lo"], r["hi"]
+
+    def visits(self, queries: DataFrame, reach: DataFrame | None) -> DataFrame:
+        """row_id, features, list: the first lists of each query, or, given (row_id, reach), all others within reach."""
+        queries = queries.select("row_id", F.col("features").cast("array<double>").alias("features"))
+        if reach is not None:
+            queries = queries.join(reach, "row_id").select("row_id", "features", "reach")
+        pivots, count, inner, outer, k, slack = self.pivots, self.count, self.inner, self.outer, self.k, self.slack
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for a in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(a, 1024)
+                    d = distances(matrix(batch.column(1)), pivots)
+                    d[:, count == 0] = np.inf
+                    order = np.argsort(d, 1, kind="stable")
+                    held = np.cumsum(count[order], 1)
+                    first = np.zeros(d.shape, bool)
+                    # lists in order of their pivots, until they hold k rows
+                    np.put_along_axis(first, order, np.hstack((np.ones((len(d), 1), bool), held[:, :-1] < k)), 1)
+                    first &= count > 0
+                    if batch.num_columns == 3:
+                        low = np.maximum(np.maximum(d - outer, inner - d), 0)
+                        first = (low <= batch.column(2).to_numpy()[:, None] + slack) & ~first & (count > 0)
+                    q, j = np.nonzero(first)
+                    part = batch.take(pa.array(q))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j.astype(np.int64))], ["row_id", "features", "list"])
+
+        return queries.mapInArrow(choose, "row_id long, features array<double>, list long")
+
+    def _meet(self, visits: DataFrame, block: Block) -> DataFrame:
+        held = {r["list"]: r["count"] for r in visits.groupBy("list").count().collect()}  # a row a pivot
+        parts = lambda n: F.array(*(F.lit(max(1, -(-int(x) // LIST_ROWS))).cast("long") for x in n))
+        of = lambda n: F.get(parts(n), F.col("list").cast("int"))
+        asked = [held.get(i, 0) for i in range(len(self.count))]
+        number, every = lambda n: F.pmod(F.xxhash64("row_id"), of(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of(n) - 1))
+        left = visits.withColumn("part", number(asked)).withColumn("block", every(self.count))
+        right = self.lists.where(F.col("list").isin(list(held))).withColumn("block", number(self.count)).withColumn("part", every(asked))
+        right = right.select(*(F.col(c).alias(f"fit_{c}") for c in ("list", "part", "block", "row_id", "features")))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"row_id": pa.array([], pa.int64()), "nbr_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+            ids, x, fit_ids, y = a.column("row_id").to_numpy(), matrix(a.column("features")), b.column("fit_row_id").to_numpy(), matrix(b.column("fit_features"))
+            step = max(1, PAIRS_AT_ONCE // len(fit_ids))
+            return pa.Table.from_batches([block(ids[i : i + step], x[i : i + step], fit_ids, y, None) for i in range(0, len(ids), step)])
+
+        return left.groupBy("list", "part", "block").cogroup(right.groupBy("fit_list", "fit_part", "fit_block")).applyInArrow(meet, _FOUND)
+
+    def search(self, queries: DataFrame, block: Block, k: int) -> DataFrame:
+        near = cut(self._meet(cut(self.visits(queries, None), "visits"), block), "near")
+        kth = near.withColumn("rank", _by_rank([])).where(F.col("rank") <= k).groupBy("row_id").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+        reach = queries.select("row_id").join(kth, "row_id", "left").select("row_id", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach"))
+        return near.union(self._meet(cut(self.visits(queries, reach), "visits"), block))
+
+
+def list_visits(queries: DataFrame, fit: DataFrame, k: int) -> DataFrame:
+    """lists, queries, visited, skipped: what pruning spares a search of a fit set too large to broadcast; the visits are
+    those of a search whose k-th distances are known."""
+    join = _PrunedJoin(fit, fit.count(), k)
+    far = knn(queries, fit, k).groupBy("row_id").agg(F.max("dist").alias("reach"))
+    visited = join.visits(queries, None).union(join.visits(queries, far)).agg(F.count("*").alias("visited"))
+    lists = int((join.count > 0).sum())
+    return visited.crossJoin(queries.agg(F.count("*").alias("queries"))).select(F.lit(lists).alias("lists"), "queries", "visited", (F.col("queries") * lists - F.col("visited")).alias("skipped"))
+
+
 def k_distance(points: DataFrame, k: int = 4) -> DataFrame:
     """row_id, dist: the distance to the k-th nearest other row."""
     return knn(points, points, k, exclude_self=True).where(F.col("rank") == k).select("row_id", "dist")

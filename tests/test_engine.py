@@ -481,3 +481,19 @@ def test_dbscan_by_cells_against_all_pairs(spark, monkeypatch, part, side, d):
     assert [got[i] for i in range(len(x))] == brute_dbscan(x, 1.0, 3)
     assert density.dbscan(1.0)(df.limit(0)).count() == 0
     assert {r["label"] for r in density.dbscan(0.0, 6)(df).collect()} == {0, -1}
+
+
+@pytest.mark.parametrize(("exclude", "k"), [(False, 4), (True, 5), (False, 500)])
+def test_pruned_neighbours_are_exact(spark, monkeypatch, exclude, k):
+    """Lists around pivots, crowded and empty ones, repeated rows that tie, fewer rows than neighbours asked for."""
+    rng = np.random.default_rng(k)
+    x = np.vstack([rng.normal(c, 0.3, (50, 3)) for c in ([0, 0, 0], [9, 0, 0], [0, 9, 9], [30, 30, 30])] + [np.full((8, 3), 4.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    some = df.where("row_id % 3 = 0")
+    whole = {(r["row_id"], r["rank"]): (r["nbr_id"], round(r["dist"], 8)) for r in pairwise.knn(some, df, k, exclude).collect()}
+    for name, value in (("BROADCAST_BYTES", 0), ("LIST_ROWS", 10), ("PIVOTS", 12)):
+        monkeypatch.setattr(pairwise, name, value)
+    assert {(r["row_id"], r["rank"]): (r["nbr_id"], round(r["dist"], 8)) for r in pairwise.knn(some, df, k, exclude).collect()} == whole
+    if k == 4:
+        seen = pairwise.list_visits(some, df, k).first()
+        assert seen["skipped"] > 0.5 * seen["lists"] * seen["queries"]
