@@ -250,18 +250,14 @@ def _condense(edges: list[tuple[int, int, float]], ids: np.ndarray, size: int) -
                     todo.append((y, c))
                 else:
                     gone[c] += [(p, lam) for p in leaves(y)]
-    total = {}
-    for c in birth:
-        total[c] = 0
-
-    def inside(c: int) -> int:
-        return len(gone[c]) + sum(inside(k) for k in children[c])
-
+    inside: dict[int, int] = {}
+    for c in sorted(birth, reverse=True):  # children have larger numbers
+        inside[c] = len(gone[c]) + sum(inside[k] for k in children[c])
     cap = max([1 / h for h in height if h > 0], default=1.0)
     value = {}
     for c in birth:
         stay = sum(min(lam, cap) - birth[c] for _, lam in gone[c])
-        value[c] = stay + sum(inside(k) * (min(birth[k], cap) - birth[c]) for k in children[c])
+        value[c] = stay + sum(inside[k] * (min(birth[k], cap) - birth[c]) for k in children[c])
     chosen: dict[int, bool] = {}
     best: dict[int, float] = {}
     for c in sorted(birth, reverse=True):  # children have larger numbers
@@ -284,9 +280,11 @@ def _condense(edges: list[tuple[int, int, float]], ids: np.ndarray, size: int) -
         stack += [(k, name) for k in children[c]]
     for p, name in found:
         label[p] = name
-    firsts = sorted({int(v) for v in label if v >= 0}, key=lambda v: ids[label == v].min())
-    rename = {v: i for i, v in enumerate(firsts)}
-    return np.array([rename.get(int(v), -1) for v in label])
+    first = np.full(done, np.iinfo(np.int64).max)
+    np.minimum.at(first, label[label >= 0], ids[label >= 0])
+    rank = np.empty(done, np.int64)
+    rank[np.argsort(first, kind="stable")] = np.arange(done)
+    return np.where(label >= 0, rank[np.maximum(label, 0)] if done else -1, -1)
 
 
 def hdbscan(min_cluster_size: int = 50, min_samples: int | None = None) -> FitPredict:

@@ -8,13 +8,15 @@ from typing import Literal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.scratch import numbered, ship, small
+from clustrum.functions.scratch import cut, numbered, ship, small
 
+from .graph import components
 from .metrics import adjusted_rand
-from .pairwise import distances, propagate
+from .pairwise import block_join, distances, propagate
 from .stability import FitPredict, sample_rows
 
 Linkage = Literal["ward", "complete", "average", "single"]
@@ -98,6 +100,59 @@ def cut_tree(merges: list[tuple[int, int, float, float]], n: int, k: int) -> np.
     return np.array([names.setdefault(root(i), len(names)) for i in range(n)])
 
 
+def ward_merges(points: DataFrame) -> DataFrame:
+    """step, a, b, height, size of the merges of all rows by Ward's linkage, in ascending height; a < b are the smallest
+    row_ids of the two clusters, ties go to the smaller pair.
+
+    Ward's distance needs sizes and means only, so clusters are rows like points. Each round finds every cluster's nearest
+    one block by block and merges all pairs that are each other's nearest; such merges don't depend on one another. The
+    driver gets one number a round.
+    """
+    ship(points.sparkSession)
+    state = cut(points.select("row_id", F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0))).alias("features")), "ward")
+    merges = None
+
+    def block(ids, x, fit_ids, y, _):
+        size, other = x[:, -1][:, None], y[:, -1][None, :]
+        d = np.round(distances(x[:, :-1], y[:, :-1]) * np.sqrt(2 * size * other / (size + other)), 12)
+        d[ids[:, None] == fit_ids[None, :]] = np.inf
+        low = d.min(1)
+        a, b = np.minimum(ids[:, None], fit_ids[None, :]), np.maximum(ids[:, None], fit_ids[None, :])
+        first = np.where(d == low[:, None], a, np.iinfo(np.int64).max)
+        j = np.where(first == first.min(1)[:, None], b, np.iinfo(np.int64).max).argmin(1)
+        ok = np.isfinite(low)
+        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(fit_ids[j][ok]), pa.array(low[ok])], ["row_id", "nbr_id", "d"])
+
+    while True:
+        found = block_join(state, state, block, "row_id long, nbr_id long, d double")
+        pair = F.struct("d", F.least("row_id", "nbr_id").alias("a"), F.greatest("row_id", "nbr_id").alias("b"))
+        best = cut(found.groupBy("row_id").agg(F.min(pair).alias("p")), "nearest")
+        mutual = best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.a", "p.b", F.col("p.d").alias("height"))
+        left, right = (state.select(F.col("row_id").alias(k), F.col("features").alias(f"x{k}")) for k in "ab")
+        joined = cut(mutual.join(left, "a").join(right, "b"), "merged")
+        if joined.isEmpty():
+            break
+        na, nb = F.element_at("xa", -1), F.element_at("xb", -1)
+        mean = F.zip_with("xa", "xb", lambda u, v: (na * u + nb * v) / (na + nb))
+        new = joined.select(F.col("a").alias("row_id"), F.concat(F.slice(mean, F.lit(1), F.size(mean) - 1), F.array(na + nb)).alias("features"))
+        own = joined.select("a", "b", "height", (na + nb).cast("long").alias("size"))
+        merges = own if merges is None else merges.union(own)
+        gone = joined.select(F.explode(F.array("a", "b")).alias("row_id"))
+        state = cut(state.join(gone, "row_id", "left_anti").union(new), "ward")
+    if merges is None:
+        return points.sparkSession.createDataFrame([], "step long, a long, b long, height double, size long")
+    return numbered(merges, "height", "a", "b", name="step").select("step", "a", "b", "height", "size")
+
+
+def ward_cut(points: DataFrame, merges: DataFrame, k: int) -> DataFrame:
+    """row_id, label of the k clusters that remain before the last k - 1 merges, numbered by their first row."""
+    n = points.count()
+    done = merges.where(F.col("step") < n - k).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = components(points.select("row_id"), done)
+    names = numbered(joined.select("component").distinct(), "component", name="label")
+    return joined.join(names, "component").select("row_id", F.col("label").cast("int").alias("label"))
+
+
 def _gather(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = points.select("row_id", "features").orderBy("row_id").collect()
     return np.array([r["row_id"] for r in got], np.int64), np.array([r["features"] for r in got], float)
@@ -108,16 +163,32 @@ def _frame(points: DataFrame, ids: np.ndarray, label: np.ndarray) -> DataFrame:
 
 
 def dendrogram(points: DataFrame, linkage: Linkage = "ward", max_rows: int = TREE_ROWS, seed: int = 42) -> DataFrame:
-    """step, left, right, height, size of the merges of all rows, or of a sample of max_rows."""
+    """step, left, right, height, size of the merges of all rows; by linkages other than Ward's of a sample of max_rows.
+
+    Rows are 0 .. n - 1 in the order of their ids, the i-th merge is n + i.
+    """
+    if linkage == "ward" and (n := points.count()) > max_rows:
+        merges = cut(ward_merges(points), "merges")
+        # the node that a cluster is: the last merge before, in which its smallest row was the smaller one, or that row
+        rows = numbered(points.select("row_id"), "row_id", name="node")
+        uses = merges.select("step", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("row_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("row_id")))).alias("u")).select("step", "u.side", "u.row_id")
+        last = F.lag(F.when(F.col("side") == 0, F.col("step") + n)).over(Window.partitionBy("row_id").orderBy("step"))
+        named = uses.withColumn("made", last).join(rows, "row_id").select("step", F.coalesce("made", "node").alias("node"))
+        sides = named.groupBy("step").agg(F.min("node").alias("left"), F.max("node").alias("right"))
+        return merges.join(sides, "step").select(F.col("step").cast("int").alias("step"), F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"), "height", "size")
     _, x = _gather(sample_rows(points, max_rows, seed))
     merges = chain_linkage(distances(x, x, np.eye(len(x), dtype=bool)), linkage) if len(x) > 1 else []
     return points.sparkSession.createDataFrame([(i, a, b, h, int(s)) for i, (a, b, h, s) in enumerate(merges)], "step int, left int, right int, height double, size long")
 
 
 def agglomerative_cuts(points: DataFrame, ks: list[int], linkage: Linkage = "ward", max_rows: int = TREE_ROWS, vote_k: int = 5, seed: int = 42) -> dict[int, DataFrame]:
-    """Labels for each k from one tree; rows beyond the sample take the vote of their nearest sampled rows."""
+    """Labels for each k from one tree. Of more than max_rows rows Ward's tree is made in rounds, of all of them; by the other
+    linkages a sample is clustered, and further rows take the vote of their nearest sampled rows."""
     if linkage not in ("ward", "complete", "average", "single"):
         raise ValueError(f"unknown linkage {linkage!r}")
+    if linkage == "ward" and points.count() > max_rows:
+        merges = cut(ward_merges(points), "merges")
+        return {k: ward_cut(points, merges, k) for k in ks}
     some = sample_rows(points, max_rows, seed)
     ids, x = _gather(some)
     merges = chain_linkage(distances(x, x, np.eye(len(x), dtype=bool)), linkage) if len(x) > 1 else []
@@ -188,11 +259,11 @@ def consensus(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "
     d = 1 - agree / m
     np.fill_diagonal(d, 0)
     merges = chain_linkage(d, linkage, weight) if len(got) > 1 else []
-    cut = cut_tree(merges, len(got), min(n_clusters, len(got)))
-    known = {r["t"]: int(v) for r, v in zip(got, cut, strict=True)}
-    size = np.bincount(cut, weight)
+    found = cut_tree(merges, len(got), min(n_clusters, len(got)))
+    known = {r["t"]: int(v) for r, v in zip(got, found, strict=True)}
+    size = np.bincount(found, weight)
     # of each set and label: how many rows of each cluster have it
-    share = [{v: np.bincount(cut, weight * (labels[:, i] == v), len(size)) / size for v in np.unique(labels[:, i]).tolist() if v != -1} for i in range(m)]
+    share = [{v: np.bincount(found, weight * (labels[:, i] == v), len(size)) / size for v in np.unique(labels[:, i]).tolist() if v != -1} for i in range(m)]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
