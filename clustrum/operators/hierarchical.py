@@ -240,6 +240,81 @@ def label_tuples(label_sets: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return table.alias("a").join(tuples.alias("b"), same).select("a.row_id", "b.t"), tuples
 
 
+def co_association_tuples(label_sets: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(row_id, t) and (t, u, share): co-association between label tuples, with the tuple of each row.
+
+    Two different rows agree as their tuples do, (t, t) for rows of one tuple; a row with noise has a tuple of its own. The
+    table of shares grows with the tuples, not with pairs of rows: expand_co_association() makes those.
+    """
+    rows, tuples = label_tuples(label_sets)
+    rows, tuples, m = cut(rows, "rows"), cut(tuples, "tuples"), len(label_sets)
+    sets = F.explode(F.array(*(F.struct(F.lit(i).alias("s"), F.col(f"l{i}").alias("label")) for i in range(m)))).alias("x")
+    long = tuples.select("t", sets).select("t", "x.s", "x.label").where("label <> -1")
+    pairs = long.join(long.withColumnRenamed("t", "u"), ["s", "label"]).groupBy("t", "u").agg((F.count("*") / F.lit(m)).alias("share"))
+    return rows, pairs
+
+
+def expand_co_association(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """co_association()'s row_id, nbr_id, share."""
+    pairs = rows.join(shares, "t").join(rows.select(F.col("row_id").alias("nbr_id"), F.col("t").alias("u")), "u").where("row_id <> nbr_id").select("row_id", "nbr_id", "share")
+    return pairs.union(rows.select("row_id", F.col("row_id").alias("nbr_id"), F.lit(1.0).alias("share")))
+
+
+class _Tuples:
+    """Label tuples with their numbers of rows, read once for any choice of the sets."""
+
+    def __init__(self, label_sets: list[DataFrame], linkage: Linkage):
+        if linkage == "ward":
+            raise ValueError("ward needs coordinates; co-association gives distances only")
+        rows, tuples = label_tuples(label_sets)
+        self.rows, self.tuples, self.linkage = cut(rows, "rows"), cut(tuples, "tuples"), linkage
+        self.names = [f"l{i}" for i in range(len(label_sets))]
+        got = sorted(self.tuples.orderBy(F.desc("n"), "t").limit(TREE_ROWS).collect(), key=lambda r: r["t"])
+        self.t, self.weight = [r["t"] for r in got], np.array([r["n"] for r in got])
+        self.labels = np.array([[r[c] for c in self.names] for r in got]).reshape(len(got), len(self.names))
+        #: In how many sets two tuples agree.
+        self.agree = np.zeros((len(got), len(got)), np.int16)
+        for i in range(len(self.names)):
+            self.agree += self._same(i)
+
+    def _same(self, i: int) -> np.ndarray:
+        own = self.labels[:, i]
+        return (own[:, None] == own[None, :]) & (own != -1)[:, None]
+
+    def consensus(self, n_clusters: int, without: int | None = None) -> DataFrame:
+        """Labels of all rows by the sets, or by all but one, whose agreement is taken off."""
+        kept = [i for i in range(len(self.names)) if i != without]
+        labels, m = self.labels[:, kept], len(kept)
+        agree = self.agree if without is None else self.agree - self._same(without)
+        # tuples that differ in the missing set only are one
+        keys: dict[tuple, int] = {}
+        of = np.array([keys.setdefault(tuple(x) if -1 not in x else (*x, t), len(keys)) for t, x in zip(self.t, labels.tolist(), strict=True)], np.int64)
+        first = np.unique(of, return_index=True)[1] if len(of) else of
+        weight = np.bincount(of, self.weight, len(keys)) if len(of) else self.weight
+        d = 1 - agree[np.ix_(first, first)] / m
+        np.fill_diagonal(d, 0)
+        merges = chain_linkage(d, self.linkage, weight) if len(first) > 1 else []
+        label = cut_tree(merges, len(first), min(n_clusters, len(first)))[of] if len(of) else of
+        known = dict(zip(self.t, label.tolist(), strict=True))
+        size = np.bincount(label, self.weight) if len(of) else np.ones(1)
+        # of each set and label: how many rows of each cluster have it
+        share = [{v: np.bincount(label, self.weight * (labels[:, i] == v), len(size)) / size for v in np.unique(labels[:, i]).tolist() if v != -1} for i in range(m)]
+        names = [self.names[i] for i in kept]
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for t, *own in frame[["t", *names]].itertuples(index=False):
+                    if (found := known.get(t)) is None:
+                        found = int(sum((share[i].get(v, 0.0) for i, v in enumerate(own)), np.zeros(len(size))).argmax())
+                    out.append((t, found))
+                yield pd.DataFrame(out, columns=["t", "label"])
+
+        ship(self.rows.sparkSession)
+        named = self.tuples.select("t", *names).mapInPandas(place, "t int, label int")
+        return self.rows.join(small(named), "t").select("row_id", "label")
+
+
 def consensus(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "average") -> DataFrame:
     """Labels by linkage on 1 - co-association, on the distinct label tuples with their numbers of rows: exact for all
     rows, since rows of one tuple are at distance 0 and merge first.
@@ -247,42 +322,15 @@ def consensus(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "
     Of more than TREE_ROWS tuples, as many noisy rows make, those of the most rows are clustered (ties: the first), and
     each other one joins the cluster that it agrees with most on average (ties: the smallest label).
     """
-    if linkage == "ward":
-        raise ValueError("ward needs coordinates; co-association gives distances only")
-    rows, tuples = label_tuples(label_sets)
-    m, names = len(label_sets), [f"l{i}" for i in range(len(label_sets))]
-    got = sorted(tuples.orderBy(F.desc("n"), "t").limit(TREE_ROWS).collect(), key=lambda r: r["t"])
-    labels, weight = np.array([[r[c] for c in names] for r in got]), np.array([r["n"] for r in got])
-    agree = np.zeros((len(got), len(got)))
-    for i in range(m):
-        agree += (labels[:, i][:, None] == labels[:, i][None, :]) & (labels[:, i] != -1)[:, None]
-    d = 1 - agree / m
-    np.fill_diagonal(d, 0)
-    merges = chain_linkage(d, linkage, weight) if len(got) > 1 else []
-    found = cut_tree(merges, len(got), min(n_clusters, len(got)))
-    known = {r["t"]: int(v) for r, v in zip(got, found, strict=True)}
-    size = np.bincount(found, weight)
-    # of each set and label: how many rows of each cluster have it
-    share = [{v: np.bincount(found, weight * (labels[:, i] == v), len(size)) / size for v in np.unique(labels[:, i]).tolist() if v != -1} for i in range(m)]
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for t, *own in frame[["t", *names]].itertuples(index=False):
-                if (label := known.get(t)) is None:
-                    label = int(sum((share[i].get(v, 0.0) for i, v in enumerate(own)), np.zeros(len(size))).argmax())
-                out.append((t, label))
-            yield pd.DataFrame(out, columns=["t", "label"])
-
-    ship(rows.sparkSession)
-    named = tuples.select("t", *names).mapInPandas(place, "t int, label int")
-    return rows.join(small(named), "t").select("row_id", "label")
+    return _Tuples(label_sets, linkage).consensus(n_clusters)
 
 
 def leave_one_out(label_sets: list[DataFrame], n_clusters: int, linkage: Linkage = "average") -> DataFrame:
-    """left_out, ari: how the consensus without each set agrees with that of all."""
-    whole = consensus(label_sets, n_clusters, linkage)
-    runs = [adjusted_rand(consensus([s for j, s in enumerate(label_sets) if j != i], n_clusters, linkage), whole).select(F.lit(i).alias("left_out"), "ari") for i in range(len(label_sets))]
+    """left_out, ari: how the consensus without each set agrees with that of all. The tuples are read once, and each set's
+    agreement is taken off the whole."""
+    tuples = _Tuples(label_sets, linkage)
+    whole = cut(tuples.consensus(n_clusters), "consensus")
+    runs = [adjusted_rand(tuples.consensus(n_clusters, i), whole).select(F.lit(i).alias("left_out"), "ari") for i in range(len(label_sets))]
     return reduce(DataFrame.unionByName, runs)
 
 

@@ -484,12 +484,20 @@ def label_sets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 _SETS = "ls AS (SELECT vec_id AS row_id, [vec_id % 3, label // 2, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END, CASE WHEN vec_id % 11 = 0 THEN -1 ELSE label END] AS l FROM embeddings)"
 
 
-@query(f"""WITH {_SETS}, pr AS (SELECT a.row_id, b.row_id AS nbr_id, list_sum(list_transform(list_zip(a.l, b.l), lambda x: CASE WHEN x[1] = x[2] AND x[1] <> -1 THEN 1 ELSE 0 END)) AS n FROM ls a JOIN ls b ON a.row_id <> b.row_id)
-SELECT row_id, nbr_id, CAST(n / 4 AS DOUBLE) AS share FROM pr WHERE n > 0 UNION ALL SELECT row_id, row_id, CAST(1.0 AS DOUBLE) FROM ls""")
+_CO_ASSOCIATION = f"""WITH {_SETS}, pr AS (SELECT a.row_id, b.row_id AS nbr_id, list_sum(list_transform(list_zip(a.l, b.l), lambda x: CASE WHEN x[1] = x[2] AND x[1] <> -1 THEN 1 ELSE 0 END)) AS n FROM ls a JOIN ls b ON a.row_id <> b.row_id)
+SELECT row_id, nbr_id, CAST(n / 4 AS DOUBLE) AS share FROM pr WHERE n > 0 UNION ALL SELECT row_id, row_id, CAST(1.0 AS DOUBLE) FROM ls"""
+
+
+@query(_CO_ASSOCIATION)
 def co_association(spark, sf_dir):
     return hierarchical.co_association(label_sets(spark, sf_dir))
 
 
+@query(_CO_ASSOCIATION)
+def co_association_by_tuples(spark, sf_dir):
+    return hierarchical.expand_co_association(*hierarchical.co_association_tuples(label_sets(spark, sf_dir)))
+
+
 @query(f"""WITH {_SETS}, k AS (SELECT row_id, l, CASE WHEN list_contains(l, -1) THEN row_id END AS own FROM ls)
 SELECT CAST(l[1] AS INTEGER) AS l0, CAST(l[2] AS INTEGER) AS l1, CAST(l[3] AS INTEGER) AS l2, CAST(l[4] AS INTEGER) AS l3, own, count(*) AS n, min(row_id) AS "first", CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS INTEGER) AS t FROM k GROUP BY l, own""")
 def consensus_tuples(spark, sf_dir):

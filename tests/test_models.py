@@ -155,3 +155,19 @@ def test_hdbscan(spark, embedded, size, samples):
         own = ids[: len(y)]
         points = spark.createDataFrame([(i, v.tolist()) for i, v in zip(own, y, strict=True)], "row_id long, features array<double>")
         assert {r["row_id"]: r["label"] for r in density.hdbscan(size, samples)(points).collect()} == plain_hdbscan(own, y, size, samples)
+
+
+@pytest.mark.parametrize("k", [2, 3, 30])
+def test_consensus_without_a_set_is_the_refit(spark, k):
+    """Agreement taken off the whole gives what the remaining sets give by themselves, noise and few tuples included."""
+    rng = np.random.default_rng(k)
+    truth = rng.integers(0, 3, 90)
+    noisy = [np.where(rng.random(90) < 0.15, rng.integers(0, 3, 90), truth) for _ in range(3)]
+    noisy.append(np.where(rng.random(90) < 0.1, -1, truth % 2))
+    sets = [spark.createDataFrame([(i * 2, int(v)) for i, v in enumerate(x)], "row_id long, label int") for x in noisy]
+    whole = hierarchical._Tuples(sets, "average")
+    for i in range(4):
+        want = {r["row_id"]: r["label"] for r in hierarchical.consensus(sets[:i] + sets[i + 1 :], k).collect()}
+        got = {r["row_id"]: r["label"] for r in whole.consensus(k, i).collect()}
+        same = {}
+        assert len(want) == len(got) == 90 and all(same.setdefault(want[r], got[r]) == got[r] for r in want) and len(set(same.values())) == len(same)
