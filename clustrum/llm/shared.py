@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -14,18 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset in local mode, a temporary folder that is set there."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = Path(tempfile.mkdtemp(prefix="clustrum-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from clustrum.functions import scratch
+from clustrum.functions.scratch import scratch_root
 
 
 def cut(df: DataFrame, name: str, schema=None) -> DataFrame:
@@ -58,16 +45,7 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the executors once a Spark application, so that their Python finds it anywhere."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="clustrum-"), "clustrum_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
+    scratch.ship(spark)
 
 
 _TABLES: dict[str, dict] = {}

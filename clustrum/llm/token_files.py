@@ -241,7 +241,8 @@ def pack(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, vocabular
 
 
 class Shard:
-    """Random access to a payload: documents by place, ids by offset; only what is asked for is expanded."""
+    """Random access to a payload: documents by place, ids by offset, of which only the rules that they reach are expanded;
+    and all documents at once."""
 
     def __init__(self, payload: bytes):
         if payload[:8] != MAGIC:
@@ -291,17 +292,39 @@ class Shard:
         narrow = np.int32 if total + len(self.pool) < 2**31 else np.int64
         return self.pool[np.arange(total, dtype=narrow) + np.repeat((self.begin[symbols] - (ends - size)).astype(narrow), size)]
 
+    def few(self, symbols: np.ndarray) -> np.ndarray:
+        """The expansion of some symbols by the rules that they reach, and no others."""
+        out, rules, v = [], self.rules, self.vocabulary
+        stack = symbols[::-1].tolist()
+        while stack:
+            s = stack.pop()
+            if s < v:
+                out.append(s)
+            else:
+                first, second = rules[s - v].tolist()
+                stack += (second, first)
+        return np.array(out, self.symbols.dtype)
+
     def document(self, place: int) -> np.ndarray:
-        return self.expand(self.symbols[(self.symbol_ends[place - 1] if place else 0) : self.symbol_ends[place]])
+        return self.few(self.symbols[(self.symbol_ends[place - 1] if place else 0) : self.symbol_ends[place]])
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
-        """The ids from start to stop of the shard, by the expansion lengths alone up to there."""
-        if self.pool is None:
-            self._expansions()
-        ends = np.cumsum(self.size[self.symbols])
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        before = int(ends[a - 1]) if a else 0
-        return self.expand(self.symbols[a:b])[start - before : stop - before]
+        """The ids from start to stop of the shard. The documents' index leads to the first one that holds some; from there
+        on the symbols' expansion lengths are added up, to the last one."""
+        if start >= stop or not len(self.token_ends):
+            return self.few(self.symbols[:0])
+        first, last = np.searchsorted(self.token_ends, (start, stop - 1), "right").tolist()
+        if first >= len(self.token_ends):
+            return self.few(self.symbols[:0])
+        before, low = (int(self.token_ends[first - 1]), int(self.symbol_ends[first - 1])) if first else (0, 0)
+        own = self.symbols[low : self.symbol_ends[min(last, len(self.token_ends) - 1)]]
+        size = np.ones(len(own), np.int64)
+        made = own >= self.vocabulary
+        size[made] = self.lengths[own[made].astype(np.int64) - self.vocabulary]
+        ends = before + np.cumsum(size)
+        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        skip = start - (int(ends[a - 1]) if a else before)
+        return self.few(own[a:b])[skip : skip + stop - start]
 
     def documents(self, dtype: str | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
         ids = self.expand(self.symbols)
