@@ -367,14 +367,16 @@ _SHARD_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs",
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of (doc_id, text) as shards in ascending doc_id order; end_id is put after each document.
 
-    Rows without doc_id come first; rows that repeat one are documents of their own, ordered by their text; a null text
-    is empty, so its document is the end id alone; an empty table makes an empty table of shards. A text longer than a
-    shard makes a shard of its own. Other columns aren't read.
+    Rows without doc_id come first, in the order of a hash of their text, so any number of them is dealt over many tasks;
+    rows that repeat a doc_id are documents of their own, ordered by their text; a null text is empty, so its document is
+    the end id alone; an empty table makes an empty table of shards. A text longer than a shard makes a shard of its own.
+    Other columns aren't read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, rows.rdd.getNumPartitions())
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     file = FileBytes(docs.sparkSession, tokenizer)
     rows.mapInArrow(lambda b: _shards(b, file, end_id, shard_tokens), _SHARD).write.parquet(path)
 

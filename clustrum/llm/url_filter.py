@@ -120,7 +120,7 @@ def _listed(asked: DataFrame, spans: DataFrame) -> DataFrame:
 
 def page_captures(pages: DataFrame) -> DataFrame:
     """pages with fetched_at: the tables have no fetch times, so each page's is set by its id, over ten years."""
-    minutes = F.pmod(F.col("page_id") * 7919, F.lit(5_256_000)).cast("long")
+    minutes = F.pmod(F.pmod("page_id", F.lit(5_256_000)) * 7919, F.lit(5_256_000)).cast("long")
     return pages.select("page_id", "url", F.expr("timestamp_ntz '2014-01-01 00:00:00'").alias("_0"), minutes.alias("_m")).select(
         "page_id", "url", (F.col("_0") + F.make_interval(mins=F.col("_m").cast("int"))).alias("fetched_at")
     )
