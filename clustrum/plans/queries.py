@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrum.functions import profile
-from clustrum.functions.scratch import scratch_root
+from clustrum.functions.scratch import cut, scratch_root
 from clustrum.operators import density, dimred, gmm, hierarchical, kmeans, metrics, pairwise, select, spectral, stability
 from clustrum.operators.preprocess import STRATEGIES, Preprocessor, Strategy, fit_yeo_johnson, yeo_johnson
 from clustrum.operators.schema import ColumnTypes, infer_column_types
@@ -588,6 +589,41 @@ _RANKED = "r AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_litera
 ) + " FROM r), ranked AS (SELECT *, (z_silhouette + z_davies_bouldin + z_calinski_harabasz + z_stab_mean) / 4 AS combined_score FROM z)"
 
 
+#: Label sets of the embeddings that are ranked as candidates: by name the SQL of their labels and the column.
+_LABELINGS = {
+    "03_thirds": ("row_id % 3", lambda: F.col("vec_id") % 3), "05_noisy": ("CASE WHEN row_id % 11 = 0 THEN -1 ELSE label END", lambda: F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("label"))),
+    "06_halves": ("label // 2", lambda: F.floor(F.col("label") / 2)), "07_labels": ("label", lambda: F.col("label")), "08_sign": ("CASE WHEN f[1] > 0 THEN 1 ELSE 0 END", lambda: (F.col("embedding")[0] > 0).cast("int")),
+}
+_SCORED = "r AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS notebook, * FROM (WITH r AS (SELECT row_id, f, {x} AS label FROM p WHERE {x} <> -1), {_DB}, {_CH}, {_SIL} SELECT silhouette, davies_bouldin, calinski_harabasz FROM sil, db, ch), (WITH {_ari(x, 'label', 'p')})"
+    for n, (x, _) in _LABELINGS.items()
+) + "), z AS (SELECT *, " + ", ".join(f"{s}(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS z_{c}" for c, s in (_Z | {"ari": ""}).items() if c != "stab_mean") + " FROM r), ranked AS (SELECT *, (z_silhouette + z_davies_bouldin + z_calinski_harabasz + z_ari) / 4 AS combined_score FROM z)"
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label sets with their metrics; how they agree with the given labels stands for their stability."""
+    p, given, out = points(spark, sf_dir), labels(spark, sf_dir), []
+    for name, (_, column) in _LABELINGS.items():
+        own = labels(spark, sf_dir, column())
+        row = rounded(metrics.internal_metrics(p, own)).crossJoin(rounded(metrics.adjusted_rand(own, given)))
+        out.append(row.select(F.lit(name).alias("notebook"), F.lit("labels").alias("algorithm"), "silhouette", "davies_bouldin", "calinski_harabasz", F.col("ari").alias("stab_mean"), F.lit(0.0).alias("stab_std")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"WITH {P}, {_SCORED} SELECT notebook, {', '.join(f'round(z_{c}, 4) + 0.0 AS z_{c}' for c in _Z if c != 'stab_mean')}, round(combined_score, 4) + 0.0 AS combined_score FROM ranked")
+def ranked_label_sets(spark, sf_dir):
+    ranked = select.rank_candidates(candidates(spark, sf_dir))
+    return ranked.select("notebook", *((F.round(c, 4) + 0.0).alias(c) for c in ("z_silhouette", "z_davies_bouldin", "z_calinski_harabasz", "combined_score")))
+
+
+@query(f"WITH {P}, {_SCORED} SELECT max_by(notebook, combined_score) FILTER (notebook NOT LIKE '08%') AS individual, max(notebook) FILTER (notebook LIKE '08%') AS consensus, max_by(notebook, silhouette) AS silhouette, min_by(notebook, davies_bouldin) AS davies_bouldin FROM ranked")
+def picked_label_sets(spark, sf_dir):
+    ranked = cut(select.rank_candidates(candidates(spark, sf_dir)), "ranked")
+    best = {r["metric"]: r["best"] for r in select.best_per_metric(ranked, "notebook", {"silhouette": True, "davies_bouldin": False}).collect()}
+    one = lambda df: df.first()["notebook"]
+    return spark.createDataFrame([(one(select.pick_individual(ranked)), one(select.pick_consensus(ranked)), best["silhouette"], best["davies_bouldin"])], "individual string, consensus string, silhouette string, davies_bouldin string")
+
+
 @query(f"WITH {_RANKED} SELECT notebook, algorithm, {', '.join(f'round(z_{c}, 6) AS z_{c}' for c in _Z)}, round(combined_score, 6) AS combined_score FROM ranked")
 def combined_score(spark, sf_dir):
     ranked = select.rank_candidates(runs(spark))
