@@ -53,8 +53,8 @@ WORST, FOLDS, RIDGE = 5, 5, 1.0
 TWINS = 2000
 #: Letters of a word that the kernel takes at once; longer words are cut into halves that overlap.
 LONGEST = 24
-#: Words whose values a worker remembers, in each of two tables.
-WORDS = 250_000
+#: Words whose values a worker remembers, in each of two tables: those of one number, and those of many.
+WORDS, WIDE_WORDS = 250_000, 25_000
 #: Eigenvalues of the landmarks' matrix below this share of the largest count as 0.
 RANK = 1e-4
 
@@ -243,6 +243,7 @@ class Valuer:
         known, weight = landmarks.words()
         self.common, self.fold = landmarks.common, weight @ fold
         self.kernel = WordKernel(known)
+        self.most, self.at_once = (WORDS, 40_000) if fold.shape[1] == 1 else (WIDE_WORDS, 10_000)
         self.new: dict[str, np.ndarray | float] = {}
         self.old: dict[str, np.ndarray | float] = {}
 
@@ -258,7 +259,7 @@ class Valuer:
         got = list(map(get, words))
         missing = dict.fromkeys(w for w, v in zip(words, got, strict=True) if v is None)
         if missing:
-            if len(self.new) + len(missing) > WORDS:
+            if len(self.new) + len(missing) > self.most:
                 self.new, self.old = {}, self.new
             asked = []
             for w in missing:
@@ -279,7 +280,7 @@ class Valuer:
         begin = 0
         while begin < len(texts):
             end, n = begin, 0
-            while end < len(texts) and (end == begin or n < 40_000):
+            while end < len(texts) and (end == begin or n < self.at_once):
                 n += sum(map(len, cut_texts[end]))
                 end += 1
             words = [w for t in cut_texts[begin:end] for s in t for w in s]
@@ -465,8 +466,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
     landmarks, mapping = shared.value
     valuer = Valuer(landmarks, mapping)
     for whole in batches:
-        for a in range(0, whole.num_rows, 100):
-            doc, text, toxic, twin = (whole.column(i).slice(a, 100).to_pylist() for i in range(4))
+        for a in range(0, whole.num_rows, 25):
+            doc, text, toxic, twin = (whole.column(i).slice(a, 25).to_pylist() for i in range(4))
             rows = [(d, False, y, t) for d, t, y in zip(doc, text, toxic, strict=True)] + [(d, True, y, inserted(t)) for d, t, y, z in zip(doc, text, toxic, twin, strict=True) if z]
             found = [x.astype(np.float32).tobytes() for _, x in valuer.texts([r[3] for r in rows])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "twin", "toxic", "x"])
