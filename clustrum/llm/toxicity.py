@@ -469,7 +469,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
         for a in range(0, whole.num_rows, 25):
             doc, text, toxic, twin = (whole.column(i).slice(a, 25).to_pylist() for i in range(4))
             rows = [(d, False, y, t) for d, t, y in zip(doc, text, toxic, strict=True)] + [(d, True, y, inserted(t)) for d, t, y, z in zip(doc, text, toxic, twin, strict=True) if z]
-            found = [x.astype(np.float32).tobytes() for _, x in valuer.texts([r[3] for r in rows])]
+            found = [x.astype(np.float16).tobytes() for _, x in valuer.texts([r[3] for r in rows])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "twin", "toxic", "x"])
 
 
@@ -478,8 +478,8 @@ def _worst(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[p
     for batch in batches:
         out = []
         for x in batch.column(3):
-            x = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, len(weights))
-            out.append((x[int((x @ weights).argmax())] if len(x) else np.zeros(len(weights), np.float32)).tobytes())
+            x = np.frombuffer(x.as_buffer(), np.float16).reshape(-1, len(weights))
+            out.append((x[int((x.astype(np.float32) @ weights).argmax())] if len(x) else np.zeros(len(weights), np.float16)).tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "twin", "toxic", "x"])
 
 
@@ -489,7 +489,7 @@ def _tops(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: np.ndarr
         out = []
         for doc, x in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
             k = _fold(doc)
-            out.append((worst_windows(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, weights.shape[1]) @ weights[k]) + bias[k]).tolist())
+            out.append((worst_windows(np.frombuffer(x.as_buffer(), np.float16).reshape(-1, weights.shape[1]).astype(np.float32) @ weights[k]) + bias[k]).tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "twin", "toxic", "margins"])
 
 
@@ -534,7 +534,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model | None:
 
     for _ in range(ROUNDS):
         got = rows.mapInArrow(lambda b, weights=weights: _worst(b, weights), rows.schema).toPandas().sort_values(["doc_id", "twin"])
-        x, y = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float), got["toxic"].to_numpy() == 1
+        x, y = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(float), got["toxic"].to_numpy() == 1
         fold = np.array([_fold(d) for d in got["doc_id"]])
         before.append((x[~y], fold[~y]))
         clean, at = np.unique(np.vstack([b for b, _ in before]), axis=0, return_index=True)
