@@ -171,3 +171,19 @@ def test_consensus_without_a_set_is_the_refit(spark, k):
         got = {r["row_id"]: r["label"] for r in whole.consensus(k, i).collect()}
         same = {}
         assert len(want) == len(got) == 90 and all(same.setdefault(want[r], got[r]) == got[r] for r in want) and len(set(same.values())) == len(same)
+
+
+def test_ward_of_copies(spark, monkeypatch):
+    """Copies merge first at height 0, whatever their rounding; rounds on the cluster and on the driver make one tree."""
+    rng = np.random.default_rng(3)
+    x = np.tile(rng.normal(size=(30, 6)) + 10.1, (4, 1))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>").repartition(3)
+    trees = []
+    for last in (1000, 5):
+        monkeypatch.setattr(hierarchical, "LAST_CLUSTERS", last)
+        trees.append([tuple(r) for r in hierarchical.ward_merges(points).orderBy("step").collect()])
+    assert trees[0] == trees[1] and len(trees[0]) == 119 and [t[3] for t in trees[0][:90]] == [0.0] * 90 and trees[0][-1][4] == 120
+    want = hierarchical.chain_linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), "ward")
+    assert np.allclose([t[3] for t in trees[0]], [h for _, _, h, _ in want], atol=1e-7)
+    labels = {r["row_id"]: r["label"] for r in hierarchical.agglomerative(30, "ward", 50)(points).collect()}
+    assert labels == {i: i % 30 for i in range(120)}
