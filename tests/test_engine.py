@@ -497,3 +497,39 @@ def test_pruned_neighbours_are_exact(spark, monkeypatch, exclude, k):
     if k == 4:
         seen = pairwise.list_visits(some, df, k).first()
         assert seen["skipped"] > 0.5 * seen["lists"] * seen["queries"]
+
+
+def test_silhouettes_of_copies_and_several_sets(spark, monkeypatch):
+    """Copies are counted once with their number; sets that lack rows, and many labels, get the values of a plain sum."""
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.normal(size=(40, 3)), (3, 1))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    first, second = {i: i % 40 % 4 for i in range(120)}, {i: i % 5 for i in range(120) if i % 7}
+    sets = [spark.createDataFrame(sorted(s.items()), "row_id long, label int") for s in (first, second)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+    def plain(s, i):
+        mean = {v: d[i, [j for j in s if s[j] == v and j != i]].mean() for v in set(s.values())}
+        a, b = mean[s[i]], min(m for v, m in mean.items() if v != s[i])
+        return (b - a) / max(a, b)
+
+    for limit, columns in ((1 << 26, 256), (0, 256), (0, 2)):
+        monkeypatch.setattr(pairwise, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(metrics, "MEMBER_COLUMNS", columns)
+        got = metrics.silhouettes(points, sets).collect()
+        assert len(got) == 120
+        for r in got:
+            assert math.isclose(r["s0"], plain(first, r["row_id"]), abs_tol=1e-6)
+            assert r["s1"] is None if r["row_id"] not in second else math.isclose(r["s1"], plain(second, r["row_id"]), abs_tol=1e-6)
+
+
+def test_planted_linkage_scan_scores_all_rows(spark, tmp_path, monkeypatch):
+    from clustrum.plans import proofs
+
+    rows = [(i, [math.sin(i * (j + 1)) / 4 for j in range(8)], i % 10) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(hierarchical, "TREE_ROWS", 100)
+    p = proofs.planted(spark, str(tmp_path))
+    want = metrics.internal_metrics(p, p.select("row_id", (F.col("row_id") % 4).cast("int").alias("label"))).first()
+    found = proofs.planted_linkage_scan(spark, str(tmp_path)).collect()
+    assert len(found) == 3 and all(r["k"] == 4 and r["silhouette"] == round(want["silhouette"], 6) for r in found)
