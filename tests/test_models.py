@@ -187,3 +187,15 @@ def test_ward_of_copies(spark, monkeypatch):
     assert np.allclose([t[3] for t in trees[0]], [h for _, _, h, _ in want], atol=1e-7)
     labels = {r["row_id"]: r["label"] for r in hierarchical.agglomerative(30, "ward", 50)(points).collect()}
     assert labels == {i: i % 30 for i in range(120)}
+
+
+@pytest.mark.parametrize("kind", ["copies", "grid"])
+def test_spanning_tree_of_copies_and_ties(spark, monkeypatch, kind):
+    """Copies and equal weights: the rounds find the tree that the driver grows, with n - 1 edges."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3)) + (rng.integers(0, 3, 120) * 30)[:, None] + 1000.1
+    x = np.tile(x[:40], (3, 1)) if kind == "copies" else np.round(x)
+    points = spark.createDataFrame([(3 * i - 50, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    monkeypatch.setattr(density, "LISTED", 2)
+    far, near = (sorted(map(tuple, density.minimum_spanning_tree(points, 4, n).collect())) for n in (0, 1000))
+    assert far == near and len(far) == 119
