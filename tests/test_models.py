@@ -199,3 +199,14 @@ def test_spanning_tree_of_copies_and_ties(spark, monkeypatch, kind):
     monkeypatch.setattr(density, "LISTED", 2)
     far, near = (sorted(map(tuple, density.minimum_spanning_tree(points, 4, n).collect())) for n in (0, 1000))
     assert far == near and len(far) == 119
+
+
+def test_co_association_keeps_no_pairs(spark, monkeypatch):
+    """Pairs come from tuples, whatever the lists that rows stand in; noisy rows of equal labels share a tuple."""
+    monkeypatch.setattr(hierarchical, "CLASS_ROWS", 3)
+    own = [[i % 3 for i in range(40)], [-1 if i % 5 == 0 else i % 2 for i in range(40)]]
+    sets = [spark.createDataFrame(list(enumerate(x)), "row_id long, label int") for x in own]
+    want = {(i, j): s for i in range(40) for j in range(40) if (s := 1.0 if i == j else sum(x[i] == x[j] != -1 for x in own) / 2)}
+    got = [tuple(r) for r in hierarchical.co_association(sets).collect()]
+    assert len(got) == len(want) and {(i, j): s for i, j, s in got} == want
+    assert hierarchical.co_association_tuples(sets)[0].select("t").distinct().count() == 9
