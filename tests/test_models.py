@@ -210,3 +210,15 @@ def test_co_association_keeps_no_pairs(spark, monkeypatch):
     got = [tuple(r) for r in hierarchical.co_association(sets).collect()]
     assert len(got) == len(want) and {(i, j): s for i, j, s in got} == want
     assert hierarchical.co_association_tuples(sets)[0].select("t").distinct().count() == 9
+
+
+def test_near_rows_in_small_steps(monkeypatch):
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(50, 3))
+    table = lambda p: pa.table({f"{p}row_id": pa.array(range(50)), f"{p}features": pa.array(list(x), pa.list_(pa.float64()))})
+    seen, plain = [], density.distances
+    monkeypatch.setattr(density, "NEAR_ROWS", 7)
+    monkeypatch.setattr(density, "distances", lambda a, b, same: seen.append(len(a)) or plain(a, b, same))
+    near = density._near(table(""), table("r_"), 1.0)[2]
+    assert max(seen) == 7 and (near == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.0)).all()
