@@ -533,3 +533,19 @@ def test_planted_linkage_scan_scores_all_rows(spark, tmp_path, monkeypatch):
     want = metrics.internal_metrics(p, p.select("row_id", (F.col("row_id") % 4).cast("int").alias("label"))).first()
     found = proofs.planted_linkage_scan(spark, str(tmp_path)).collect()
     assert len(found) == 3 and all(r["k"] == 4 and r["silhouette"] == round(want["silhouette"], 6) for r in found)
+
+
+def test_silhouettes_of_many_labels_meet_prepared_rows(spark, monkeypatch):
+    # fit rows are turned once for all blocks of queries; sums by the order of labels are those by a matrix of members
+    y = np.random.default_rng(3).normal(size=(50, 3))
+    assert pairwise.turned(y)[0] is pairwise.turned(y)[0]
+    rows = spark.createDataFrame([(i, list(map(float, y[i % 50]))) for i in range(60)], "row_id long, features array<double>")
+    sets = [rows.select("row_id", F.col("row_id").cast("int").alias("label")), rows.where("row_id % 5 > 0").select("row_id", (F.col("row_id") % 3).cast("int").alias("label"))]
+    want = sorted(metrics.silhouettes(rows, sets).collect())
+    means = [metrics.internal_metrics(rows, s).first()["silhouette"] for s in sets]
+    monkeypatch.setattr(metrics, "MEMBER_CELLS", 0)
+    got = sorted(metrics.silhouettes(rows, sets).collect())
+    assert [r[:2] + r[3:4] for r in got] == [r[:2] + r[3:4] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, abs_tol=1e-9)) for a, b in ((g["s0"], w["s0"]), (g["s1"], w["s1"])))
+    assert means[0] is None and math.isclose(means[1], metrics.silhouette(metrics.labelled(rows, sets[1])).first()[0], abs_tol=1e-9)
