@@ -222,3 +222,18 @@ def test_near_rows_in_small_steps(monkeypatch):
     monkeypatch.setattr(density, "distances", lambda a, b, same: seen.append(len(a)) or plain(a, b, same))
     near = density._near(table(""), table("r_"), 1.0)[2]
     assert max(seen) == 7 and (near == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.0)).all()
+
+
+def test_ward_search_over_tiles():
+    """A cluster's nearest is that of a plain search with its ties, whichever tiles hold it; clusters are prepared once."""
+    rng = np.random.default_rng(1)
+    x = np.hstack((rng.integers(0, 4, (1300, 5)).astype(float), rng.integers(1, 5, (1300, 1)).astype(float)))
+    ids = rng.permutation(1300)
+    assert hierarchical.turned_means(x)[0] is hierarchical.turned_means(x)[0]
+    want = []
+    for k in range(40):
+        d = np.round(np.sqrt(((x[k, :-1] - x[:, :-1]) ** 2).sum(1)) * np.sqrt(2 * x[k, -1] * x[:, -1] / (x[k, -1] + x[:, -1])), 12)
+        low, _, _, nbr = min((d[j], min(ids[k], i), max(ids[k], i), i) for j, i in enumerate(ids) if i != ids[k])
+        want.append((ids[k], nbr, low))
+    got = hierarchical._ward_block(ids[:40], x[:40], ids, x, None)
+    assert list(zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)) == want
