@@ -181,7 +181,9 @@ def repeated(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // PAGES))
-    ordered = pages.select("page", "tie", "url", "html").mapInArrow(_suffix_rows, _SUFFIX).repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY)
+    # kept, since finding the ranges reads them once more: pages would be parsed twice
+    parsed = cut(pages.select("page", "tie", "url", "html").mapInArrow(_suffix_rows, _SUFFIX), "suffixes")
+    ordered = parsed.repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY)
     found = cut(ordered.withColumn("i", F.spark_partition_id().cast("long")).mapInArrow(_neighbours, _FOUND), "repeated")
 
     def pick(*places: int):

@@ -124,3 +124,18 @@ def test_query_against_a_plain_reading(spark, tables):
         text = "\n".join(x for x in lines if x)
         want.append((r["page_id"], r["url"], text, len(text)))
     assert sorted(tuple(r) for r in page_text.op11_page_text(spark, tables).collect()) == sorted(want)
+
+
+def test_pages_are_parsed_once(spark, monkeypatch):
+    """Finding the ranges of the suffixes doesn't parse the pages again."""
+    parsed, whole = spark.sparkContext.accumulator(0), page_text._suffix_rows
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield from whole(iter([batch]))
+
+    monkeypatch.setattr(page_text, "_suffix_rows", counted)
+    rows = [(i, i, f"http://h.org/{i}", f"<p>one two three four five six {i}</p>") for i in range(20)]
+    assert page_text.repeated(spark.createDataFrame(rows, "page long, tie long, url string, html string")).count() == 20
+    assert parsed.value == 20
