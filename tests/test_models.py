@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clustrum.operators import density, hierarchical
 from clustrum.plans import queries as q
@@ -224,6 +225,25 @@ def test_near_rows_in_small_steps(monkeypatch):
     assert max(seen) == 7 and (near == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 1.0)).all()
 
 
+def test_dbscan_meets_large_parts_in_tiles(spark, monkeypatch):
+    """A crowded cell is few parts, so its rows are dealt few times; tiles of a part hang together as the whole part does."""
+    from test_engine import brute_dbscan
+
+    monkeypatch.setattr(density, "TILE_ROWS", 7)
+    dealt, plain = [], density._meetings
+    monkeypatch.setattr(density, "_meetings", lambda placed, sizes, *more: dealt.append(sizes.collect()) or plain(placed, sizes, *more))
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.stack([np.arange(30) * 0.9, np.zeros(30)], 1), rng.normal(9, 0.4, (30, 2)), rng.uniform(-5, 30, (60, 2))])[rng.permutation(120)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    for eps in (1.0, 40.0):
+        got = {r["row_id"]: r["label"] for r in density.dbscan(eps, 3)(df).collect()}
+        assert [got[i] for i in range(len(x))] == brute_dbscan(x, eps, 3)
+    monkeypatch.setattr(density, "TILE_ROWS", 4096)
+    wide = spark.range(5_000).select(F.col("id").alias("row_id"), F.array(F.rand(1), F.rand(2)).alias("features"))
+    density.dbscan(5.0, 3)(wide)
+    assert max(r["parts"] for r in dealt[-1]) == 1 and max(r["own_parts"] for r in dealt[-1]) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_ward_search_over_tiles():
     """A cluster's nearest is that of a plain search with its ties, whichever tiles hold it; clusters are prepared once."""
     rng = np.random.default_rng(1)
