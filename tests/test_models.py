@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clustrum.operators import density, hierarchical
+from clustrum.operators import density, hierarchical, metrics, stability
 from clustrum.plans import queries as q
 
 
@@ -244,6 +244,21 @@ def test_dbscan_meets_large_parts_in_tiles(spark, monkeypatch):
     assert max(r["parts"] for r in dealt[-1]) == 1 and max(r["own_parts"] for r in dealt[-1]) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_scan_scores_all_k_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.2, (20, 2)) for c in ((0, 0), (4, 0), (0, 4))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    passes, plain = [], metrics._scored_kinds
+    monkeypatch.setattr(metrics, "_scored_kinds", lambda *a: passes.append(1) or plain(*a))
+    model = lambda k: lambda p: p.select("row_id", F.least(F.floor(F.col("row_id") / 20), F.lit(k - 1)).cast("int").alias("label"))
+    scan = {r["k"]: r for r in stability.scan_clusters(model, points, [2, 3, 1], n_iter=1, bic=lambda k, p: float(k)).collect()}
+    assert len(passes) == 1 and scan[1]["silhouette"] is None
+    for k in (2, 3):
+        alone = metrics.internal_metrics(points, model(k)(points)).first()
+        assert all(abs(scan[k][c] - alone[c]) < 1e-9 for c in ("silhouette", "davies_bouldin", "calinski_harabasz"))
+        assert (scan[k]["bic"], scan[k]["stability_mean"]) == (k, 1.0)
+
+
 def test_ward_search_over_tiles():
     """A cluster's nearest is that of a plain search with its ties, whichever tiles hold it; clusters are prepared once."""
     rng = np.random.default_rng(1)
