@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clustrum.operators import density, hierarchical, metrics, stability
+from clustrum.operators import density, hierarchical, metrics, pairwise, stability
 from clustrum.plans import queries as q
 
 
@@ -259,6 +259,39 @@ def test_scan_scores_all_k_in_one_pass(spark, monkeypatch):
         assert (scan[k]["bic"], scan[k]["stability_mean"]) == (k, 1.0)
 
 
+@pytest.mark.parametrize("exclude", [False, True])
+def test_nearest_over_tiles(monkeypatch, exclude):
+    """Tiles, a falling bound and queries that are halved where many rows tie: all that may be among the k nearest is found."""
+    monkeypatch.setattr(pairwise, "TILE", 16)
+    monkeypatch.setattr(pairwise, "PAIRS_AT_ONCE", 300)
+    rng = np.random.default_rng(3)
+    y = np.vstack([rng.normal(size=(150, 4)) * np.linspace(9, 0.1, 150)[:, None], np.full((90, 4), 0.5)])  # each nearer than those before
+    ids = rng.permutation(len(y))
+    for k in (1, 5, 20, len(y)):
+        q, f = pairwise.nearest(ids[140:200], y[140:200], ids, y, k, exclude)
+        found = set(zip(q.tolist(), f.tolist(), strict=True))
+        d = np.sqrt(((y[140:200, None] - y[None]) ** 2).sum(2))
+        d[np.arange(60), np.arange(140, 200)] = np.inf if exclude else 0
+        kth = np.sort(d, 1)[:, k - 1]
+        assert {(i, j) for i, j in zip(*np.nonzero((d <= kth[:, None]) & np.isfinite(d)), strict=True)} <= found
+        assert len(found) == len(q) and all(d[i, j] <= kth[i] + 1e-3 for i, j in found)
+
+
+def test_lists_are_left_where_they_prune_nothing(spark, monkeypatch):
+    """Rows of no clusters would visit all lists: they meet in blocks. Clustered rows are searched in lists; both exactly."""
+    rng = np.random.default_rng(8)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    wide, tight = frame(rng.normal(size=(200, 40))), frame(np.vstack([rng.normal(50 * i, 0.1, (20, 2)) for i in range(10)]))
+    rows = lambda p: sorted((r["row_id"], r["rank"], r["nbr_id"]) for r in pairwise.knn(p, p, 3).collect())
+    want = [rows(p) for p in (wide, tight)]
+    for name, value in (("BROADCAST_BYTES", 0), ("LIST_ROWS", 20), ("PIVOTS", 10)):
+        monkeypatch.setattr(pairwise, name, value)
+    used, plain = [], pairwise._PrunedJoin.search
+    monkeypatch.setattr(pairwise._PrunedJoin, "search", lambda *a: used.append(1) or plain(*a))
+    assert rows(wide) == want[0] and not used
+    assert rows(tight) == want[1] and used
+
+
 def test_ward_search_over_tiles():
     """A cluster's nearest is that of a plain search with its ties, whichever tiles hold it; clusters are prepared once."""
     rng = np.random.default_rng(1)
