@@ -7,7 +7,11 @@ rest of its block. Of all suffixes of other pages the nearest ones on either sid
 neighbours tell how far the text from each block on is repeated on another page of the host. At the edge of a partition
 those neighbours are carried over from the partitions before and after it.
 
-A block is boilerplate if repeated passages of LONG words or more cover half of it; the unique runs stay. Then the markup
+Passages that begin within blocks are found by the suffixes at all words, known by WORDS words: where a longer passage goes on,
+the suffixes at its later words tell so. Only hosts have them on which a page leaves some block undecided by its markup.
+
+A block is boilerplate if repeated passages of LONG words or more, from a block's start on, cover half of it, or such passages
+within it more than half; the unique runs stay. Then the markup
 is asked: a block inside the page's article stays although other pages quote or copy it, and a block of a menu, an
 advert or a form goes although it is unique. Where a page marks no content, the suffix array alone decides.
 """
@@ -35,6 +39,8 @@ LONG, WORDS = 5, 8
 COVERED = 0.5
 #: Pages whose suffixes a sorting task gets on average, unless the session asks for more partitions.
 PAGES = 10_000
+#: Suffixes at words that such a task gets on average.
+RANGE = 500_000
 #: Set on the first word of a block, so that passages agree in their blocks too.
 _FIRST = np.uint64(0x9E37)
 
@@ -93,6 +99,55 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
 
+def undecided(blocks: list[Piece]) -> bool:
+    """Whether repeats decide on some block of a page: its markup neither keeps it nor takes it out."""
+    top = max((p.mark for p in blocks), default=OPEN)
+    return any(OPEN < p.mark < top or p.mark == top == OPEN for p in blocks)
+
+
+def _undecided_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = worker_tables("pages")
+    for batch in batches:
+        names = {host(u) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True) if host(u) and undecided(pieces(h, known))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], ["name"])
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes at all words of the pages, in the form of those at blocks: `block` is the word's place."""
+    known, types = worker_tables("pages"), [pa.int32() if c.endswith(" int") else pa.int64() for c in _SUFFIX.split(", ")]
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            batch, parts = whole.slice(a, 256), []
+            for page, tie, url, page_html in zip(*(batch.column(c).to_pylist() for c in ("page", "tie", "url", "html")), strict=True):
+                h = [textkit.word_hashes(raw, *textkit.words(raw, offs)[:2]) for _, raw, offs in textkit.blocks(pa.array([" ".join(p.text for p in pieces(page_html, known))], pa.large_string()))]
+                n = sum(map(len, h))
+                if n < LONG:
+                    continue
+                token = np.r_[((np.concatenate(h) & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16), np.zeros(WORDS, np.uint16)]
+                at = np.arange(n)
+                packed = token[at[:, None] + np.arange(WORDS)].astype(">u2").view(">i8").astype(np.int64)
+                # where fewer than LONG words are left no passage begins
+                full = slice(0, n - LONG + 1)
+                fixed = lambda v, n=n: np.full(n, v, np.int64)
+                parts.append([c[full] for c in (fixed(_digest(host(url).encode())), packed[:, 0], packed[:, 1], fixed(0), fixed(page), fixed(tie), at, fixed(1), n - at)])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), t) for k, t in enumerate(types)], [c.split()[0] for c in _SUFFIX.split(", ")])
+
+
+def passages(pages: DataFrame) -> DataFrame:
+    """(page, word, extent): how many words from a word of a page on, WORDS at most, another page of the host repeats, of hosts
+    with an undecided page; rows as for repeated()."""
+    ship(pages.sparkSession)
+    names = cut(pages.select("url", "html").mapInArrow(_undecided_hosts, "name string").distinct(), "undecided")
+    if names.isEmpty():
+        return pages.sparkSession.createDataFrame([], "page long, word int, extent int")
+    of = F.udf(lambda url: host(url), "string")
+    some = pages.withColumn("name", of("url")).join(names, "name", "left_semi").select("page", "tie", "url", "html")
+    words = cut(some.mapInArrow(_word_rows, _SUFFIX), "words")
+    found = _repeats(words, words.count(), RANGE)
+    return found.select("page", F.col("block").alias("word"), "extent")
+
+
 def common(a: tuple, b: tuple | None) -> int:
     """Words in which two suffixes (host, p0, p1, rest, page) agree from their start; one more if they agree in all and in
     the rest of their blocks."""
@@ -178,11 +233,15 @@ def _edge_extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated(pages: DataFrame) -> DataFrame:
     """(page, block, extent): how many words from a block's start on another page of the host repeats, of rows
     (page, tie, url, html); `page` names a page, equal rows of a page are one. Pages without host repeat nothing."""
-    spark = pages.sparkSession
-    ship(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // PAGES))
+    ship(pages.sparkSession)
     # kept, since finding the ranges reads them once more: pages would be parsed twice
     parsed = cut(pages.select("page", "tie", "url", "html").mapInArrow(_suffix_rows, _SUFFIX), "suffixes")
+    return _repeats(parsed, pages.count(), PAGES)
+
+
+def _repeats(parsed: DataFrame, many: int, each: int) -> DataFrame:
+    """(page, block, extent) of kept suffixes, sorted in as many ranges as hold `each` of `many`."""
+    n = max(int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // each))
     ordered = parsed.repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY)
     found = cut(ordered.withColumn("i", F.spark_partition_id().cast("long")).mapInArrow(_neighbours, _FOUND), "repeated")
 
@@ -202,8 +261,8 @@ def repeated(pages: DataFrame) -> DataFrame:
     return both.groupBy("page", "block").agg(F.max("extent").alias("extent"))
 
 
-def main_text(blocks: list[Piece], extents: dict[int, int]) -> str:
-    """The text of a page's blocks that are no boilerplate; extents as repeated() has them, by block."""
+def main_text(blocks: list[Piece], extents: dict[int, int], words: dict[int, int] | None = None) -> str:
+    """The text of a page's blocks that are no boilerplate; extents as repeated() has them, by block, and words as passages()."""
     sizes = [p.text.count(" ") + 1 for p in blocks]
     covered, end, at = [], 0, 0
     for b, n in enumerate(sizes):
@@ -212,6 +271,20 @@ def main_text(blocks: list[Piece], extents: dict[int, int]) -> str:
         new = min(max(end - at, 0), n)
         covered.append(max(old, new) >= COVERED * n and end > at)
         at += n
+    if words:
+        told = np.zeros(at + 1, np.int64)
+        begin = 0
+        for b, n in enumerate(sizes):
+            for i, size in [(begin, extents.get(b, 0))] + [(i, words[i]) for i in range(begin, begin + n) if i in words]:
+                # what runs on from the block before or into the next one is theirs
+                size = min(size, begin + n - i)
+                if size >= LONG:
+                    told[i] += 1
+                    told[i + size] -= 1
+            begin += n
+        inside = np.r_[0, np.cumsum(np.cumsum(told)[:-1] > 0)]
+        ends = np.cumsum(sizes)
+        covered = [c or inside[e] - inside[e - n] > COVERED * n for c, e, n in zip(covered, ends, sizes, strict=True)]
     # the check by markup
     top = max((p.mark for p in blocks), default=OPEN)
     kept = []
@@ -242,9 +315,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
     for batch in batches:
         out = []
-        for packed, runs in zip(batch.column("blocks").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        for packed, runs, words in zip(batch.column("blocks").to_pylist(), batch.column("runs").to_pylist(), batch.column("words").to_pylist(), strict=True):
             rows = pickle.loads(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True))
-            out.append(main_text([Piece(*r) for r in rows], {r["block"]: r["extent"] for r in runs or ()}))
+            out.append(main_text([Piece(*r) for r in rows], {r["block"]: r["extent"] for r in runs or ()}, {r["word"]: r["extent"] for r in words or ()}))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -258,10 +331,11 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     page = F.xxhash64("url", "html")
     rows = pages.select(page.alias("page"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    runs = repeated(rows.select("page", F.coalesce("page_id", F.lit(0)).alias("tie"), "url", "html"))
-    runs = runs.groupBy("page").agg(F.collect_list(F.struct("block", "extent")).alias("runs"))
-    texts = rows.mapInArrow(_page_blocks, _PAGE).join(runs, "page", "left")
-    return texts.select("page_id", "url", "blocks", "runs").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    named = rows.select("page", F.coalesce("page_id", F.lit(0)).alias("tie"), "url", "html")
+    runs = repeated(named).groupBy("page").agg(F.collect_list(F.struct("block", "extent")).alias("runs"))
+    words = passages(named).groupBy("page").agg(F.collect_list(F.struct("word", "extent")).alias("words"))
+    texts = rows.mapInArrow(_page_blocks, _PAGE).join(runs, "page", "left").join(words, "page", "left")
+    return texts.select("page_id", "url", "blocks", "runs", "words").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
